@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, url_filter
+from . import chosen_path, decontaminate, exact_dedup, license_scan, maxent_lm, mixing, pii, resampling, url_filter
 
 QUERIES = {
+    "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
+    "op2_lm_scoring": maxent_lm.op2_lm_scoring,
+    "op3_quality_classifier": resampling.op3_quality_classifier,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_url_filters": url_filter.op5_url_filters,
+    "op6_pii": pii.op6_pii,
+    "op8_license_scans": license_scan.op8_license_scans,
+    "op9_ngram_jaccard_join": chosen_path.op9_ngram_jaccard_join,
     "op10_source_mixing": mixing.op10_source_mixing,
 }
 
+#: Where SQL can express a query on whole tables; the others are tested against brute force.
 ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE_OP4,
     "op5_url_filters": url_filter.ORACLE_OP5,
