@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -18,34 +19,37 @@ from pyspark.sql import types as T
 from . import textvec as tv
 from .scratch import materialize
 
-BUCKETS = 1 << 18
+#: Buckets of single words and signs, and after them those of pairs.
+WORDS, PAIRS = 1 << 18, 1 << 19
+BUCKETS = WORDS + PAIRS
 #: Labelled rows that fit and calibrate the models; beyond it a sample of so many by hash.
 MOST_LABELLED = 200_000
-_REPEAT = np.uint64(0x5851F42D4C957F2D)
+_REPEATED = 5
 _PUNCT = ~(tv.ALNUM | tv.SPACE)
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, bucket) of every feature: words, runs of other signs, and pairs of neighbouring ones.
 
-    A pair of equal neighbours counts as one feature whatever the word, since repetition itself is what matters.
+    Five equal words in a row, with whatever signs between them, are one more feature, the same for all words.
     """
     prefix = tv.prefix_hash(tv.LOWER[data])
     parts = [tv.runs(kind[data], offsets) for kind in (tv.ALNUM, _PUNCT)]
+    word, of = tv.span_hash(prefix, *parts[0][:2]), parts[0][2]
+    equal = np.concatenate(([0], np.cumsum((word[1:] == word[:-1]) & (of[1:] == of[:-1])))) if len(word) else np.zeros(1, np.int64)
+    run = of[: max(0, len(word) - _REPEATED + 1)][equal[_REPEATED - 1 :] - equal[: max(0, len(equal) - _REPEATED + 1)] == _REPEATED - 1]
     start = np.concatenate([p[0] for p in parts])
     order = np.argsort(start, kind="stable")
-    start, end, doc = start[order], np.concatenate([p[1] for p in parts])[order], np.concatenate([p[2] for p in parts])[order]
-    h = tv.span_hash(prefix, start, end)
+    doc, h = np.concatenate([p[2] for p in parts])[order], np.concatenate((word, tv.span_hash(prefix, *parts[1][:2])))[order]
     at = np.flatnonzero(doc[1:] == doc[:-1])
     pair = tv.mix(h[at] * np.uint64(0x9E3779B97F4A7C15) + h[at + 1])
-    pair[h[at] == h[at + 1]] = _REPEAT
-    shift = np.uint64(64 - BUCKETS.bit_length() + 1)
-    return np.concatenate((doc, doc[at])), (np.concatenate((h, pair)) >> shift).astype(np.int64)
+    buckets = ((h % np.uint64(WORDS)).astype(np.int64), WORDS + (pair % np.uint64(PAIRS)).astype(np.int64), np.full(len(run), BUCKETS - 1))
+    return np.concatenate((doc, doc[at], run)), np.concatenate(buckets)
 
 
 @dataclass
 class Model:
-    """log2-free importance model: evidence per bucket, and how evidence turns into a log weight."""
+    """Evidence per bucket, and how evidence turns into a log weight."""
 
     ratio: np.ndarray
     per_feature: float = 0.02
@@ -81,12 +85,13 @@ def _label_of(ids: pa.Array, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray
     return out
 
 
-def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = MOST_LABELLED, prior: float = 20.0, dead: float = 1.0) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = MOST_LABELLED, least_ratio: float = 0.7) -> Model:
     """Counts both models over all documents, then calibrates the weight on the labelled ones.
 
-    Target: labelled rows with quality 1 that aren't toxic. Raw: every document. Each bucket's log ratio is drawn to 0
-    by `prior` expected occurrences, centred on the target's mean, and set to 0 within `dead`, so that what is no
-    evidence doesn't add up over long texts. Without labels of both kinds every document has the same weight.
+    Target: labelled rows with quality 1 that aren't toxic. Raw: every document. Both count the documents that a feature
+    occurs in, so that one long text proves no more than a short one. A bucket's log ratio is centred on the target's mean
+    and counts where the target lacks it by more than chance gives in as many buckets as there are; chance would otherwise
+    add up over long texts. Without labels of both kinds every document has the same weight.
     """
     spark = documents.sparkSession
     known = spark.sparkContext.broadcast(_labels(labels, most_labelled))
@@ -98,6 +103,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             label = _label_of(batch.column(0), known.value)
             for lo, hi, data, offsets in tv.slices(batch.column(1)):
                 doc, bucket = features(data, offsets)
+                doc, bucket = np.divmod(np.unique(doc * BUCKETS + bucket), BUCKETS)
                 total[0] += np.bincount(bucket, minlength=BUCKETS)
                 total[1] += np.bincount(bucket[label[lo:hi][doc] == 1], minlength=BUCKETS)
         at = np.flatnonzero(total[0])
@@ -110,11 +116,12 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = Model(np.zeros(BUCKETS))
     if target.sum() and not known.value[1].all():
         expected = raw * (target.sum() / raw.sum())
-        ratio = np.log((target + prior * 0.05) / (expected + prior * 0.05))
-        ratio *= expected / (expected + prior)
-        ratio -= (ratio * target).sum() / target.sum()
-        ratio[np.abs(ratio) < dead] = 0.0
-        model.ratio = np.minimum(ratio, 0.0)
+        ratio = np.log((target + 0.5) / (expected + 0.5))
+        centre = (ratio * target).sum() / target.sum()
+        ratio, expected = ratio - centre, expected * np.exp(centre)
+        deviation = (target - expected) / np.sqrt(expected + 0.5)
+        tested = max(10, int((expected >= 6).sum()))
+        model.ratio = np.where((deviation < NormalDist().inv_cdf(1 / tested)) & (ratio < -least_ratio), ratio, 0.0)
         _calibrate(model, rows, known)
     return model
 
@@ -122,7 +129,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def _calibrate(model: Model, rows: DataFrame, known) -> None:
     """Chooses the offset and the allowance per feature that part the labelled rows best (mean of both hit rates).
 
-    Of the choices within a hundredth of the best one, the one that rejects least is taken: clean documents stay.
+    Of the choices next to the best one, the one that rejects least is taken: clean documents stay.
     """
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
@@ -140,12 +147,12 @@ def _calibrate(model: Model, rows: DataFrame, known) -> None:
         return
     evidence, n = seen["evidence"].to_numpy(), seen["n"].to_numpy()
     tried = []
-    for per_feature in (0.0, 0.0025, 0.005, 0.0075, 0.01, 0.015, 0.02, 0.03):
+    for per_feature in (0.0, 0.001, 0.0025, 0.005, 0.0075, 0.01, 0.015, 0.02, 0.03):
         for offset in (0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0, 6.0, 8.0):
             kept = evidence + offset + per_feature * n > 0
             tried.append(((kept[good].mean() + (~kept[~good]).mean()) / 2, kept.mean(), per_feature, offset))
     best = max(t[0] for t in tried)
-    _, _, model.per_feature, model.offset = max((t for t in tried if t[0] >= best - 0.01), key=lambda t: t[1])
+    _, _, model.per_feature, model.offset = max((t for t in tried if t[0] >= best - 0.003), key=lambda t: t[1])
 
 
 def _gumbel(documents_id: pa.Array, seed: int) -> np.ndarray:
