@@ -7,6 +7,7 @@ recall that was asked for. Links are then counted exactly, on the sets themselve
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -111,12 +112,19 @@ def _first_level(runs: int, share: float):
     return run
 
 
-def _next_level(share: float):
+def _next_level(share: float, least: float):
+    """Rows of large buckets that look like their bucket's centre are linked to it and done; the others are split on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            path, rep = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            row, child = _split(path, _matrix(batch.column(2), np.uint32), share)
-            yield pa.record_batch([pa.array(child.view(np.int64)), pa.array(rep[row])], ["path", "rep"])
+            path, rep, centre = (batch.column(k).to_numpy() for k in range(3))
+            signature = _matrix(batch.column(3), np.uint32)
+            near = (signature == _matrix(batch.column(4), np.uint32)).mean(axis=1) >= least
+            link = np.flatnonzero(near & (rep != centre))
+            yield pa.record_batch([pa.array(np.ones(len(link), bool)), pa.array(centre[link]), pa.array(rep[link])], ["linked", "path", "rep"])
+            far = np.flatnonzero(~near)
+            row, child = _split(path[far].view(np.uint64), signature[far], share)
+            yield pa.record_batch([pa.array(np.zeros(len(row), bool)), pa.array(child.view(np.int64)), pa.array(rep[far][row])], ["linked", "path", "rep"])
 
     return run
 
@@ -149,9 +157,12 @@ def _in_buckets(least: float):
             k += 1
         if not a:
             return None
-        label = _local_components(len(path), np.concatenate(a), np.concatenate(b))
-        at = np.flatnonzero(label != np.arange(len(path)))
-        return pa.record_batch([pa.array(rep[at]), pa.array(rep[label[at]])], ["a", "b"])
+        order = np.argsort(rep, kind="stable")
+        place = np.empty(len(rep), np.int64)
+        place[order] = np.arange(len(rep))
+        root = rep[order[_local_components(len(rep), place[np.concatenate(a)], place[np.concatenate(b)])[place]]]
+        at = np.flatnonzero(root != rep)
+        return pa.record_batch([pa.array(rep[at]), pa.array(root[at])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -251,7 +262,7 @@ def runs_needed(threshold: float, recall: float, levels: int = 3) -> int:
 
 
 def jaccard_classes(
-    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, bucket: int = 40, levels: int = 10, block: int = 128, broadcast_rows: int = 2_000_000
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, bucket: int = 40, levels: int = 24, block: int = 128, broadcast_rows: int = 2_000_000
 ) -> DataFrame:
     """One row per document: doc_id, class_id, n_links, _row.
 
@@ -275,23 +286,27 @@ def jaccard_classes(
     reps = materialize(reps.groupBy("set_hash", "signature").agg(rep, F.min("least_id").alias("least_id"), F.count("*").alias("texts")), "sets")
     signatures = reps.select("rep", "signature")
 
-    paths, small, written = signatures.select("rep", "signature").mapInArrow(_first_level(runs_needed(threshold, recall), share), "path long, rep long"), None, []
-    stars = None
+    least = threshold - 0.18  # more than three standard deviations of a similarity that COORDINATES values estimate
+    paths, small, stars, written = signatures.mapInArrow(_first_level(runs_needed(threshold, recall), share), "path long, rep long"), [], [], []
     for level in range(1, levels + 1):
-        sizes = paths.groupBy("path").agg(F.count("*").alias("size"), F.min("rep").alias("centre")).filter("size > 1")
+        sizes = materialize(paths.groupBy("path").agg(F.count("*").alias("size"), F.min("rep").alias("centre")).filter("size > 1"), "sizes")
         met = materialize(paths.join(sizes, "path"), "buckets")
-        written.append(met)
-        part = met.filter(F.col("size") <= bucket).select("path", "rep")
-        small = part if small is None else small.unionByName(part)
+        written += [sizes, met]
+        small.append(met.filter(F.col("size") <= bucket).select("path", "rep"))
         large = met.filter(F.col("size") > bucket)
         if large.isEmpty():
             break
         if level == levels:
-            stars = large.filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
-        else:
-            paths = large.select("path", "rep").join(signatures, "rep").select("path", "rep", "signature").mapInArrow(_next_level(share), "path long, rep long")
-    found = small.join(signatures, "rep").select("path", "rep", "signature").repartition("path").sortWithinPartitions("path").mapInArrow(_in_buckets(threshold - 0.18), "a long, b long")
-    components = materialize(connected_components(found if stars is None else found.unionByName(stars)), "components")
+            stars.append(large.filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")))
+            break
+        centres = sizes.filter(F.col("size") > bucket).join(signatures, F.col("centre") == F.col("rep")).select("path", F.col("signature").alias("of_centre"))
+        pairs = large.join(signatures, "rep").join(centres, "path").select("path", "rep", "centre", "signature", "of_centre")
+        split = materialize(pairs.mapInArrow(_next_level(share, least), "linked boolean, path long, rep long"), "split")
+        written.append(split)
+        stars.append(split.filter("linked").select(F.col("path").alias("a"), F.col("rep").alias("b")))
+        paths = split.filter("not linked").select("path", "rep")
+    near = functools.reduce(DataFrame.unionByName, small).join(signatures, "rep").select("path", "rep", "signature").repartition("path").sortWithinPartitions("path").mapInArrow(_in_buckets(least), "a long, b long")
+    components = materialize(connected_components(functools.reduce(DataFrame.unionByName, [near, *stars])), "components")
     for x in written:
         discard(x)
 

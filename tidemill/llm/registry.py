@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chosen_path, decontaminate, exact_dedup, license_scan, maxent_lm, mixing, pii, resampling, url_filter
+from . import chosen_path, decontaminate, exact_dedup, license_scan, maxent_lm, mixing, pii, resampling, substring_dedup, url_filter
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_url_filters": url_filter.op5_url_filters,
     "op6_pii": pii.op6_pii,
+    "op7_suffix_array_dedup": substring_dedup.op7_suffix_array_dedup,
     "op8_license_scans": license_scan.op8_license_scans,
     "op9_ngram_jaccard_join": chosen_path.op9_ngram_jaccard_join,
     "op10_source_mixing": mixing.op10_source_mixing,
