@@ -124,14 +124,16 @@ def find_pii(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     none = F.array().cast("array<struct<start:bigint,end:bigint,found:string,left:string,right:string>>")
     words = F.filter(spans(F.col("text"), CANDIDATE), lambda s: F.length(F.regexp_replace(s["found"], "[^0-9]", "")) >= 4)
     found = rows.select("_row", "doc_id", *(c.alias(k) for k, c in base_spans(F.col("text")).items()), F.when(F.col("text").rlike("[0-9]{2}"), words).otherwise(none).alias("words"))
-    place = lambda k: F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    found = materialize(found.select("_row", "doc_id", *(place(k).alias(k) for k in KINDS), "words"), "entities")
+    found = materialize(found, "entities")
 
     known = F.concat(*KINDS)
+    context = lambda c: _patterns(c["left"], c["right"])
+    entity = found.filter(F.size(known) > 0).select("_row", F.explode(known).alias("w"))
+    entity = entity.select("_row", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.lower("w.found").alias("instance"), F.lit(True).alias("seed"), context(F.col("w")).alias("patterns"))
     word = found.filter(F.size("words") > 0).select("_row", known.alias("known"), F.explode("words").alias("w"))
-    seed = F.exists("known", lambda s: (s["start"] < F.col("w.end")) & (F.col("w.start") < s["end"]))
-    word = word.select("_row", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.lower("w.found").alias("instance"), seed.alias("seed"), _patterns(F.col("w.left"), F.col("w.right")).alias("patterns"))
-    word = materialize(word, "words")
+    beside = ~F.exists("known", lambda s: (s["start"] < F.col("w.end")) & (F.col("w.start") < s["end"]))
+    word = word.filter(beside).select("_row", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.lower("w.found").alias("instance"), F.lit(False).alias("seed"), context(F.col("w")).alias("patterns"))
+    word = materialize(entity.unionByName(word), "words")
     edges = word.select(F.explode("patterns").alias("pattern"), "instance", "seed").groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
     edges = materialize(edges, "graph")
     patterns, instances = score_graph(edges, rounds)
@@ -140,7 +142,8 @@ def find_pii(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = hits.select("_row", F.struct("start", "end").alias("s")).distinct().groupBy("_row").agg(F.array_sort(F.collect_list("s")).alias(DISCOVERED))
 
     said = lambda k: F.transform(F.col(k), lambda s: F.concat_ws(":", F.lit(k), s["start"].cast("string"), s["end"].cast("string")))
-    joined = found.drop("words").join(more, "_row", "left").withColumn(DISCOVERED, F.coalesce(F.col(DISCOVERED), F.array().cast("array<struct<start:bigint,end:bigint>>")))
+    place = lambda k: F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k)
+    joined = found.select("_row", "doc_id", *(place(k) for k in KINDS)).join(more, "_row", "left").withColumn(DISCOVERED, F.coalesce(F.col(DISCOVERED), F.array().cast("array<struct<start:bigint,end:bigint>>")))
     base = F.concat(*(said(k) for k in KINDS))
     return joined.select(
         "doc_id",
