@@ -131,8 +131,17 @@ def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     make = _collided(mean_bytes, digest_bytes, {bytes(x) for x in shared}) if shared else _recipes(mean_bytes, digest_bytes)
     recipes = materialize(rows.mapInArrow(make, schema), "recipes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("_row").alias("row")))
-    groups = recipes.groupBy("recipe").agg(first.alias("first"), F.count("*").alias("group_size"))
-    return recipes.join(groups, "recipe").select("doc_id", F.col("first.id").alias("keep_id"), "group_size", (F.col("_row") == F.col("first.row")).alias("kept"), "text_sha256", F.col("_row"))
+    # Only groups of several rows are joined back, off a written table, so that Spark can split the rows of a hot one.
+    groups = materialize(recipes.groupBy("recipe").agg(first.alias("first"), F.count("*").alias("n")).filter("n > 1"), "groups")
+    alone = F.col("n").isNull()
+    return recipes.join(groups, "recipe", "left").select(
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first.id")).alias("keep_id"),
+        F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
+        (alone | (F.col("_row") == F.col("first.row"))).alias("kept"),
+        "text_sha256",
+        "_row",
+    )
 
 
 def drop_exact_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,11 +21,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         if not fingerprint[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
-        after = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        # The least neighbours are written first: of a join of two tables Spark can split a node with very many edges.
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        large = materialize(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+        lower = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
+        after = materialize(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        for x in (least, large, lower):
+            discard(x)
         discard(now)
         now, before, fingerprint = after, fingerprint, _fingerprint(after)
         if fingerprint == before:
