@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import materialize
+
 #: (identifier, sentence): known sentences of licence notices and texts.
 SENTENCES = (
     ("mit.released", "Released under the MIT License."),
@@ -87,7 +89,7 @@ def scan_licenses(documents: DataFrame, sentences: DataFrame, rules: DataFrame,
     # A known sentence is at least this long once normalised, and the cut part is never shorter than that.
     shortest = sentences.agg(F.coalesce(F.min(F.length("sentence")), F.lit(1))).first()[0]
     hits = cut.filter(F.length("part") >= shortest).withColumn("sentence", normalise(F.col("part"))).join(F.broadcast(sentences), "sentence")
-    sequences = hits.groupBy("_row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "sentence_id"))).alias("seen"))
+    sequences = materialize(hits.groupBy("_row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "sentence_id"))).alias("seen")), "sequences")
     starts = sequences.select("_row", "doc_id", "seen", F.posexplode("seen").alias("i", "first"))
     joined = starts.join(F.broadcast(rules.withColumn("_first", F.col("ids")[0])), F.col("first.sentence_id") == F.col("_first"))
     n = F.size("ids")
