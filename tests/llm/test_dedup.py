@@ -144,15 +144,16 @@ def brute_removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize("shard_bytes", [1 << 21, 500])
-def test_repeated_strings_equal_brute_force(spark, shard_bytes):
+@pytest.mark.parametrize(("shard_bytes", "hot_segments"), [(1 << 21, 4096), (500, 4096), (500, 0), (1 << 21, 64)])
+def test_repeated_strings_equal_brute_force(spark, shard_bytes, hot_segments):
     rng = random.Random(7)
     passages = [prose(rng, 45, 5000) for _ in range(5)]
     texts = odd_texts() + [" ".join(x for k in range(4) for x in (prose(rng, rng.randrange(5, 60)), rng.choice(passages))) for _ in range(25)]
-    texts += ["ab" * 400, "ab" * 90, "é" * 120, "short"]
+    line = prose(rng, 16, 5000)[:64]
+    texts += ["ab" * 400, "ab" * 90, "é" * 120, "short", *(f"{prose(rng, 30, 9)} {line} {prose(rng, 30, 9)}" for _ in range(40))]
     ids = list(range(len(texts)))
     rng.shuffle(ids)
-    got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.remove_repeats(documents(spark, texts, ids), shard_bytes=shard_bytes).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.remove_repeats(documents(spark, texts, ids), shard_bytes=shard_bytes, hot_segments=hot_segments).collect()}
     order = sorted(range(len(texts)), key=lambda k: ids[k])
     want = {ids[k]: w for k, w in zip(order, brute_removed([texts[k] for k in order], 100))}
     assert got == want

@@ -3,7 +3,8 @@
 Every string of `length` bytes contains an anchor, a place that its own bytes choose, so equal strings have equal anchors
 at equal offsets. Anchors cut each text into segments of starts and bring together, by their hash, all segments that can
 share a string. Segments equal with all their strings count once; what is left of a shard is sorted as suffixes, and
-neighbours in that order with a common prefix of `length` bytes are the repeats.
+neighbours in that order with a common prefix of `length` bytes are the repeats. An anchor that very many different
+segments share would make a shard without bound; its strings are dealt out one by one, by their own hashes, instead.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from .suffix_array import permuted_common_prefixes, suffix_array
 
 GRAM = 32
 SHARD_BYTES = 1 << 21
+#: An anchor of about twice as many different segments isn't sorted in a shard.
+HOT_SEGMENTS = 4096
+_MOST_BROADCAST = 1_000_000
 _REP, _GONE = 0, 1
 
 
@@ -113,17 +117,14 @@ def _joined(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.nd
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by anchor, content and place. Repeats of a content are gone; anchors with several contents go on."""
-
-    def finish(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        anchor, content, doc_id, row, first, last = c
-        same = anchor[1:] == anchor[:-1]
-        repeat = np.concatenate(([False], same & (content[1:] == content[:-1])))
-        yield _batch(_GONE, *(x[repeat] for x in c))
-        kept = [x[~repeat] for x in c]
-        same = kept[0][1:] == kept[0][:-1]
-        several = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        yield _batch(_REP, *(x[several] for x in kept))
+    """Rows come sorted by anchor, content and place. Repeats of a content are gone; anchors with several contents go on.
+
+    What is held from batch to batch is a row for each content of one anchor.
+    """
+
+    def several(c: list[np.ndarray]) -> pa.RecordBatch:
+        same = c[0][1:] == c[0][:-1]
+        return _batch(_REP, *(x[np.concatenate(([False], same)) | np.concatenate((same, [False]))] for x in c))
 
     held = None
     for batch in batches:
@@ -132,13 +133,36 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = [batch.column(k).to_numpy() for k in range(1, 7)]
         if held is not None:
             now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+        repeat = np.concatenate(([False], (now[0][1:] == now[0][:-1]) & (now[1][1:] == now[1][:-1])))
+        yield _batch(_GONE, *(x[repeat] for x in now))
+        now = [x[~repeat] for x in now]
         others = np.flatnonzero(now[0] != now[0][-1])
         last = int(others[-1]) + 1 if len(others) else 0
         held = [x[last:] for x in now]
         if last:
-            yield from finish([x[:last] for x in now])
+            yield several([x[:last] for x in now])
     if held is not None:
-        yield from finish(held)
+        yield several(held)
+
+
+def _strings(length: int):
+    """(anchor, string hash, doc_id, row, start) of every string of the segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, doc_id, segs = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            for lo, hi, data, offsets in tv.slices(batch.column(2)):
+                part = segs.slice(lo, hi - lo)
+                of = np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy())
+                anchor, first, last = (part.flatten().field(k).to_numpy() for k in range(3))
+                counts = last - first + 1
+                start = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+                of = np.repeat(of, counts)
+                at = offsets[of] + start
+                string = tv.span_hash(tv.prefix_hash(data), at, at + length)
+                yield pa.record_batch([pa.array(np.repeat(anchor, counts)), pa.array(string.view(np.int64)), pa.array(doc_id[lo + of]), pa.array(row[lo + of]), pa.array(start)], ["anchor", "string", "doc_id", "row", "start"])
+
+    return run
 
 
 def _contexts(length: int):
@@ -234,27 +258,52 @@ def _kept(length: int):
     return run
 
 
-def repeated_starts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+def _wanted(rows: DataFrame, segments: DataFrame) -> DataFrame:
+    """(row, doc_id, text, segments) of the rows that have any."""
+    wanted = segments.groupBy("row").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("segments"))
+    return rows.join(wanted, "row").select("row", "doc_id", "text", "segments")
+
+
+def _repeated_strings(strings: DataFrame) -> DataFrame:
+    """Starts whose string also starts earlier, off a written table; counts combine before the shuffle."""
+    place = F.struct("doc_id", "row", "start")
+    least = materialize(strings.groupBy("anchor", "string").agg(F.min(place).alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n"), "least")
+    return strings.join(least, ["anchor", "string"]).filter(place != F.col("least")).select("row", F.col("start").alias("first"), F.col("start").alias("last"))
+
+
+def repeated_starts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, shard_bytes: int = SHARD_BYTES, hot_segments: int = HOT_SEGMENTS) -> tuple[DataFrame, DataFrame]:
     """(numbered rows, runs of repeated starts): (row, doc_id, text) and (row, first, last).
 
     A start is repeated if the string of `length` bytes from it also starts earlier: in a row with a smaller id, in an
     earlier row of the same id, or earlier in the same text. Ids that are null come last.
+
+    A sixteenth of the segments, chosen by content, tells which anchors are hot. Either way of treating an anchor finds the
+    same repeats.
     """
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     rows = documents.select(F.monotonically_increasing_id().alias("row"), ids.alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     cut = materialize(rows.mapInArrow(_cut(length), _SEGMENT), "segments")
+    segs = cut.filter(F.col("kind") == _REP)
+    hot = segs.filter(F.col("content").bitwiseAND(15) == 0).groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > hot_segments // 16)
+    hot = materialize(hot.select("anchor"), "hot")
+    n_hot = hot.count()
+    known = F.broadcast(hot) if n_hot <= _MOST_BROADCAST else hot
+    cold = segs.join(known, "anchor", "left_anti") if n_hot else segs
     sort = ("anchor", "content", "doc_id", "row", "first")
-    compared = materialize(cut.filter(F.col("kind") == _REP).repartition("anchor").sortWithinPartitions(*sort).mapInArrow(_compare, _SEGMENT), "compared")
-    early = materialize(cut.filter(F.col("kind") == _GONE).unionByName(compared.filter(F.col("kind") == _GONE)).select("row", "first", "last"), "repeats")
+    compared = materialize(cold.select(*_NAMES).repartition("anchor").sortWithinPartitions(*sort).mapInArrow(_compare, _SEGMENT), "compared")
+    early = cut.filter(F.col("kind") == _GONE).unionByName(compared.filter(F.col("kind") == _GONE)).select("row", "first", "last")
+    if n_hot:
+        strings = materialize(_wanted(rows, segs.join(known, "anchor", "left_semi")).mapInArrow(_strings(length), "anchor long, string long, doc_id long, row long, start long"), "strings")
+        early = early.unionByName(_repeated_strings(strings))
+    early = materialize(early, "repeats")
     discard(cut)
-    wanted = compared.filter(F.col("kind") == _REP).groupBy("row").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("segments"))
-    contexts = rows.join(wanted, "row").select("row", "doc_id", "text", "segments").mapInArrow(_contexts(length), "anchor long, doc_id long, row long, first long, last long, bytes binary")
+    contexts = _wanted(rows, compared.filter(F.col("kind") == _REP)).mapInArrow(_contexts(length), "anchor long, doc_id long, row long, first long, last long, bytes binary")
     sorted_shards = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_shards(length, shard_bytes), _SEGMENT)
     found = materialize(sorted_shards.select("row", "first", "last"), "repeats")
     return rows, early.unionByName(found)
 
 
-def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, shard_bytes: int = SHARD_BYTES, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte is removed if a string of `length` bytes that also starts earlier covers it (see repeated_starts()); strings
@@ -262,7 +311,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     the digest of the remaining bytes. Null texts are empty; texts shorter than `length` stay whole. Of rows with equal ids
     and texts the first one keeps its bytes. An empty table gives an empty result; other columns aren't read.
     """
-    rows, gone = repeated_starts(documents, id_col, text_col, length, shard_bytes)
+    rows, gone = repeated_starts(documents, id_col, text_col, length, shard_bytes, hot_segments)
     spans = gone.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
     numbered = rows.withColumn("doc_id", F.when(F.col("doc_id") < (1 << 63) - 1, F.col("doc_id")))
     joined = numbered.join(spans, "row", "left").select("doc_id", "text", "gone")
