@@ -25,12 +25,14 @@ BUCKETS = WORDS + PAIRS
 #: Labelled rows that fit and calibrate the models; beyond it a sample of so many by hash.
 MOST_LABELLED = 200_000
 _REPEATED = 5
+STEM = 6
 _PUNCT = ~(tv.ALNUM | tv.SPACE)
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, bucket) of every feature: words, runs of other signs, and pairs of neighbouring ones.
+    """(document, bucket) of every feature: words, runs of other signs, pairs of neighbouring ones, and stems.
 
+    A stem is the first STEM bytes of a longer word, so that rare forms of a word count together.
     Five equal words in a row, with whatever signs between them, are one more feature, the same for all words.
     """
     prefix = tv.prefix_hash(tv.LOWER[data])
@@ -43,8 +45,10 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     doc, h = np.concatenate([p[2] for p in parts])[order], np.concatenate((word, tv.span_hash(prefix, *parts[1][:2])))[order]
     at = np.flatnonzero(doc[1:] == doc[:-1])
     pair = tv.mix(h[at] * np.uint64(0x9E3779B97F4A7C15) + h[at + 1])
-    buckets = ((h % np.uint64(WORDS)).astype(np.int64), WORDS + (pair % np.uint64(PAIRS)).astype(np.int64), np.full(len(run), BUCKETS - 1))
-    return np.concatenate((doc, doc[at], run)), np.concatenate(buckets)
+    long = np.flatnonzero(parts[0][1] - parts[0][0] > STEM)
+    stem = tv.mix(tv.span_hash(prefix, parts[0][0][long], parts[0][0][long] + STEM) + np.uint64(STEM))
+    buckets = ((h % np.uint64(WORDS)).astype(np.int64), (stem % np.uint64(WORDS)).astype(np.int64), WORDS + (pair % np.uint64(PAIRS)).astype(np.int64), np.full(len(run), BUCKETS - 1))
+    return np.concatenate((doc, of[long], doc[at], run)), np.concatenate(buckets)
 
 
 @dataclass
