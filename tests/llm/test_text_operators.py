@@ -253,6 +253,9 @@ def test_literals_are_in_every_match(spark):
     df = spark.createDataFrame([(p,) for p in patterns], "p string")
     got = {r[0]: set(r[1]) for r in df.select("p", url_filter.literal_tokens(F.col("p"))).collect()}
     assert "pills" in got[patterns[0]] and got[patterns[1]] == {"phishing"} and "z" in got[patterns[5]] and "wp" in got[patterns[6]]
+    more = {r"/a.b/": set(), r"x|/y/": set(), r"/x(foo)?cheap/z/": {"z"}, r"/q\.?r/s\d/": set(), r"/s\\d/": {"s", "d"}, r"^http://t\.u/": {"http", "t", "u"}, r"/[(]v/w+/y{0,1}z/": set()}
+    tokens = spark.createDataFrame([(p,) for p in more], "p string").select("p", url_filter.literal_tokens(F.col("p"))).collect()
+    assert {r[0]: set(r[1]) for r in tokens} == more
     assert "casino" not in got[patterns[3]] and "spam" not in got[patterns[2]] and "b" not in got[patterns[4]]
     with pytest.raises(ValueError):
         url_filter.judge_urls(pages(spark, "x"), url_filter.rule_table(spark), most_rules=2)

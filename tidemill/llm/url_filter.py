@@ -36,18 +36,20 @@ def tokens(c: Column) -> Column:
 def literal_tokens(pattern: Column) -> Column:
     """The tokens that every match of the pattern contains as whole tokens of the url.
 
-    Groups, classes, escapes and repeated characters are taken out first. What is left of a literal stands as a
-    whole token only where other characters than letters and digits bound it on both sides.
+    \\u0001 stands for what may be any character or none, \\u0002 for a literal one that is no letter or digit. A literal
+    counts where it touches no \\u0001; the pattern's ends are such, as more of the url may follow. Alternatives outside
+    groups, and brackets nested over four deep, leave no tokens; such a rule runs on every url.
     """
-    bare = pattern
-    for _ in range(3):  # groups, from the inner ones
-        bare = F.regexp_replace(bare, r"\((?:[^()\\]|\\.)*\)[?*+]?", " \u0001 ")
-    bare = F.regexp_replace(bare, r"\[(?:[^\]\\]|\\.)*\][?*+]?", "\u0001")
-    bare = F.regexp_replace(bare, r"\\[a-z]", "\u0001")
-    bare = F.regexp_replace(bare, r"\\(.)", "$1")
-    bare = F.regexp_replace(bare, r"[a-z0-9][?*+{]", "\u0001")
-    bare = F.regexp_replace(bare, r"^[a-z0-9]+|[a-z0-9]+$|[a-z0-9]*[\u0001.*?+^$|][a-z0-9]+(?=[\u0001])", " ")
-    return F.array_distinct(F.filter(F.split(bare, r"[^a-z0-9\u0001]+"), lambda t: (t != "") & ~t.contains("\u0001")))
+    bare = F.concat(F.lit("\u0001"), pattern, F.lit("\u0001"))
+    for found, stands in ((r"\\\\", "\u0002"), (r"\\[A-Za-z0-9]", "\u0001"), (r"\\[^A-Za-z0-9]", "\u0002"), (r"\[\^?\]?[^\]]*\]", "\u0001")):
+        bare = F.regexp_replace(bare, found, stands)
+    for _ in range(4):  # groups, from the inner ones
+        bare = F.regexp_replace(bare, r"\([^()]*\)", "\u0001")
+    plain = ~bare.rlike(r"[()\[\]|]")
+    bare = F.regexp_replace(bare, r"[^?*+{](?:[?*+]|\{[^}]*\})+", "\u0001")
+    bare = F.regexp_replace(bare, r"\.", "\u0001")
+    tokens = F.filter(F.split(bare, r"[^a-z0-9\u0001]+"), lambda t: (t != "") & ~t.contains("\u0001"))
+    return F.when(plain, F.array_distinct(tokens)).otherwise(F.array().cast("array<string>"))
 
 
 def with_parts(pages: DataFrame, url_col: str = "url") -> DataFrame:
