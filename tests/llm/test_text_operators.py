@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -217,6 +218,23 @@ def test_licences(spark):
     assert sorted((r["doc_id"] - n, r["license"], r["rule"]) for r in got) == [(0, "MIT", "mit-released"), (1, "MIT", "mit-text"), (3, "CC-BY-NC-4.0", "cc-by-nc-notice"), (4, "Apache-2.0", "apache-notice"), (4, "CC-BY-4.0", "cc-by-notice")]
 
 
+def test_every_licence_rule_fires_plain_and_wrapped(spark):
+    said = dict(license_scan.SENTENCES)
+    texts = []
+    for _, _, ids in license_scan.RULES:
+        plain = [said[i] for i in ids]
+        wrapped = ["\n".join(textwrap.wrap(s, 40)) for s in plain]
+        texts += ["\n".join(plain), "\n\n".join(plain), "Some title\n" + "\n\n".join(wrapped), "/*\n * " + "\n *\n".join(wrapped).replace("\n", "\n * ") + "\n */\ncode()", "\r\n".join(wrapped).replace("\n", "\r\n").replace("\r\r", "\r")]
+    got = license_scan.scan_licenses(documents(spark, texts), license_scan.sentence_table(spark), license_scan.rule_table(spark)).collect()
+    assert sorted((r["doc_id"], r["license"], r["rule"]) for r in got) == [(k, *license_scan.RULES[k // 5][1::-1]) for k in range(len(texts))]
+
+
+def test_licence_lines_without_stops_still_match(spark):
+    texts = ["A title\nLicensed under CC BY 4.0\nand more of it", "Licensed under\n\nCC BY 4.0.", "Licensed under. CC BY 4.0.", "so licensed under\nCC BY 4.0.", "a b\nc d\ne f\ng h\nLicensed under CC BY 4.0."]
+    got = license_scan.scan_licenses(documents(spark, texts), license_scan.sentence_table(spark), license_scan.rule_table(spark)).collect()
+    assert sorted((r["doc_id"], r["rule"], r["first_sentence"], r["last_sentence"]) for r in got) == [(0, "cc-by-notice", 1, 1), (4, "cc-by-notice", 4, 4)]
+
+
 def test_licence_rules_are_ordered_and_bounded(spark):
     known = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "sentence string, sentence_id string")
     rules = spark.createDataFrame([("r1", "L1", ["x", "y"]), ("r2", "L2", ["x"]), ("r3", "L3", ["x", "y", "z"])], "rule string, license string, ids array<string>")

@@ -6,10 +6,13 @@ sentence identifiers, in which ordered licence rules are matched.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+import bisect
+import re
+from collections.abc import Iterator
 
-from .scratch import materialize
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: (identifier, sentence): known sentences of licence notices and texts.
 SENTENCES = (
@@ -52,57 +55,151 @@ RULES = (
     ("proprietary", "LicenseRef-proprietary", ("rights.reserved",)),
 )
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A sentence ends after . ! ? : or ; that white space follows, and at the end of a line.
-SENTENCE_END = r"(?<=[.!?:;])[ \t]+|[ \t]*[\r\n]+[ \t]*"
+_STOP = re.compile(rb"(?<=[.!?:;])[ \t]+")
+_LINE = re.compile(rb"\r\n|\r|\n")
+_OTHER = re.compile(rb"[^a-z0-9]+")
 
 
-def normalise(sentence: Column) -> Column:
+def normalise(sentence: bytes) -> bytes:
     """A-Z in lower case, and one space for each run of other characters than a-z and 0-9."""
-    return F.trim(F.regexp_replace(F.translate(sentence, _UPPER, _LOWER), "[^a-z0-9]+", " "))
+    return _OTHER.sub(b" ", sentence.lower()).strip()
+
+
+def pieces(text: bytes) -> list[tuple[int, int, bytes, bytes]]:
+    """(number, sentence number, what is before it, normalised words) of all that a text is cut into.
+
+    A line's end that joins is before a piece as a space, any other cut as a line end. It joins within a paragraph unless
+    . ! ? : or ; ends the line. Paragraphs are bounded by lines without letters and digits (those of comment marks too); one
+    whose lines all have a single word is a list. The sentence number counts pieces that join as one.
+    """
+    out, at, sentence, paragraph = [], -1, -1, []
+
+    def flush():
+        nonlocal at, sentence
+        wrapped = any(sum(bool(normalise(w)) for w in line.split()) > 1 for line in paragraph) if len(paragraph) > 1 else False
+        joins = False
+        for line in paragraph:
+            for k, part in enumerate(p for p in _STOP.split(line) if p):
+                soft = joins and not k
+                at += 1
+                sentence += not soft
+                out.append((at, sentence, b" " if soft else b"\n", normalise(part)))
+            joins = wrapped and line[-1:] not in b".!?:;"
+        paragraph.clear()
+
+    for line in _LINE.split(text):
+        line = line.strip(b" \t")
+        if not line:
+            flush()
+        elif _OTHER.fullmatch(line.lower()):
+            flush()
+            parts = sum(p != b"" for p in _STOP.split(line))
+            at, sentence = at + parts, sentence + parts
+        else:
+            paragraph.append(line)
+    flush()
+    return [x for x in out if x[3]]
+
+
+def known_text(sentence: str) -> str:
+    """A known sentence as a scan cuts it: its parts, normalised, with line ends between."""
+    return b"".join(sep + words for _, _, sep, words in pieces(sentence.encode()))[1:].decode()
 
 
 def sentence_table(spark: SparkSession, sentences=SENTENCES) -> DataFrame:
-    """(sentence, part, of, sentence_id): known sentences as a scan cuts them, so a long one may take several parts."""
-    rows = spark.createDataFrame(list(sentences), "sentence_id string, text string")
-    return rows.select(normalise(F.col("text")).alias("sentence"), "sentence_id").filter("sentence <> ''").dropDuplicates(["sentence"])
+    """(sentence, sentence_id): known sentences as a scan cuts them; a long one may take several parts, a line each."""
+    rows = [(known_text(text), sentence_id) for sentence_id, text in sentences]
+    return spark.createDataFrame(rows, "sentence string, sentence_id string").filter("sentence <> ''").dropDuplicates(["sentence"])
 
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
     return spark.createDataFrame([(r, lic, list(ids)) for r, lic, ids in rules], "rule string, license string, ids array<string>").filter("size(ids) > 0")
 
 
+def _find_known(cut: list, known: dict[bytes, list[str]], order: list[bytes]) -> list[tuple[int, int, str]]:
+    """(first, last, sentence_id) of every run of pieces that is a known sentence, by first and last piece."""
+    out = []
+    for i in range(len(cut)):
+        text, j = cut[i][3], i
+        while (k := bisect.bisect_left(order, text)) < len(order) and order[k].startswith(text):
+            out += [(i, j, s) for s in known.get(text, ())]
+            j += 1
+            if j == len(cut):
+                break
+            text += cut[j][2] + cut[j][3]
+    return out
+
+
+def _match_rules(cut: list, found: list[tuple[int, int, str]], rules: dict[str, list], gap: int) -> Iterator[tuple[str, str, int, int]]:
+    """(license, rule, first, last): the longest rules at each first sentence."""
+    starts = [f[0] for f in found]
+    least_end = [0] * len(found) + [1 << 60]  # of all that start here or later
+    for k in reversed(range(len(found))):
+        least_end[k] = min(least_end[k + 1], found[k][1])
+
+    def ends(k: int, ids: tuple, n: int) -> int | None:
+        if n == len(ids):
+            return found[k][1]
+        # What follows starts behind this one, and no other known sentence lies wholly between the two.
+        behind = bisect.bisect_right(starts, found[k][1])
+        for m in range(behind, len(found)):
+            if starts[m] > least_end[behind] or cut[starts[m]][1] - cut[found[k][1]][1] > gap + 1:
+                return None
+            if found[m][2] == ids[n] and (last := ends(m, ids, n + 1)) is not None:
+                return last
+        return None
+
+    best: dict[int, list] = {}
+    for k, (i, _, sentence) in enumerate(found):
+        for rule, license, ids in rules.get(sentence, ()):
+            if (last := ends(k, ids, 1)) is not None:
+                best.setdefault(i, []).append((len(ids), license, rule, last))
+    for i, matches in best.items():
+        longest = max(m[0] for m in matches)
+        for n, license, rule, last in matches:
+            if n == longest:
+                yield license, rule, cut[i][0], cut[last][0]
+
+
+def _scan(known: dict[bytes, list[str]], rules: dict[str, list], gap: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = sorted(known)
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch.column(0), batch.column(1).cast(pa.large_binary()), strict=True):
+                text = text.as_py()
+                if text and (found := _find_known(cut := pieces(text), known, order)):
+                    rows += [(doc_id.as_py(), *match) for match in _match_rules(cut, found, rules, gap)]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "license", "rule", "first_sentence", "last_sentence"])
+
+    return run
+
+
 def scan_licenses(documents: DataFrame, sentences: DataFrame, rules: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap: int = 2, most_known: int = 200_000) -> DataFrame:
     """(doc_id, license, rule, first_sentence, last_sentence), one row per match, for documents that have any.
 
-    Sentences are numbered from 0 within a document, empty ones left out. A rule matches where its sentence identifiers
-    follow one another in the document's sequence of known sentences, with at most `gap` unknown ones between two. Of rules
-    that match at the same first sentence the longest ones count (several of equal length give a row each). Null and
-    empty texts have no match; each row of documents stands for itself; other columns aren't read. Both tables are
-    broadcast, at most most_known rows each (an error otherwise).
+    What a text is cut into (at sentence and line ends) is numbered from 0, empty parts left out. A known sentence stands
+    where its parts follow one another, each of them whole, on one line or wrapped over several (see pieces()). A rule
+    matches where its sentence identifiers follow one another in the document's sequence of known sentences, with at most
+    `gap` unknown ones between two; a wrapped one counts once. Of rules that match at the same first sentence the longest
+    ones count (several of equal length give a row each). Null and empty texts have no match; each row of documents stands
+    for itself; other columns aren't read. Both tables go to every task, at most most_known rows each (an error otherwise).
     """
     for table in (sentences, rules):
         if (n := table.limit(most_known + 1).count()) > most_known:
             raise ValueError(f"{n} known sentences or rules; made for {most_known} at most")
-    rows = documents.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("long").alias("doc_id"), F.filter(F.split(F.col(text_col).cast("string"), SENTENCE_END), lambda s: s != "").alias("_parts"))
-    cut = rows.select("_row", "doc_id", F.posexplode("_parts").alias("at", "part"))
-    # A known sentence is at least this long once normalised, and the cut part is never shorter than that.
-    shortest = sentences.agg(F.coalesce(F.min(F.length("sentence")), F.lit(1))).first()[0]
-    hits = cut.filter(F.length("part") >= shortest).withColumn("sentence", normalise(F.col("part"))).join(F.broadcast(sentences), "sentence")
-    sequences = materialize(hits.groupBy("_row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "sentence_id"))).alias("seen")), "sequences")
-    starts = sequences.select("_row", "doc_id", "seen", F.posexplode("seen").alias("i", "first"))
-    joined = starts.join(F.broadcast(rules.withColumn("_first", F.col("ids")[0])), F.col("first.sentence_id") == F.col("_first"))
-    n = F.size("ids")
-    part = F.slice("seen", F.col("i") + 1, n)
-    close = F.aggregate(F.sequence(F.lit(2), n), F.lit(True), lambda ok, k: ok & (F.element_at("found", k)["at"] - F.element_at("found", k - 1)["at"] <= gap + 1))
-    matched = (
-        joined.withColumn("found", part)
-        .filter(F.transform("found", lambda x: x["sentence_id"]) == F.col("ids"))
-        .filter(F.when(n < 2, True).otherwise(close))
-        .select("_row", "doc_id", "license", "rule", F.col("first.at").alias("first_sentence"), F.element_at("found", -1)["at"].alias("last_sentence"), n.alias("_n"))
-    )
-    best = matched.groupBy("_row", "first_sentence").agg(F.max("_n").alias("_n"))
-    return matched.join(best, ["_row", "first_sentence", "_n"]).select("doc_id", "license", "rule", "first_sentence", "last_sentence")
+    known, by_first = {}, {}
+    for r in sentences.select("sentence", "sentence_id").collect():
+        if r["sentence"]:
+            known.setdefault(r["sentence"].encode(), []).append(r["sentence_id"])
+    for r in rules.select("rule", "license", "ids").collect():
+        if r["ids"]:
+            by_first.setdefault(r["ids"][0], []).append((r["rule"], r["license"], tuple(r["ids"])))
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(_scan(known, by_first, gap), "doc_id long, license string, rule string, first_sentence int, last_sentence int")
 
 
 def op8_license_scans(spark, sf_dir: str) -> DataFrame:
