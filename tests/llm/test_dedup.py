@@ -92,6 +92,18 @@ def test_near_copies_equal_brute_force(spark, bucket, block):
     assert got == want
 
 
+def test_deep_buckets_keep_the_recall(spark):
+    """Texts that share half of their shingles with all others, in buckets of three rows: pairs are split many times."""
+    rng = random.Random(4)
+    shared, texts = prose(rng, 300), []
+    for _ in range(150):
+        own = prose(rng, 100)
+        texts += [f"{shared} {own}", f"{shared} {own} {prose(rng, 60)}"]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in chosen_path.jaccard_classes(documents(spark, texts), bucket=3).collect()}
+    want = dict(enumerate(brute_classes(texts)))
+    assert sum(n for _, n in want.values()) >= 300 and got == want
+
+
 def test_near_copies_of_nothing_and_of_repeated_rows(spark):
     df = documents(spark, ["a b c d e f", "a b c d e f", "", None], [4, 4, 1, 1])
     assert chosen_path.jaccard_classes(df.limit(0)).count() == 0

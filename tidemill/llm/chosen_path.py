@@ -22,6 +22,8 @@ from .graph import connected_components
 from .scratch import discard, materialize
 
 COORDINATES = 64
+#: Splits that the runs which all rows take part in make up for; rows that are split more often take part in further runs.
+SURE = 3
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -99,32 +101,37 @@ def _split(paths: np.ndarray, signature: np.ndarray, share: float) -> tuple[np.n
     return row, child
 
 
-def _first_level(runs: int, share: float):
-    roots = tv.mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+def _first_level(share: float):
+    """Children of the roots of all runs that a row takes part in: from its first one up to, without, its last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rep, signature = batch.column(0).to_numpy(), _matrix(batch.column(1), np.uint32)
-            for root in roots:
-                row, child = _split(np.full(len(rep), root), signature, share)
-                yield pa.record_batch([pa.array(child.view(np.int64)), pa.array(rep[row])], ["path", "rep"])
+            rep, first, last = (batch.column(k).to_numpy() for k in (0, 2, 3))
+            signature = _matrix(batch.column(1), np.uint32)
+            if not len(rep):
+                continue
+            for k in range(int(first.min()), int(last.max())):
+                at = np.flatnonzero((first <= k) & (k < last))
+                root = tv.mix(np.array([k + 1], np.uint64) * np.uint64(0xD1342543DE82EF95))
+                row, child = _split(np.repeat(root, len(at)), signature[at], share)
+                yield pa.record_batch([pa.array(child.view(np.int64)), pa.array(rep[at[row]])], ["path", "rep"])
 
     return run
 
 
-def _next_level(share: float, least: float):
-    """Rows of large buckets that look like their bucket's centre are linked to it and done; the others are split on."""
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many coordinates of a row differ from its bucket's centre."""
+    for batch in batches:
+        apart = (_matrix(batch.column(3), np.uint32) != _matrix(batch.column(4), np.uint32)).sum(axis=1)
+        yield pa.record_batch([*batch.columns[:3], pa.array(apart, pa.int32())], ["path", "rep", "centre", "apart"])
+
 
+def _next_level(share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            path, rep, centre = (batch.column(k).to_numpy() for k in range(3))
-            signature = _matrix(batch.column(3), np.uint32)
-            near = (signature == _matrix(batch.column(4), np.uint32)).mean(axis=1) >= least
-            link = np.flatnonzero(near & (rep != centre))
-            yield pa.record_batch([pa.array(np.ones(len(link), bool)), pa.array(centre[link]), pa.array(rep[link])], ["linked", "path", "rep"])
-            far = np.flatnonzero(~near)
-            row, child = _split(path[far].view(np.uint64), signature[far], share)
-            yield pa.record_batch([pa.array(np.zeros(len(row), bool)), pa.array(child.view(np.int64)), pa.array(rep[far][row])], ["linked", "path", "rep"])
+            path, rep = (batch.column(k).to_numpy() for k in range(2))
+            row, child = _split(path.view(np.uint64), _matrix(batch.column(2), np.uint32), share)
+            yield pa.record_batch([pa.array(child.view(np.int64)), pa.array(rep[row])], ["path", "rep"])
 
     return run
 
@@ -287,24 +294,48 @@ def jaccard_classes(
     signatures = reps.select("rep", "signature")
 
     least = threshold - 0.18  # more than three standard deviations of a similarity that COORDINATES values estimate
-    paths, small, stars, written = signatures.mapInArrow(_first_level(runs_needed(threshold, recall), share), "path long, rep long"), [], [], []
-    for level in range(1, levels + 1):
-        sizes = materialize(paths.groupBy("path").agg(F.count("*").alias("size"), F.min("rep").alias("centre")).filter("size > 1"), "sizes")
-        met = materialize(paths.join(sizes, "path"), "buckets")
-        written += [sizes, met]
-        small.append(met.filter(F.col("size") <= bucket).select("path", "rep"))
-        large = met.filter(F.col("size") > bucket)
-        if large.isEmpty():
-            break
-        if level == levels:
-            stars.append(large.filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")))
-            break
-        centres = sizes.filter(F.col("size") > bucket).join(signatures, F.col("centre") == F.col("rep")).select("path", F.col("signature").alias("of_centre"))
-        pairs = large.join(signatures, "rep").join(centres, "path").select("path", "rep", "centre", "signature", "of_centre")
-        split = materialize(pairs.mapInArrow(_next_level(share, least), "linked boolean, path long, rep long"), "split")
-        written.append(split)
-        stars.append(split.filter("linked").select(F.col("path").alias("a"), F.col("rep").alias("b")))
-        paths = split.filter("not linked").select("path", "rep")
+    reach = COORDINATES - math.ceil(least * COORDINATES)  # coordinates in which two sets of a candidate link may differ
+    small, stars, written = [], [], []
+    taking = signatures.select("rep", "signature", F.lit(0).alias("first"), F.lit(runs_needed(threshold, recall, SURE)).alias("last"))
+    depths = None
+    while taking is not None:
+        paths, deeper = taking.mapInArrow(_first_level(share), "path long, rep long"), []
+        for level in range(1, levels + 1):
+            sizes = materialize(paths.groupBy("path").agg(F.count("*").alias("size"), F.min("rep").alias("centre")).filter("size > 1"), "sizes")
+            met = materialize(paths.join(sizes, "path"), "buckets")
+            written += [sizes, met]
+            small.append(met.filter(F.col("size") <= bucket).select("path", "rep"))
+            large = met.filter(F.col("size") > bucket)
+            if large.isEmpty():
+                break
+            if level == levels:
+                stars.append(large.filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")))
+                break
+            centres = sizes.filter(F.col("size") > bucket).join(signatures, F.col("centre") == F.col("rep")).select("path", F.col("signature").alias("of_centre"))
+            pairs = large.join(signatures, "rep").join(centres, "path").select("path", "rep", "centre", "signature", "of_centre")
+            apart = materialize(pairs.mapInArrow(_distances, "path long, rep long, centre long, apart int"), "apart")
+            stars.append(apart.filter((F.col("apart") <= reach) & (F.col("rep") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("rep").alias("b")))
+            # Rows near the centre are linked to it; of them those go on with the far ones that may be near one (differences
+            # of coordinates obey the triangle inequality).
+            far = apart.filter(F.col("apart") > reach).groupBy("path").agg(F.min("apart").alias("closest"))
+            on = materialize(apart.join(far, "path").filter(F.col("apart") >= F.col("closest") - reach).select("path", "rep"), "split")
+            written += [apart, on]
+            if level >= SURE:
+                deeper.append(on.select("rep", F.lit(level + 1).alias("depth")))
+            paths = on.join(signatures, "rep").select("path", "rep", "signature").mapInArrow(_next_level(share), "path long, rep long")
+        taking = None
+        if deeper:
+            # A pair is split as often as both of its rows are at most, so runs that its depth needs have both in them.
+            reached = functools.reduce(DataFrame.unionByName, deeper).groupBy("rep").agg(F.max("depth").alias("depth"))
+            runs = F.array(*(F.lit(runs_needed(threshold, recall, max(SURE, k))) for k in range(levels + 1)))
+            if depths is not None:
+                reached = depths.select("rep", F.col("depth").alias("had")).join(reached, "rep", "left").select("rep", F.greatest("had", F.coalesce("depth", F.lit(0))).alias("depth"), "had")
+            else:
+                reached = reached.withColumn("had", F.lit(SURE))
+            depths = materialize(reached, "depths")
+            written.append(depths)
+            more = depths.filter("depth > had").join(signatures, "rep").select("rep", "signature", F.get(runs, F.col("had")).alias("first"), F.get(runs, F.col("depth")).alias("last"))
+            taking = None if more.isEmpty() else more
     near = functools.reduce(DataFrame.unionByName, small).join(signatures, "rep").select("path", "rep", "signature").repartition("path").sortWithinPartitions("path").mapInArrow(_in_buckets(least), "a long, b long")
     components = materialize(connected_components(functools.reduce(DataFrame.unionByName, [near, *stars])), "components")
     for x in written:
