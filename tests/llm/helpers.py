@@ -3,11 +3,13 @@
 import random
 import re
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, path string, count int, bucket string"
+#: Names that operators might use inside are among the further columns.
+CLASHES = "row", "doc", "path", "count", "bucket", "_row", "_mean", "_source", "_count", "_part", "_parts", "_url", "_key", "rep", "label", "size"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
 
 
 def documents(spark, texts, ids=None, source=None):
-    rows = [(k if ids is None else ids[k], t, "en", source(k) if source else f"s{k % 3}", len(t) if t is not None else None, -1, "p", 7, "b") for k, t in enumerate(texts)]
+    rows = [(k if ids is None else ids[k], t, "en", source(k) if source else f"s{k % 3}", len(t) if t is not None else None, *CLASHES) for k, t in enumerate(texts)]
     return spark.createDataFrame(rows, SCHEMA)
 
 

@@ -116,6 +116,31 @@ def test_runs_reach_the_recall():
     assert chosen_path.runs_needed(0.8, 0.999) > chosen_path.runs_needed(0.8, 0.9) > 1
 
 
+def test_recall_around_a_hot_group(spark):
+    """Pairs of just over 0.8 that share a passage with a large group of near copies: measured against brute force."""
+    rng = random.Random(8)
+    hot = prose(rng, 150, 4000)
+    texts = variants(rng, hot, 300, 25)
+    for _ in range(250):
+        own = prose(rng, 110, 4000).split()
+        other = list(own)
+        other[rng.randrange(40, 70)] = "x"
+        shared = " ".join(hot.split()[:90])
+        texts += [f"{shared} {' '.join(own)}", f"{shared} {' '.join(other)} {prose(rng, 14, 4000)}"]
+    want = brute_classes(texts)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in chosen_path.jaccard_classes(documents(spark, texts), bucket=8).collect()}
+    found = sum(min(got[k][1], n) for k, (_, n) in enumerate(want))
+    assert found >= 0.995 * sum(n for _, n in want) and sum(n for _, n in want[300:]) > 300
+    assert all(got[k][1] <= n for k, (_, n) in enumerate(want))
+
+
+def test_shuffled_rows_give_the_same_copies(spark):
+    rng = random.Random(6)
+    texts = odd_texts() + variants(rng, prose(rng, 100), 20, 5)
+    df = documents(spark, texts)
+    assert sorted(map(str, chosen_path.drop_near_copies(df).collect())) == sorted(map(str, chosen_path.drop_near_copies(df.repartition(3, "text")).collect()))
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(k, k + 1) for k in range(30)] + [(100, 200), (200, 150), (7, 7)] + [(500, 500 + k) for k in range(1, 40)]

@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .graph import connected_components
-from .scratch import discard, materialize
+from .scratch import discard, join_hot, materialize, with_row_numbers
 
 COORDINATES = 64
-#: Splits that the runs which all rows take part in make up for; rows that are split more often take part in further runs.
-SURE = 3
+#: Children, on average, in which a pair at the threshold goes on from a node below the root.
+GROWTH = 1.3
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -70,6 +70,7 @@ def _embed(n: int):
             text = batch.column(2).cast(pa.large_binary()).fill_null(b"")
             for lo, hi, grams, bounds in shingle_sets(text, n):
                 signature = _signatures(grams, bounds)
+                sketch = signature.astype(np.uint8)
                 short = (grams >> np.uint64(32)).astype(np.uint32)
                 b = bounds.tolist()
                 rows = range(hi - lo)
@@ -81,9 +82,10 @@ def _embed(n: int):
                         pa.array([hashlib.blake2b(grams[b[k] : b[k + 1]], digest_size=16).digest() for k in rows], pa.binary()),
                         pa.array([hashlib.blake2b(text[lo + k].as_buffer(), digest_size=16).digest() for k in rows], pa.binary()),
                         pa.array([signature[k].tobytes() for k in rows], pa.binary()),
+                        pa.array([sketch[k].tobytes() for k in rows], pa.binary()),
                         pa.array([short[b[k] : b[k + 1]].tobytes() for k in rows], pa.binary()),
                     ],
-                    ["row", "doc_id", "n_shingles", "set_hash", "text_hash", "signature", "shingles"],
+                    ["row", "doc_id", "n_shingles", "set_hash", "text_hash", "signature", "sketch", "shingles"],
                 )
 
     return run
@@ -101,29 +103,30 @@ def _split(paths: np.ndarray, signature: np.ndarray, share: float) -> tuple[np.n
     return row, child
 
 
-def _first_level(share: float):
-    """Children of the roots of all runs that a row takes part in: from its first one up to, without, its last."""
+def _first_level(share: float, runs: int):
+    """Children of the roots of all runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rep, first, last = (batch.column(k).to_numpy() for k in (0, 2, 3))
-            signature = _matrix(batch.column(1), np.uint32)
-            if not len(rep):
-                continue
-            for k in range(int(first.min()), int(last.max())):
-                at = np.flatnonzero((first <= k) & (k < last))
+            rep, signature = batch.column(0).to_numpy(), _matrix(batch.column(1), np.uint32)
+            for k in range(runs if len(rep) else 0):
                 root = tv.mix(np.array([k + 1], np.uint64) * np.uint64(0xD1342543DE82EF95))
-                row, child = _split(np.repeat(root, len(at)), signature[at], share)
-                yield pa.record_batch([pa.array(child.view(np.int64)), pa.array(rep[at[row]])], ["path", "rep"])
+                row, child = _split(np.repeat(root, len(rep)), signature, share)
+                yield pa.record_batch([pa.array(child.view(np.int64)), pa.array(rep[row])], ["path", "rep"])
 
     return run
 
 
-def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many coordinates of a row differ from its bucket's centre."""
-    for batch in batches:
-        apart = (_matrix(batch.column(3), np.uint32) != _matrix(batch.column(4), np.uint32)).sum(axis=1)
-        yield pa.record_batch([*batch.columns[:3], pa.array(apart, pa.int32())], ["path", "rep", "centre", "apart"])
+def _near(least: float):
+    """The pairs whose sketches agree in at least the given share of the coordinates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                near = (_matrix(batch.column(2), np.uint8) == _matrix(batch.column(3), np.uint8)).mean(axis=1) >= least
+                yield pa.record_batch([batch.column(k).filter(pa.array(near)) for k in (0, 1)], ["a", "b"])
+
+    return run
 
 
 def _next_level(share: float):
@@ -149,43 +152,48 @@ def _local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _in_buckets(least: float):
-    """Candidate links within runs of equal paths, as a forest: rows come sorted by path, buckets are small."""
-
-    def links(path, rep, sig):
-        a, b, k = [], [], 1
-        while True:
-            same = np.flatnonzero(path[k:] == path[:-k])
-            if not len(same):
-                break
-            near = same[(sig[same] == sig[same + k]).mean(axis=1) >= least]
-            a.append(near)
-            b.append(near + k)
-            k += 1
-        if not a:
-            return None
-        order = np.argsort(rep, kind="stable")
-        place = np.empty(len(rep), np.int64)
-        place[order] = np.arange(len(rep))
-        root = rep[order[_local_components(len(rep), place[np.concatenate(a)], place[np.concatenate(b)])[place]]]
-        at = np.flatnonzero(root != rep)
-        return pa.record_batch([pa.array(rep[at]), pa.array(root[at])], ["a", "b"])
+def _against_others(least: float, few: int = 8, chunk: int = 64):
+    """Links between labels: in each run of equal (path, part), the rows outside the bucket's largest label against all rows."""
+
+    def links(group, label, other, sketch):
+        found = []
+        start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        size = np.diff(np.append(start, len(group)))
+        small = np.repeat(size <= few, size)
+        for k in range(1, few):
+            at = np.flatnonzero(small[k:] & (group[k:] == group[:-k]) & (other[k:] | other[:-k]) & (label[k:] != label[:-k]))
+            near = at[(sketch[at] == sketch[at + k]).mean(axis=1) >= least]
+            found.append(np.stack((label[near], label[near + k]), axis=1))
+        for s, n in zip(start[size > few].tolist(), size[size > few].tolist(), strict=True):
+            rows, labels = sketch[s : s + n], label[s : s + n]
+            mine = np.flatnonzero(other[s : s + n])
+            for lo in range(0, len(mine), chunk):
+                part = mine[lo : lo + chunk]
+                a, b = np.nonzero(((rows[part][:, None, :] == rows[None, :, :]).mean(axis=2) >= least) & (labels[part][:, None] != labels[None, :]))
+                found.append(np.unique(np.stack((labels[part[a]], labels[b]), axis=1), axis=0))
+        # What hangs together is linked to its least label once, not pair by pair.
+        labels, place = np.unique(np.concatenate(found), return_inverse=True)
+        place = place.reshape(-1, 2)
+        root = _local_components(len(labels), place[:, 0], place[:, 1])
+        at = np.flatnonzero(root != np.arange(len(labels)))
+        return pa.record_batch([pa.array(labels[at]), pa.array(labels[root[at]])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2), np.uint32).astype(np.uint8)]
+            group = tv.mix(batch.column(0).to_numpy().view(np.uint64) + batch.column(1).to_numpy().astype(np.uint64))
+            now = [group, batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False), _matrix(batch.column(4), np.uint8)]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
             others = np.flatnonzero(now[0] != now[0][-1])
             last = int(others[-1]) + 1 if len(others) else 0
             held = [x[last:] for x in now]
-            if last and (out := links(*(x[:last] for x in now))) is not None:
-                yield out
-        if held is not None and (out := links(*held)) is not None:
-            yield out
+            if last:
+                yield links(*(x[:last] for x in now))
+        if held is not None:
+            yield links(*held)
 
     return run
 
@@ -256,22 +264,94 @@ def _count_links(threshold: float):
     return run
 
 
-def runs_needed(threshold: float, recall: float, levels: int = 3) -> int:
-    """Runs after which a pair at the threshold has met in a bucket with at least the recall as probability.
+def runs_needed(threshold: float, recall: float, growth: float = GROWTH) -> int:
+    """Runs after which a pair at the threshold has met in a last bucket with at least the recall as probability.
 
-    A node samples 1 / threshold coordinates on average, so a pair at the threshold goes on in one child on average;
-    the number is Poisson distributed, and going on for several levels is the survival of that branching process.
+    The root of a run samples so many coordinates that a pair at the threshold goes on in one child on average, every other
+    node so many that it goes on in `growth` ones. The numbers are Poisson distributed, so that the pair's nodes are a
+    branching process, which lives on for ever with the probability computed here: the recall holds at any depth.
     """
-    missed = 0.0
-    for _ in range(levels):
-        missed = math.exp(missed - 1)
-    return math.ceil(math.log(1 - recall) / math.log(missed))
+    dies = 0.0
+    for _ in range(1000):
+        dies = math.exp(growth * (dies - 1))
+    return math.ceil(math.log(1 - recall) / (dies - 1))
+
+
+def _shares(tagged: DataFrame) -> DataFrame:
+    """(path, major, size, others) of the buckets with several labels: the largest label, all rows, and rows of the others."""
+    largest = F.max_by("label", F.struct("n", "label"))
+    by_label = tagged.groupBy("path", "label").agg(F.count("*").alias("n"))
+    return by_label.groupBy("path").agg(largest.alias("major"), F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("others")).filter("others > 0")
 
 
-def jaccard_classes(
-    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, bucket: int = 40, levels: int = 24, block: int = 128, broadcast_rows: int = 2_000_000
-) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, _row.
+def candidate_components(sets: DataFrame, threshold: float = 0.8, recall: float = 0.999, bucket: int = 512, levels: int = 40, slack: float = 0.18) -> DataFrame:
+    """(rep, label) of all sets that candidate links connect; sets: (rep, signature, sketch), one row per set.
+
+    In every bucket of the first level each set near the bucket's centre is linked to it, once for all buckets that give the
+    same pair, and what is linked is contracted to one label. A bucket of a single label is done. One with at most `bucket`
+    sets outside its largest label (up to eight times as many further down, where buckets are few) is compared by brute
+    force, those sets against all of it. Any other is split further, so that hot groups of near copies leave the tree at once
+    and only what may still be linked goes on. `levels` ends the splitting by linking the whole bucket, which adds
+    candidates and loses none. slack is three standard deviations of a similarity that COORDINATES values estimate.
+    """
+    share, least, together = 1 / (threshold * COORDINATES), threshold - slack, 512
+    signatures, sketches = sets.select("rep", "signature"), sets.select("rep", "sketch")
+    paths = signatures.mapInArrow(_first_level(min(1.0, share), runs_needed(threshold, recall)), "path long, rep long")
+    sizes = materialize(paths.groupBy("path").agg(F.count("*").alias("size"), F.min("rep").alias("centre")).filter("size > 1"), "sizes")
+    paths = materialize(join_hot(paths, sizes, "path", "rep").select("path", "rep", "centre"), "buckets")
+    pairs = materialize(paths.filter("rep <> centre").select("centre", "rep").distinct(), "pairs")
+    centres = pairs.groupBy("centre").agg(F.count("*").alias("size")).join(sketches.select(F.col("rep").alias("centre"), F.col("sketch").alias("of_centre")), "centre")
+    near = join_hot(pairs.join(sketches, "rep"), materialize(centres, "centres"), "centre", "rep").select("centre", "rep", "sketch", "of_centre")
+    labels = materialize(connected_components(near.mapInArrow(_near(least), "a long, b long")), "labels").withColumnsRenamed({"node": "rep", "component": "label"})
+    links = []
+    for level in range(1, levels + 1):
+        tagged = paths.select("path", "rep").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        left = materialize(join_hot(tagged, materialize(_shares(tagged), "shares"), "path", "rep"), "left")
+        parts = F.ceil(F.col("size") / together)
+        own, all_parts = F.array(F.pmod(F.xxhash64("rep"), parts)), F.sequence(F.lit(0).cast("long"), parts - 1)
+        other = F.col("label") != F.col("major")
+        most = bucket << min(level - 1, 3)  # the deeper, the fewer there are
+        end = left.filter(F.col("others") <= most).select("path", F.explode(F.when(other, all_parts).otherwise(own)).alias("part"), "label", other.alias("other"), "rep").join(sketches, "rep")
+        end = end.select("path", "part", "label", "other", "sketch").repartition("path", "part").sortWithinPartitions("path", "part")
+        links.append(materialize(end.mapInArrow(_against_others(least), "a long, b long"), "links"))
+        on = left.filter(F.col("others") > most)
+        if on.isEmpty():
+            break
+        if level == levels:
+            links.append(on.filter("label <> major").select(F.col("label").alias("a"), F.col("major").alias("b")).distinct())
+            break
+        paths = on.select("path", "rep").join(signatures, "rep").select("path", "rep", "signature").mapInArrow(_next_level(min(1.0, GROWTH * share)), "path long, rep long")
+    discard(sizes, pairs)
+    joined = connected_components(functools.reduce(DataFrame.unionByName, links)).select("node", F.col("component").alias("_to"))
+    joined = materialize(joined, "joined")
+    moved = labels.join(joined, F.col("label") == F.col("node"), "left").select("rep", F.coalesce("_to", "label").alias("label"))
+    new = joined.join(labels.select(F.col("rep").alias("node")), "node", "left_anti").select(F.col("node").alias("rep"), F.col("_to").alias("label"))
+    return materialize(moved.unionByName(new), "labels")
+
+
+def _counted_links(sets: DataFrame, members: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(rep, links, root) for the sets of each component, compared exactly between blocks of about `block` sets.
+
+    sets: (rep, shingles); members: (rep, label, n_shingles, texts). Linked sets differ in size by less than the threshold
+    allows, so a component is cut by size, and blocks meet only those of their own and the neighbouring sizes.
+    """
+    size_class = F.floor(F.log("n_shingles") / math.log(1 / (threshold - 1e-9))).cast("long")
+    members = materialize(members.withColumn("cut", size_class), "members")
+    layout = members.groupBy("label", "cut").agg(F.count("*").alias("n")).groupBy("label").agg(F.sum("n").alias("size"), F.collect_list(F.struct("cut", F.ceil(F.col("n") / block).cast("long").alias("blocks"))).alias("cuts"))
+    laid = join_hot(members, materialize(layout, "layout"), "label", "rep")
+    number = lambda cut, k: F.shiftleft(cut, 40) + k
+    own = F.filter("cuts", lambda c: c["cut"] == F.col("cut"))[0]["blocks"]
+    near = F.filter("cuts", lambda c: F.abs(c["cut"] - F.col("cut")) <= 1)
+    others = F.flatten(F.transform(near, lambda c: F.transform(F.sequence(F.lit(0).cast("long"), c["blocks"] - 1), lambda k: number(c["cut"], k))))
+    laid = laid.select("rep", "label", "texts", number(F.col("cut"), F.pmod(F.xxhash64("rep"), own)).alias("own"), others.alias("others"))
+    keyed = materialize(laid, "laid").join(sets, "rep").withColumn("other", F.explode("others"))
+    keyed = keyed.select("label", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), F.col("own").alias("block"), "rep", "texts", "shingles")
+    met = keyed.repartition("label", "first", "second").sortWithinPartitions("label", "first", "second")
+    return met.mapInArrow(_count_links(threshold), "rep long, links long, root long")
+
+
+def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, bucket: int = 512, levels: int = 40, block: int = 128) -> DataFrame:
+    """One row per document: doc_id, class_id, n_links.
 
     Two texts are linked when the Jaccard similarity of their sets of n-word shingles is at least the threshold;
     words are runs of letters, digits and characters beyond ASCII, A-Z in lower case. class_id is the least id in the
@@ -280,100 +360,50 @@ def jaccard_classes(
     has one shingle of all its words; one without words (null, empty) has no links and is a class of its own. Rows that
     repeat an id count as documents of their own. An empty table gives an empty result; other columns aren't read.
 
-    Every text of each component of candidate links is compared with every other one in it, so that a link is lost
-    only where its ends fall into different components. Hot buckets are split by rows, never gathered; blocks of about
-    `block` sets meet in a task. Sets are compared as 32-bit hashes: two of a thousand shingles differ by one from the
-    truth once in about four thousand pairs.
+    Every text of each component of candidate links is compared with every other one in it that its size allows, so that a
+    link is lost only where its ends fall into different components. Sets are compared as 32-bit hashes: two of a
+    thousand shingles differ by one from the truth once in about four thousand pairs.
     """
     numbered = documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    share = min(1.0, 1 / (threshold * COORDINATES))
-    embedded = materialize(numbered.mapInArrow(_embed(n), "row long, doc_id long, n_shingles int, set_hash binary, text_hash binary, signature binary, shingles binary"), "embedded")
-    rep = F.min("rep").alias("rep")
-    reps = embedded.filter("n_shingles > 0").groupBy("set_hash", "signature", "text_hash").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least_id"))
-    reps = materialize(reps.groupBy("set_hash", "signature").agg(rep, F.min("least_id").alias("least_id"), F.count("*").alias("texts")), "sets")
-    signatures = reps.select("rep", "signature")
-
-    least = threshold - 0.18  # more than three standard deviations of a similarity that COORDINATES values estimate
-    reach = COORDINATES - math.ceil(least * COORDINATES)  # coordinates in which two sets of a candidate link may differ
-    small, stars, written = [], [], []
-    taking = signatures.select("rep", "signature", F.lit(0).alias("first"), F.lit(runs_needed(threshold, recall, SURE)).alias("last"))
-    depths = None
-    while taking is not None:
-        paths, deeper = taking.mapInArrow(_first_level(share), "path long, rep long"), []
-        for level in range(1, levels + 1):
-            sizes = materialize(paths.groupBy("path").agg(F.count("*").alias("size"), F.min("rep").alias("centre")).filter("size > 1"), "sizes")
-            met = materialize(paths.join(sizes, "path"), "buckets")
-            written += [sizes, met]
-            small.append(met.filter(F.col("size") <= bucket).select("path", "rep"))
-            large = met.filter(F.col("size") > bucket)
-            if large.isEmpty():
-                break
-            if level == levels:
-                stars.append(large.filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")))
-                break
-            centres = sizes.filter(F.col("size") > bucket).join(signatures, F.col("centre") == F.col("rep")).select("path", F.col("signature").alias("of_centre"))
-            pairs = large.join(signatures, "rep").join(centres, "path").select("path", "rep", "centre", "signature", "of_centre")
-            apart = materialize(pairs.mapInArrow(_distances, "path long, rep long, centre long, apart int"), "apart")
-            stars.append(apart.filter((F.col("apart") <= reach) & (F.col("rep") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("rep").alias("b")))
-            # Rows near the centre are linked to it; of them those go on with the far ones that may be near one (differences
-            # of coordinates obey the triangle inequality).
-            far = apart.filter(F.col("apart") > reach).groupBy("path").agg(F.min("apart").alias("closest"))
-            on = materialize(apart.join(far, "path").filter(F.col("apart") >= F.col("closest") - reach).select("path", "rep"), "split")
-            written += [apart, on]
-            if level >= SURE:
-                deeper.append(on.select("rep", F.lit(level + 1).alias("depth")))
-            paths = on.join(signatures, "rep").select("path", "rep", "signature").mapInArrow(_next_level(share), "path long, rep long")
-        taking = None
-        if deeper:
-            # A pair is split as often as both of its rows are at most, so runs that its depth needs have both in them.
-            reached = functools.reduce(DataFrame.unionByName, deeper).groupBy("rep").agg(F.max("depth").alias("depth"))
-            runs = F.array(*(F.lit(runs_needed(threshold, recall, max(SURE, k))) for k in range(levels + 1)))
-            if depths is not None:
-                reached = depths.select("rep", F.col("depth").alias("had")).join(reached, "rep", "left").select("rep", F.greatest("had", F.coalesce("depth", F.lit(0))).alias("depth"), "had")
-            else:
-                reached = reached.withColumn("had", F.lit(SURE))
-            depths = materialize(reached, "depths")
-            written.append(depths)
-            more = depths.filter("depth > had").join(signatures, "rep").select("rep", "signature", F.get(runs, F.col("had")).alias("first"), F.get(runs, F.col("depth")).alias("last"))
-            taking = None if more.isEmpty() else more
-    near = functools.reduce(DataFrame.unionByName, small).join(signatures, "rep").select("path", "rep", "signature").repartition("path").sortWithinPartitions("path").mapInArrow(_in_buckets(least), "a long, b long")
-    components = materialize(connected_components(functools.reduce(DataFrame.unionByName, [near, *stars])), "components")
-    for x in written:
-        discard(x)
-
-    blocks = components.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = components.join(blocks, "component").join(reps.select(F.col("rep").alias("node"), "texts"), "node")
-    members = materialize(members.select(F.col("node").alias("row"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"), "texts"), "members")
-    narrow = members.count() <= broadcast_rows
-    sets = embedded.select("row", "shingles").join(F.broadcast(members) if narrow else members, "row")
-    other = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = other.select("component", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), F.col("own").alias("block"), "row", "texts", "shingles")
-    counted = keyed.repartition("component", "first", "second").sortWithinPartitions("component", "first", "second").mapInArrow(_count_links(threshold), "rep long, links long, root long")
-    links = materialize(counted, "links")
+    return _classes(numbered, n, threshold, recall, bucket, levels, block).select("doc_id", "class_id", "n_links")
+
+
+def _classes(numbered: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, bucket: int = 512, levels: int = 40, block: int = 128) -> DataFrame:
+    """(row, doc_id, class_id, n_links, worded) of (row, doc_id, text); each row's number is written once and read from there."""
+    embedded = materialize(numbered.mapInArrow(_embed(n), "row long, doc_id long, n_shingles int, set_hash binary, text_hash binary, signature binary, sketch binary, shingles binary"), "embedded")
+    same = F.first("n_shingles").alias("n_shingles")
+    by_text = embedded.filter("n_shingles > 0").groupBy("set_hash", "signature", "sketch", "text_hash").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least_id"), F.count("*").alias("rows"), same)
+    reps = by_text.groupBy("set_hash", "signature", "sketch").agg(F.min("rep").alias("rep"), F.min("least_id").alias("least_id"), F.count("*").alias("texts"), F.sum("rows").alias("rows"), same)
+    reps = materialize(reps, "sets")
+
+    labels = candidate_components(reps, threshold, recall, bucket, levels)
+    members = labels.join(reps.select("rep", "n_shingles", "texts"), "rep")
+    links = materialize(_counted_links(embedded.select(F.col("row").alias("rep"), "shingles"), members, threshold, block), "links")
     classes = connected_components(links, "rep", "root").withColumnRenamed("node", "rep")
     degree = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    described = reps.select("set_hash", "rep", "least_id", "texts").join(degree, "rep", "left").join(classes, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    least = described.groupBy("component").agg(F.min("least_id").alias("class_id"))
-    described = described.join(least, "component").select("set_hash", "class_id", (F.coalesce("links", F.lit(0)) + F.col("texts") - 1).alias("n_links"))
-    return (
-        embedded.select("row", "doc_id", F.when(F.col("n_shingles") > 0, F.col("set_hash")).alias("set_hash"))
-        .join(described, "set_hash", "left")
-        .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.col("row").alias("_row"), F.col("set_hash").isNotNull().alias("_worded"))
-    )
+    described = materialize(reps.select("set_hash", "rep", "least_id", "texts", "rows").join(degree, "rep", "left").join(classes, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "described")
+    least = materialize(described.groupBy("component").agg(F.min("least_id").alias("class_id"), F.count("*").alias("size")), "least")
+    described = join_hot(described, least, "component", "rep").select("set_hash", "class_id", (F.coalesce("links", F.lit(0)) + F.col("texts") - 1).alias("n_links"), F.col("rows").alias("size"))
+    placed = embedded.select("row", "doc_id", F.when(F.col("n_shingles") > 0, F.col("set_hash")).alias("set_hash"))
+    alone = placed.filter("set_hash is null").select("row", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(False).alias("worded"))
+    worded = join_hot(placed.filter("set_hash is not null"), materialize(described, "classes"), "set_hash", "row").select("row", "doc_id", "class_id", "n_links", F.lit(True).alias("worded"))
+    return worded.unionByName(alone)
 
 
 def drop_near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents, with all their columns, without those in whose class an earlier one stays.
 
-    The row with the least id of a class stays; of repeated rows with that id exactly one. Texts without words all stay.
+    The row with the least id of a class stays; of repeated rows with that id exactly one. Texts without words all stay, and
+    so do rows whose class has no ids.
     """
-    judged = jaccard_classes(documents, id_col, text_col, **options)
-    judged = materialize(judged, "judged")
-    stay = judged.filter((F.col("doc_id") == F.col("class_id")) & F.col("_worded")).groupBy("class_id").agg(F.min("_row").alias("stay"))
-    gone = judged.filter(F.col("_worded") & F.col("class_id").isNotNull()).join(stay, "class_id").filter("_row <> stay").select("_row")
-    return documents.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti").drop("_row")
+    rows, row = with_row_numbers(documents)
+    judged = _classes(rows.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), **options)
+    judged = materialize(judged.filter("worded and class_id is not null"), "judged")
+    stay = judged.groupBy("class_id").agg(F.min(F.when(F.col("doc_id") == F.col("class_id"), F.col("row"))).alias("stay"), F.count("*").alias("size"))
+    gone = join_hot(judged, materialize(stay.filter("size > 1"), "stay"), "class_id", "row").filter("row <> stay").select(F.col("row").alias(row))
+    return rows.join(gone, row, "left_anti").drop(row)
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Classes and numbers of links of all documents, at five words and a similarity of 0.8."""
-    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("_row", "_worded")
+    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
