@@ -329,11 +329,12 @@ def candidate_components(sets: DataFrame, threshold: float = 0.8, recall: float
     return materialize(moved.unionByName(new), "labels")
 
 
-def _counted_links(sets: DataFrame, members: DataFrame, threshold: float, block: int) -> DataFrame:
+def _counted_links(sets: DataFrame, members: DataFrame, threshold: float, block: int, broadcast_rows: int = 2_000_000) -> DataFrame:
     """(rep, links, root) for the sets of each component, compared exactly between blocks of about `block` sets.
 
     sets: (rep, shingles); members: (rep, label, n_shingles, texts). Linked sets differ in size by less than the threshold
-    allows, so a component is cut by size, and blocks meet only those of their own and the neighbouring sizes.
+    allows, so a component is cut by size, and blocks meet only those of their own and the neighbouring sizes. Up to
+    broadcast_rows members are broadcast, so that the sets of all others aren't shuffled; more of them are joined.
     """
     size_class = F.floor(F.log("n_shingles") / math.log(1 / (threshold - 1e-9))).cast("long")
     members = materialize(members.withColumn("cut", size_class), "members")
@@ -344,7 +345,9 @@ def _counted_links(sets: DataFrame, members: DataFrame, threshold: float, block:
     near = F.filter("cuts", lambda c: F.abs(c["cut"] - F.col("cut")) <= 1)
     others = F.flatten(F.transform(near, lambda c: F.transform(F.sequence(F.lit(0).cast("long"), c["blocks"] - 1), lambda k: number(c["cut"], k))))
     laid = laid.select("rep", "label", "texts", number(F.col("cut"), F.pmod(F.xxhash64("rep"), own)).alias("own"), others.alias("others"))
-    keyed = materialize(laid, "laid").join(sets, "rep").withColumn("other", F.explode("others"))
+    laid = materialize(laid, "laid")
+    few = laid.count() <= broadcast_rows
+    keyed = sets.join(F.broadcast(laid) if few else laid, "rep").withColumn("other", F.explode("others"))
     keyed = keyed.select("label", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), F.col("own").alias("block"), "rep", "texts", "shingles")
     met = keyed.repartition("label", "first", "second").sortWithinPartitions("label", "first", "second")
     return met.mapInArrow(_count_links(threshold), "rep long, links long, root long")
