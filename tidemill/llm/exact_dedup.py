@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
-from .scratch import materialize
+from .scratch import materialize, with_row_numbers
 
 _WINDOW = 16
 _SHORTEST, _LONGEST = 64, 8192
@@ -123,6 +123,11 @@ def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     than most_collided shared digests then raise an error instead of filling the driver).
     """
     rows = documents.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return _groups(rows, mean_bytes, digest_bytes, most_collided).drop("_row")
+
+
+def _groups(rows: DataFrame, mean_bytes: int = 1024, digest_bytes: int = 16, most_collided: int = 100_000) -> DataFrame:
+    """exact_groups() of (_row, doc_id, text); the numbers of rows are read from the written recipes alone."""
     schema = T.StructType([T.StructField("_row", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("text_sha256", T.StringType()), T.StructField("recipe", T.ArrayType(T.BinaryType()))])
     verified = rows.mapInArrow(_bodies(mean_bytes, digest_bytes), "digest binary, body binary").groupBy("digest", "body").agg(F.count("*").alias("n"))
     shared = [r[0] for r in verified.groupBy("digest").agg(F.count("*").alias("bodies")).filter("bodies > 1").select("digest").limit(most_collided + 1).collect()]
@@ -147,16 +152,17 @@ def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 def drop_exact_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, that exact_groups() keeps.
 
-    The ids of dropped rows join the documents; the documents themselves are not shuffled by text.
+    The numbers of dropped rows join the documents; the documents themselves are not shuffled by text.
     """
-    groups = exact_groups(documents, id_col, text_col)
-    numbered = documents.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.join(groups.filter(~F.col("kept")).select("_row"), "_row", "left_anti").drop("_row")
+    numbered, row = with_row_numbers(documents)
+    groups = _groups(numbered.select(F.col(row).alias("_row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    gone = groups.filter(~F.col("kept")).select(F.col("_row").alias(row))
+    return numbered.join(gone, row, "left_anti").drop(row)
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """All documents with the row that stays for each; see exact_groups()."""
-    return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("_row")
+    return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 ORACLE_OP4 = r"""
