@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import free_name
+
 #: Above this mean a Poisson count is drawn as a sum of parts with smaller means, so that exp(-mean) stays exact.
 _LARGEST_MEAN = 16.0
 _STEPS = 64
@@ -55,18 +57,19 @@ def mix_sources(documents: DataFrame, id_col: str = "doc_id", source_col: str =
     the same again; rows with the same id and source share their count, null ids count as one id. Means above 16
     are drawn as whole rounds of 16 plus a rest, each from its own uniform number. The rates are a row per source:
     they are broadcast when there are at most most_sources, else joined. An empty table gives an empty mixture.
-    Extra columns, whatever their names but _copy and _place, stay; texts, empty, null or long, are never looked at.
+    Extra columns, whatever their names, stay, but for _copy and _place, which are replaced; texts, empty, null or long, are
+    never looked at.
     """
-    rates = repetition_rates(documents, source_col, weights, temperature, total).select(F.col("source").alias("_source"), F.col("mean").alias("_mean"))
+    source, mean, count = (free_name(documents, x) for x in ("_source", "_mean", "_count"))
+    rates = repetition_rates(documents, source_col, weights, temperature, total).select(F.col("source").alias(source), F.col("mean").alias(mean))
     few = rates.limit(most_sources + 1).count() <= most_sources
-    key = F.col(source_col).cast("string").eqNullSafe(F.col("_source"))
-    joined = documents.join(F.broadcast(rates) if few else rates, key)
-    rounds = F.floor(F.col("_mean") / _LARGEST_MEAN).cast("int")
-    rest = F.col("_mean") - rounds * F.lit(_LARGEST_MEAN)
+    joined = documents.join(F.broadcast(rates) if few else rates, F.col(source_col).cast("string").eqNullSafe(F.col(source)))
+    rounds = F.floor(F.col(mean) / _LARGEST_MEAN).cast("int")
+    rest = F.col(mean) - rounds * F.lit(_LARGEST_MEAN)
     draw = lambda part, mean: poisson_count(uniform(seed, F.col(id_col), part), mean)
     more = F.when(rounds > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(rounds, F.lit(1))), F.lit(0), lambda a, r: a + draw(r, F.lit(_LARGEST_MEAN)))).otherwise(0)
-    counted = joined.withColumn("_count", draw(F.lit(0), rest) + more).filter("_count > 0").drop("_source", "_mean")
-    copies = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_count")))).drop("_count")
+    counted = joined.withColumn(count, draw(F.lit(0), rest) + more).filter(F.col(count) > 0).drop(source, mean)
+    copies = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col(count)))).drop(count)
     placed = copies.withColumn("_place", F.md5(F.concat_ws(":", F.lit(seed), F.lit("place"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("_copy").cast("string"))))
     # A partition chosen by a hash of the place and the order within it by the place itself: a uniform permutation
     # in one exchange, without the second scan that a range partitioning samples.
