@@ -99,11 +99,11 @@ def test_rendering(spark):
 
 
 SAMPLES = [
-    ('{"id":1,"address":{"city":"上海"}}', "$", ["$.id", "$.address", "$.address.city"]),
-    ('{"items":[{"sku":"A","price":9.9},{"other":1}]}', "$", ["$.items", "$.items.*.sku", "$.items.*.price"]),
-    ('{"b":{"list":[{"time":1,"code":"x"}]}}', "$.b.list.*", ["$.b.list.*.time", "$.b.list.*.code"]),
-    ('[{"a":1}]', "$", ["$.a"]),
-    ('{"data":[]}', "$.data", []),
+    ('{"tide":4,"port":{"zone":"south"}}', "$", ["$.tide", "$.port", "$.port.zone"]),
+    ('{"boats":[{"hull":"oak","knots":7.5},{"oars":2}]}', "$", ["$.boats", "$.boats.*.hull", "$.boats.*.knots"]),
+    ('{"log":{"days":[{"moon":0,"wind":"nw"}]}}', "$.log.days.*", ["$.log.days.*.moon", "$.log.days.*.wind"]),
+    ('[{"mast":true}]', "$", ["$.mast"]),
+    ('{"none":[]}', "$.none", []),
 ]
 
 
@@ -172,3 +172,27 @@ def test_encryption(spark):
 
 def test_utc_now_is_read_in_the_zone():
     assert dates.evaluate("today", None, datetime(2024, 1, 30, 20, tzinfo=timezone.utc)) == "2024-01-31"
+
+
+def test_path_filters_and_unions():
+    doc = {"boats": [{"hull": "oak", "knots": 7.5}, {"hull": "tar", "knots": 3}, {"oars": 2}], "a": 1, "b": 2}
+    read = lambda p: jsons.read_path(doc, p)
+    assert read("$.boats[?(@.knots > 3)].hull") == ["oak"] and read("$.boats[?(@.hull == 'tar' || @.oars)]") == doc["boats"][1:]
+    assert read("$.boats[?(@.hull && @.knots < 5)].knots") == [3] and read("$.boats[?(!@.hull)].oars") == [2] and read("$.boats[?(@.hull >= 1)]") == []
+    assert read("$.boats[0,2,9]") == [doc["boats"][0], doc["boats"][2]] and read("$['a','b','c']") == [1, 2]
+    with pytest.raises(ValueError):
+        read("$.boats[?(knots)]")
+
+
+def test_more_date_patterns(spark):
+    from pyspark.sql import functions as F
+
+    now = datetime(2024, 2, 3, 16, 5, 6, 789_000, tzinfo=timezone.utc)
+    t = now.astimezone(dates.ZoneInfo(dates.ZONE))
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # Spark's own formatter reads the same patterns (Asia/Shanghai has no other offset).
+    ts = F.lit("2024-02-04 00:05:06.789").cast("timestamp")
+    patterns = ["EEE", "EEEE", "MMM d", "MMMM", "D", "DDD", "a hh:mm", "k", "K", "Q", "QQQ", "yy-MM", "SSS"]
+    shown = spark.range(1).select(*(F.date_format(ts, p).alias(f"c{k}") for k, p in enumerate(patterns))).first()
+    assert [dates.format_date(p, t) for p in patterns] == list(shown)
+    assert [dates.format_date(p, t) for p in ("X", "XXX", "xx", "Z", "A", "n", "q")] == ["+08", "+08:00", "+0800", "+0800", "306789", "789000000", None]

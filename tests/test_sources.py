@@ -95,6 +95,37 @@ def test_named_page_parameters_and_a_source_that_ignores_them(spark, server):
     assert load(spark, "id long", url=url(server, "/stuck"), json_path="$.rows", pagination=pagination).count() == 10
 
 
+def test_columns_are_typed_or_refused(spark, server):
+    httpjson.check_type(httpjson.StructType.fromDDL("a array<int>, m map<string,date>, s struct<x:timestamp>, d decimal(5,2)"))
+    for bad in ("b binary", "m map<int,int>", "a array<binary>"):
+        with pytest.raises(ValueError):
+            httpjson.check_type(httpjson.StructType.fromDDL(bad))
+    kinds = httpjson.StructType.fromDDL("i int, l short, n decimal(5,2), d date, t timestamp, a array<int>, m map<string,long>, s struct<x:int,y:string>, b boolean")
+    row = {"i": 1.9, "l": 70_000, "n": "12.345", "d": "2024-02-03", "t": "2024-02-03T04:05:06Z", "a": [1, "2", 2.5], "m": {"k": 3}, "s": {"x": 4}, "b": 1}
+    got = {f.name: httpjson.convert(row[f.name], f.dataType) for f in kinds.fields}
+    assert (got["i"], got["l"], str(got["n"]), str(got["d"]), got["t"].hour) == (None, None, "12.34", "2024-02-03", 4)
+    assert (got["a"], got["m"], got["s"], got["b"]) == ([1, 2, None], {"k": 3}, (4, None), None)
+    assert load(spark, "data array<struct<id:int,name:string>>", url=url(server, "/items")).first()["data"][0]["name"] == "a"
+
+
+def test_endpoints_are_tried_and_sampled(server):
+    told = httpjson.test_endpoints({"good": {"url": url(server, "/items"), "json_path": "$.data"}, "gone": {"url": url(server, "/none")}}, lambda _: None)
+    assert told["good"] is None and "404" in told["gone"]
+    tree, rows = httpjson.sample(json.dumps({"rows": [{"id": k} for k in range(30)]}), "$.rows")
+    assert [f["name"] for f in tree] == ["id"] and len(rows) == 10
+
+
+def test_packages_are_written_and_deleted(spark, tmp_path):
+    from tidemill.sources import skills
+
+    root = f"file://{tmp_path}/store"
+    skills.write_package(spark, root, "s1", 2, b"zip")
+    assert [(r["skill_id"], r["version_number"], bytes(r["content"])) for r in skills.packages(spark, root).collect()] == [("s1", 2, b"zip")]
+    with pytest.raises(ValueError):
+        skills.write_package(spark, root, "../s1", 2, b"zip")
+    assert skills.delete_package(spark, root, "s1", 2) and not skills.delete_package(spark, root, "s1", 2)
+
+
 def test_pre_operations_bind_values(spark, server):
     op = {"url": url(server, "/login"), "method": "POST", "body": '{"u":"x"}', "mappings": [{"name": "token", "json_path": "$.token", "location": "HEADER", "target": "X-Token"}, {"name": "session", "json_path": "$.session", "location": "QUERY"}]}
     load(spark, "id long", url=url(server, "/items"), method="POST", body='{"k":"${token}"}', json_path="$.data", pre_operations=[op], auth={"type": "BASIC", "username": "u", "password": "p"}).collect()
@@ -144,8 +175,9 @@ def test_jdbc_statements():
 def test_jdbc_over_derby(spark, tmp_path):
     address = f"jdbc:derby:{tmp_path}/db;create=true"
     spark.createDataFrame([(k, f"n{k}") for k in range(5)], "ID int, NAME string").write.format("jdbc").options(url=address, dbtable="APP.T", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
-    c = jdbc.Connection("POSTGRESQL", schema="APP", url=address)
-    assert jdbc.preview(spark, c, "T", 3).count() == 3
+    c = jdbc.Connection("POSTGRESQL", schema="APP", url=address, limit="FETCH FIRST {rows} ROWS ONLY", probe="SELECT 1 AS works FROM SYSIBM.SYSDUMMY1")
+    few = jdbc.preview(spark, c, "T", 3)
+    assert few.count() == 3 and "FETCH FIRST 3 ROWS" in few._jdf.queryExecution().toString()
     assert jdbc.test_connection(spark, c) == (True, "")
     assert jdbc.test_connection(spark, jdbc.Connection("POSTGRESQL", url="jdbc:derby:/none/x"))[0] is False
     assert {r["type"] for r in jdbc.supported_types(spark).collect()} == {"MYSQL", "CLICKHOUSE", "POSTGRESQL", "API"}

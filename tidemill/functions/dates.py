@@ -31,16 +31,51 @@ def _shift(t: datetime, operation: str) -> datetime:
     return t + step if step is not None else t
 
 
-#: Letters of date patterns that are supported: one, and what it prints at a given width.
+_DAYS, _MONTH_NAMES = calendar.day_name, calendar.month_name
+
+
+def _named(names, k: int, n: int) -> str:
+    return names[k][:1] if n == 5 else names[k] if n == 4 else names[k][:3]
+
+
+def _offset(t: datetime, n: int, letter: str) -> str:
+    """+08, +0800 or +08:00, and Z for none where the letter is X."""
+    minutes = int(t.utcoffset().total_seconds() // 60) if t.utcoffset() is not None else 0
+    if letter == "X" and not minutes:
+        return "Z"
+    hours, rest = divmod(abs(minutes), 60)
+    return f"{'-' if minutes < 0 else '+'}{hours:02d}" + (f":{rest:02d}" if n in (3, 5) else f"{rest:02d}" if n in (2, 4) or rest else "")
+
+
+def _millis(t: datetime) -> int:
+    return ((t.hour * 60 + t.minute) * 60 + t.second) * 1000 + t.microsecond // 1000
+
+
+#: Letters of date patterns that are supported: the largest width, and what it prints at a given width (names in English).
 _FIELDS = {
-    "y": lambda t, n: f"{t.year % 100:02d}" if n == 2 else f"{t.year:0{n}d}",
-    "M": lambda t, n: f"{t.month:0{n}d}",
-    "d": lambda t, n: f"{t.day:0{n}d}",
-    "H": lambda t, n: f"{t.hour:0{n}d}",
-    "h": lambda t, n: f"{(t.hour - 1) % 12 + 1:0{n}d}",
-    "m": lambda t, n: f"{t.minute:0{n}d}",
-    "s": lambda t, n: f"{t.second:0{n}d}",
-    "S": lambda t, n: f"{t.microsecond:06d}".ljust(n, "0")[:n],
+    "y": (9, lambda t, n: f"{t.year % 100:02d}" if n == 2 else f"{t.year:0{n}d}"),
+    "u": (9, lambda t, n: f"{t.year % 100:02d}" if n == 2 else f"{t.year:0{n}d}"),
+    "M": (5, lambda t, n: f"{t.month:0{n}d}" if n < 3 else _named(_MONTH_NAMES, t.month, n)),
+    "L": (5, lambda t, n: f"{t.month:0{n}d}" if n < 3 else _named(_MONTH_NAMES, t.month, n)),
+    "Q": (4, lambda t, n: f"{(t.month + 2) // 3:0{n}d}" if n < 3 else f"Q{(t.month + 2) // 3}" if n == 3 else f"{('1st', '2nd', '3rd', '4th')[(t.month - 1) // 3]} quarter"),
+    "d": (2, lambda t, n: f"{t.day:0{n}d}"),
+    "D": (3, lambda t, n: f"{t.timetuple().tm_yday:0{n}d}"),
+    "E": (5, lambda t, n: _named(_DAYS, t.weekday(), n)),
+    "G": (4, lambda t, n: "Anno Domini" if n == 4 else "AD"),
+    "a": (1, lambda t, n: "AM" if t.hour < 12 else "PM"),
+    "H": (2, lambda t, n: f"{t.hour:0{n}d}"),
+    "k": (2, lambda t, n: f"{t.hour or 24:0{n}d}"),
+    "K": (2, lambda t, n: f"{t.hour % 12:0{n}d}"),
+    "h": (2, lambda t, n: f"{(t.hour - 1) % 12 + 1:0{n}d}"),
+    "m": (2, lambda t, n: f"{t.minute:0{n}d}"),
+    "s": (2, lambda t, n: f"{t.second:0{n}d}"),
+    "S": (9, lambda t, n: f"{t.microsecond:06d}".ljust(n, "0")[:n]),
+    "n": (9, lambda t, n: f"{t.microsecond * 1000:0{n}d}"),
+    "A": (9, lambda t, n: f"{_millis(t):0{n}d}"),
+    "N": (15, lambda t, n: f"{_millis(t) * 1_000_000 + t.microsecond % 1000 * 1000:0{n}d}"),
+    "X": (5, lambda t, n: _offset(t, n, "X")),
+    "x": (5, lambda t, n: _offset(t, n, "x")),
+    "Z": (3, lambda t, n: _offset(t, 2, "Z")),
 }
 
 
@@ -52,9 +87,9 @@ def format_date(pattern: str, t: datetime) -> str | None:
             out.append(m[1].replace("''", "'") if m[1] else "'")
         elif m[2]:
             width = len(m[0])
-            if m[2] not in _FIELDS or width > (9 if m[2] in "yS" else 2):
+            if m[2] not in _FIELDS or width > _FIELDS[m[2]][0]:
                 return None
-            out.append(_FIELDS[m[2]](t, width))
+            out.append(_FIELDS[m[2]][1](t, width))
         elif m[3] in "{}#[]'":
             return None
         else:

@@ -9,6 +9,9 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_UNION = re.compile(r"\[\s*((?:-?\d+|'[^']*'|\"[^\"]*\")(?:\s*,\s*(?:-?\d+|'[^']*'|\"[^\"]*\"))+)\s*\]")
+_FILTER = re.compile(r"\[\?\(((?:[^()'\"]|'[^']*'|\"[^\"]*\"|\((?:[^()'\"]|'[^']*'|\"[^\"]*\")*\))+)\)\]")
+_TEST = re.compile(r"\s*(!?)\s*@((?:\.[\w\-]+|\[[^\]]+\])*)\s*(?:(==|!=|<=|>=|<|>)\s*('[^']*'|\"[^\"]*\"|[-+\w.]+)\s*)?")
 _STEP = re.compile(r"\.\.(?P<deep>\*|[\w\-一-鿿]+)|\.(?P<name>\*|[\w\-一-鿿]+)|\[(?P<q>['\"])(?P<quoted>.*?)(?P=q)\]|\[(?P<index>-?\d+|\*|-?\d*:-?\d*)\]")
 
 
@@ -23,16 +26,54 @@ def _below(value: Any) -> list:
     return found
 
 
+def _test(value: Any, test: str) -> bool:
+    """One comparison of a filter, @.name op literal, or whether the name exists."""
+    m = _TEST.fullmatch(test)
+    if not m:
+        raise ValueError(f"not a filter: {test!r}")
+    try:
+        left = read_path(value, "$" + m[2])
+    except PathMissing:
+        return m[1] == "!"
+    if m[3] is None:
+        return m[1] != "!"
+    right = m[4][1:-1] if m[4][0] in "'\"" else json.loads(m[4])
+    if m[3] in ("==", "!="):
+        return (left == right and isinstance(left, bool) == isinstance(right, bool)) == (m[3] == "==")
+    if not (isinstance(left, str) and isinstance(right, str)) and not all(isinstance(x, (int, float)) and not isinstance(x, bool) for x in (left, right)):
+        return False
+    return {"<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right}[m[3]]
+
+
+def _passes(value: Any, tests: str) -> bool:
+    """Tests joined by && and ||, of which && binds first; no brackets, and no || or && in texts."""
+    return any(all(_test(value, t) for t in part.split("&&")) for part in tests.split("||"))
+
+
 def read_path(document: Any, path: str) -> Any:
-    """The value at a JSON path: $, .name, ['name'], [n], [a:b], [*], .* and ..name.
+    """The value at a JSON path: $, .name, ['name'], [n], [a:b], [*], .*, ..name, [0,2], ['a','b'] and [?(@.a > 1)].
 
-    A path with *, a slice or .. gives the list of what it matches, maybe none; any other gives its value or raises
+    A path with *, a slice, a union, a filter or .. gives the list of what it matches, maybe none; any other gives its value or raises
     PathMissing.
     """
     if not path.startswith("$"):
         raise ValueError(f"a path starts with $: {path}")
     at, values, many = 1, [document], False
     while at < len(path):
+        if m := _UNION.match(path, at):
+            at, many = m.end(), True
+            parts = [x if x[0] in "'\"" else int(x) for x in re.findall(r"-?\d+|'[^']*'|\"[^\"]*\"", m[1])]
+            values = [
+                v[p] if isinstance(p, int) else v[p[1:-1]]
+                for v in values
+                for p in parts
+                if (isinstance(p, int) and isinstance(v, list) and -len(v) <= p < len(v)) or (isinstance(p, str) and isinstance(v, dict) and p[1:-1] in v)
+            ]
+            continue
+        if m := _FILTER.match(path, at):
+            at, many = m.end(), True
+            values = [x for v in values for x in (v if isinstance(v, list) else v.values() if isinstance(v, dict) else ()) if _passes(x, m[1])]
+            continue
         m = _STEP.match(path, at)
         if not m:
             raise ValueError(f"not a path from {path[at:]!r} on: {path}")

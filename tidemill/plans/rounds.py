@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.dates import duration_ms
-from tidemill.functions.text import KEPT_LENGTH, mask_secrets, sanitize
+from tidemill.functions.text import KEPT_LENGTH, mask_secrets, sanitize, window_tail
 from tidemill.schemas import SIGNALS
 
 KEY = ["session_id", "round_id"]
@@ -77,14 +77,21 @@ def events(signals: DataFrame, keep: int = KEPT_LENGTH, base: DataFrame | None =
     gathered per call and stand under `input`; a result's tail follows its head once, in the closing event.
     """
     rows = active(signals)
-    call = Window.partitionBy(*KEY, "tool_call_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pieces = F.collect_list(F.when(F.col("type") == "TOOL_CALL_DELTA", F.col("text"))).over(call)
-    results = F.collect_list(F.when(F.col("type") == "TOOL_RESULT_TEXT_DELTA", F.col("text"))).over(call)
+    call = [*KEY, "tool_call_id"]
     tools = rows.filter(F.col("tool_call_id").isNotNull() & F.col("type").startswith("TOOL_"))
-    tools = tools.withColumn("args", F.when(F.col("type") == "TOOL_CALL_END", F.array_join(pieces, ""))).withColumn("result", F.when(F.col("type").isin("TOOL_RESULT_END", "TOOL_RESULT_TEXT_DELTA"), F.array_join(results, "")))
-    before = F.length("result") - F.length("text")
+    # Lengths run along the call; texts are joined once a call, of what comes before the end of the arguments or the result.
+    w = Window.partitionBy(*call)
+    for kind in ("CALL", "RESULT"):
+        tools = tools.withColumn(f"_{kind}_end", F.min(F.when(F.col("type") == f"TOOL_{kind}_END", F.col("seq"))).over(w))
+    piece = lambda kind, delta: F.when((F.col("type") == delta) & F.col("text").isNotNull() & (F.col("seq") < F.coalesce(f"_{kind}_end", F.lit(1 << 62))), F.struct("seq", "text"))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda p: p["text"]), "")
+    texts = tools.groupBy(*call).agg(joined(piece("CALL", "TOOL_CALL_DELTA")).alias("_args"), joined(piece("RESULT", "TOOL_RESULT_TEXT_DELTA")).alias("_result"))
+    before = F.coalesce(F.sum(F.when(F.col("type") == "TOOL_RESULT_TEXT_DELTA", F.length("text"))).over(w.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     tools = tools.withColumn("head", F.when(F.col("type") == "TOOL_RESULT_TEXT_DELTA", F.left("text", F.greatest(F.lit(keep) - before, F.lit(0)).cast("int"))))
-    from tidemill.functions.text import window_tail
+    ends = F.col("type").isin("TOOL_CALL_END", "TOOL_RESULT_END")
+    tools = tools.filter(~ends).withColumns({"args": F.lit(None).cast("string"), "result": F.lit(None).cast("string")}).unionByName(
+        tools.filter(ends).join(texts, call, "left").withColumn("args", F.when(F.col("type") == "TOOL_CALL_END", F.col("_args"))).withColumn("result", F.when(F.col("type") == "TOOL_RESULT_END", F.col("_result"))).drop("_args", "_result")
+    )
 
     ids = [F.col("tool_call_id"), F.col("tool_name").alias("name")]
     arguments = F.when(F.schema_of_variant(F.try_parse_json("args")).startswith("OBJECT"), F.try_parse_json("args"))
@@ -109,10 +116,9 @@ def events(signals: DataFrame, keep: int = KEPT_LENGTH, base: DataFrame | None =
         kind.alias("event_type"),
         F.when(F.col("type") == "TEXT_DELTA", said("text", False)).when(F.col("type") == "TEXT_END", said("text", True)).when(F.col("type") == "THINKING_DELTA", said("thinking", False)).otherwise(said("thinking", True)).alias("payload"),
     )
-    starts = meaningful(signals).groupBy(*KEY).agg((F.min("seq") - 1).alias("seq")).select(*KEY, "seq", F.lit("RUN_START").alias("event_type"), F.to_json(F.struct(F.col("round_id"))).alias("payload"))
-    ended = terminals(signals).filter("state is not null")
-    errors = rows.filter("type in ('ERROR', 'INTERRUPT', 'DISCONNECT')").groupBy(*KEY).agg(F.min_by("text", "seq").alias("message"))
-    ended = ended.join(errors, KEY, "left").withColumn("message", sanitize(F.coalesce(F.when(F.trim("message") != "", F.col("message")), F.when(F.col("state") == "INTERRUPTED", "interrupted").otherwise("the agent failed"))))
+    starts = rows.groupBy(*KEY).agg((F.min("seq") - 1).alias("seq")).select(*KEY, "seq", F.lit("RUN_START").alias("event_type"), F.to_json(F.struct(F.col("round_id"))).alias("payload"))
+    # The signal that ended the round is the one that says why.
+    ended = rows.filter("seq = ended_seq").dropDuplicates(KEY).withColumn("message", sanitize(F.coalesce(F.when(F.trim("text") != "", F.col("text")), F.when(F.col("state") == "INTERRUPTED", "interrupted").otherwise("the agent failed"))))
     failed = F.col("state") != "DONE"
     ending = F.when(
         failed,
@@ -168,15 +174,18 @@ def rounds(signals: DataFrame) -> DataFrame:
     return ended.select(*KEY, F.when(F.col("status") == "FAILED", "").otherwise(F.col("output")).alias("output"), "status", "stop_reason")
 
 
-def span_tree(spans: DataFrame, max_depth: int = 16) -> DataFrame:
-    """(span_id, parent_span_id, depth, path) from the roots down, level by level, to max_depth."""
+def span_tree(spans: DataFrame, max_depth: int = 32) -> DataFrame:
+    """(span_id, parent_span_id, depth, path) from the roots down, level by level; deeper trees than max_depth are an error."""
     level = spans.filter("parent_span_id is null").select("span_id", "parent_span_id", F.lit(0).alias("depth"), F.col("span_id").cast("string").alias("path"))
-    found = level
-    for depth in range(1, max_depth + 1):
+    found, depth = level, 0
+    while True:
         up = level.select(F.col("span_id").alias("parent_span_id"), F.col("path").alias("_path"))
-        level = spans.join(up, "parent_span_id").select("span_id", "parent_span_id", F.lit(depth).alias("depth"), F.concat_ws("/", "_path", F.col("span_id").cast("string")).alias("path"))
+        level = spans.join(up, "parent_span_id").select("span_id", "parent_span_id", F.lit(depth + 1).alias("depth"), F.concat_ws("/", "_path", F.col("span_id").cast("string")).alias("path"))
+        if level.isEmpty():
+            return found
+        if (depth := depth + 1) > max_depth:
+            raise ValueError(f"spans are nested over {max_depth} deep, or in a circle")
         found = found.unionByName(level)
-    return found
 
 
 #: (state, next state) that a session may take.

@@ -146,13 +146,15 @@ def allow_list(t, spark) -> DataFrame:
 
 
 def _snapshots(t):
+    """Every order on both sides; a fifth of the remote ones are renamed, so that they are new there and gone here."""
     names = t("orders").select(F.col("o_orderpriority").alias("schema_name"), F.col("o_orderkey").cast("string").alias("table_name"), F.col("o_orderstatus").alias("table_comment"), "o_orderkey")
-    remote = names.filter("o_orderkey % 5 <> 0").withColumn("table_comment", F.when(F.col("o_orderkey") % 7 == 0, "changed").otherwise(F.col("table_comment")))
-    return remote.drop("o_orderkey"), names.filter("o_orderkey % 4 <> 0").drop("o_orderkey")
+    remote = names.withColumn("table_name", F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("new"), "table_name")).otherwise(F.col("table_name")))
+    remote = remote.withColumn("table_comment", F.when(F.col("o_orderkey") % 7 == 0, "changed").otherwise(F.col("table_comment")))
+    return remote.drop("o_orderkey"), names.drop("o_orderkey")
 
 
-_DIFF_SQL = """WITH r AS (SELECT o_orderpriority AS schema_name, o_orderkey::VARCHAR AS table_name, CASE WHEN o_orderkey % 7 = 0 THEN 'changed' ELSE o_orderstatus END AS c FROM orders WHERE o_orderkey % 5 <> 0),
-l AS (SELECT o_orderpriority AS schema_name, o_orderkey::VARCHAR AS table_name, o_orderstatus AS c FROM orders WHERE o_orderkey % 4 <> 0),
+_DIFF_SQL = """WITH r AS (SELECT o_orderpriority AS schema_name, CASE WHEN o_orderkey % 5 = 0 THEN 'new' ELSE '' END || o_orderkey AS table_name, CASE WHEN o_orderkey % 7 = 0 THEN 'changed' ELSE o_orderstatus END AS c FROM orders),
+l AS (SELECT o_orderpriority AS schema_name, o_orderkey::VARCHAR AS table_name, o_orderstatus AS c FROM orders),
 d AS (SELECT coalesce(r.schema_name, l.schema_name) AS schema_name, coalesce(r.table_name, l.table_name) AS table_name,
 CASE WHEN l.table_name IS NULL THEN 'insert' WHEN r.table_name IS NULL THEN 'remove' WHEN r.c IS DISTINCT FROM l.c THEN 'update' ELSE 'keep' END AS action, r.c AS remote_value, l.c AS local_value
 FROM r FULL OUTER JOIN l ON r.schema_name = l.schema_name AND r.table_name = l.table_name) """
@@ -250,7 +252,7 @@ UNION ALL SELECT s.span_id, s.parent_span_id, tree.depth + 1, tree.path || '/' |
 def span_tree(t, spark) -> DataFrame:
     roots = t("region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("span_id"), F.lit(None).cast("string").alias("parent_span_id"))
     below = t("nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")))
-    return rounds.span_tree(roots.union(below), 2)
+    return rounds.span_tree(roots.union(below))
 
 
 _STEPS = (("view", "click"), ("click", "purchase"), ("signup", "view"), ("error", "view"), ("view", "view"))
@@ -292,15 +294,16 @@ def startup_recovery(t, spark) -> DataFrame:
 
 
 @query(f"""WITH s AS (SELECT user_id::VARCHAR AS session_id, event_id AS seq, {_SIGNAL_SQL} AS type, props FROM events),
-e AS (SELECT session_id, min(seq) FILTER (type IN ('AGENT_END', 'ERROR')) AS ended, arg_min(type, seq) FILTER (type IN ('AGENT_END', 'ERROR')) AS t, min(seq) - 1 AS s0 FROM s GROUP BY 1),
-v AS (SELECT session_id, s0 AS seq, 0 AS part, 'RUN_START' AS event_type FROM e
-UNION ALL SELECT s.session_id, seq, 0, 'MESSAGE' FROM s JOIN e USING (session_id) WHERE s.type = 'TEXT_DELTA' AND (ended IS NULL OR seq <= ended)
-UNION ALL SELECT session_id, ended, 1, CASE t WHEN 'AGENT_END' THEN 'RUN_END' ELSE 'RUN_ERROR' END FROM e WHERE ended IS NOT NULL
-UNION ALL SELECT session_id, ended, 2, CASE t WHEN 'AGENT_END' THEN 'SESSION_STATUS' ELSE 'ERROR' END FROM e WHERE ended IS NOT NULL
-UNION ALL SELECT session_id, ended, 3, 'SESSION_STATUS' FROM e WHERE t = 'ERROR')
-SELECT session_id, '1' AS round_id, event_type, row_number() OVER (PARTITION BY session_id ORDER BY seq, part) AS sequence_num FROM v""")
+e AS (SELECT session_id, min(seq) FILTER (type IN ('AGENT_END', 'ERROR')) AS ended, arg_min(type, seq) FILTER (type IN ('AGENT_END', 'ERROR')) AS t, arg_min(props, seq) FILTER (type IN ('AGENT_END', 'ERROR')) AS message, min(seq) - 1 AS s0, min(seq) FILTER (type = 'EXCEED_MAX_ITERS') AS l FROM s GROUP BY 1),
+w AS (SELECT *, CASE WHEN t = 'ERROR' THEN 'error' WHEN l < ended THEN 'max_iterations' ELSE 'stop' END AS stop_reason FROM e),
+v AS (SELECT session_id, s0 AS seq, 0 AS part, 'RUN_START' AS event_type, to_json({{'round_id': '1'}}) AS payload FROM w
+UNION ALL SELECT s.session_id, seq, 0, 'MESSAGE', to_json({{'content': [{{'type': 'text', 'text': props}}], 'is_last': false}}) FROM s JOIN w USING (session_id) WHERE s.type = 'TEXT_DELTA' AND (ended IS NULL OR seq <= ended)
+UNION ALL SELECT session_id, ended, 1, CASE t WHEN 'AGENT_END' THEN 'RUN_END' ELSE 'RUN_ERROR' END, CASE t WHEN 'AGENT_END' THEN to_json({{'stop_reason': stop_reason}}) ELSE to_json({{'stop_reason': stop_reason, 'message': message}}) END FROM w WHERE ended IS NOT NULL
+UNION ALL SELECT session_id, ended, 2, 'ERROR', to_json({{'code': 'DEEP_AGENT_RUN_ERROR', 'message': message}}) FROM w WHERE t = 'ERROR'
+UNION ALL SELECT session_id, ended, 3, 'SESSION_STATUS', to_json({{'status': 'IDLE', 'stop_reason': stop_reason}}) FROM w WHERE ended IS NOT NULL)
+SELECT session_id, '1' AS round_id, event_type, payload::VARCHAR AS payload, row_number() OVER (PARTITION BY session_id ORDER BY seq, part) AS sequence_num FROM v""")
 def round_fold(t, spark) -> DataFrame:
-    return rounds.events(_signals(t)).drop("payload")
+    return rounds.events(_signals(t))
 
 
 @query(f"""WITH s AS (SELECT user_id::VARCHAR AS session_id, event_id AS seq, {_SIGNAL_SQL} AS type, props FROM events),
@@ -330,8 +333,11 @@ def date_variables(t, spark) -> DataFrame:
     return t("events").select("event_id", *(dates.date_variable(v, ts).alias(k) for k, v in names.items()))
 
 
-@query()
+@query("SELECT c_custkey, c_name AS name, c_name AS opened, (4 * ceil((28 + strlen(c_name)) / 3.0))::INTEGER AS sealed_length FROM customer")
 def encrypt_round_trip(t, spark) -> DataFrame:
     secret = F.lit("a secret")
     sealed = secure.encrypt(F.col("c_name"), secret)
     return t("customer").select("c_custkey", F.col("c_name").alias("name"), secure.decrypt(sealed, secret).alias("opened"), F.length(sealed).alias("sealed_length"))
+
+
+from tidemill import registry_commands, registry_sources  # noqa: E402, F401  they add their queries

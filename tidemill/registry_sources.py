@@ -1,0 +1,101 @@
+"""Named queries for the sources. They read a database and an endpoint that run in the driver's own process, which makes
+them demonstrations for one machine: the engine's sources themselves read any address that executors can reach."""
+
+from __future__ import annotations
+
+import functools
+import json
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qs, urlsplit
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemill.registry import query
+from tidemill.sources import httpjson, jdbc
+
+_DERBY = {"url": "jdbc:derby:memory:tidemill;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+
+def _stored(t, name: str, *columns: str) -> jdbc.Connection:
+    df = t(name).select(*(F.col(c) if kind != "string" else F.col(c).cast("varchar(200)") for c, kind in t(name).select(*columns).dtypes))
+    df.write.format("jdbc").options(**_DERBY, dbtable=f"APP.{name.upper()}", createTableColumnTypes=", ".join(f"{c} VARCHAR(200)" for c, kind in t(name).select(*columns).dtypes if kind == "string")).mode("overwrite").save()
+    return jdbc.Connection("POSTGRESQL", schema="APP", url=_DERBY["url"], limit="FETCH FIRST {rows} ROWS ONLY", probe="SELECT 1 AS works FROM SYSIBM.SYSDUMMY1")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def jdbc_preview(t, spark: SparkSession) -> DataFrame:
+    return jdbc.preview(spark, _stored(t, "nation", "n_nationkey", "n_name", "n_regionkey"), "NATION", 100)
+
+
+@query("SELECT 1 AS works, 3 AS rows, 'the server can''t be reached' AS failure")
+def jdbc_limit(t, spark) -> DataFrame:
+    c = _stored(t, "region", "r_regionkey", "r_name")
+    works, _ = jdbc.test_connection(spark, c)
+    few = jdbc.preview(spark, c, "REGION", 3).agg(F.count("*").cast("int").alias("rows"))
+    return few.select(F.lit(int(works)).alias("works"), "rows", F.lit(jdbc.diagnose("08001", "no route")).alias("failure"))
+
+
+@query("SELECT * FROM (VALUES ('MYSQL', 'MySQL', 'OLTP'), ('CLICKHOUSE', 'ClickHouse', 'OLAP'), ('POSTGRESQL', 'PostgreSQL', 'OLTP'), ('API', 'API', 'API')) s(type, name, category)")
+def supported_sources(t, spark) -> DataFrame:
+    return jdbc.supported_types(spark)
+
+
+class _Endpoint(BaseHTTPRequestHandler):
+    def log_message(self, *_):
+        pass
+
+    def do_GET(self):
+        at = urlsplit(self.path)
+        asked = {k: v[0] for k, v in parse_qs(at.query).items()}
+        rows, status = self.server.rows, 200
+        if at.path == "/login":
+            out = {"token": "t-1"}
+        elif self.headers.get("X-Token") != "t-1":
+            status, out = 401, {}
+        else:
+            page, size = int(asked["page"]), int(asked["size"])
+            out = {"data": rows[(page - 1) * size : page * size], "total": len(rows)}
+        body = json.dumps(out).encode()
+        self.send_response(status)
+        self.send_header("Content-Length", str(len(body)))
+        self.end_headers()
+        self.wfile.write(body)
+
+
+@functools.cache
+def _server() -> ThreadingHTTPServer:
+    server = ThreadingHTTPServer(("", 0), _Endpoint)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    return server
+
+
+def _address(t, spark: SparkSession) -> str:
+    server = _server()
+    server.rows = [r.asDict() for r in t("nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").limit(1000).collect()]  # a table of countries
+    return f"http://{spark.conf.get('spark.driver.host')}:{server.server_port}"
+
+
+def _options(address: str) -> dict[str, str]:
+    login = {"url": f"{address}/login", "mappings": [{"name": "token", "json_path": "$.token", "location": "HEADER", "target": "X-Token"}]}
+    pages = {"type": "PAGE_BASED", "size": 4, "page_param": "page", "size_param": "size", "total_path": "$.total"}
+    return {"url": f"{address}/rows", "json_path": "$.data", "pre_operations": json.dumps([login]), "pagination": json.dumps(pages)}
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey::DOUBLE AS n_regionkey FROM nation")
+def http_pages(t, spark) -> DataFrame:
+    httpjson.register(spark)
+    return spark.read.format("httpjson").options(**_options(_address(t, spark))).schema("n_nationkey long, n_name string, n_regionkey double").load()
+
+
+@query("SELECT n_nationkey::INTEGER AS n_nationkey FROM nation ORDER BY 1 LIMIT 7")
+def http_limit(t, spark) -> DataFrame:
+    httpjson.register(spark)
+    return spark.read.format("httpjson").options(**_options(_address(t, spark)), limit="7").schema("n_nationkey int").load()
+
+
+@query("SELECT 't-1' AS token")
+def http_raw(t, spark) -> DataFrame:
+    httpjson.register(spark)
+    return spark.read.format("httpjson").options(url=f"{_address(t, spark)}/login", raw="true").load().select(F.get_json_object("value", "$.token").alias("token"))

@@ -13,13 +13,15 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
+from datetime import date, datetime, timezone
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import BooleanType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DateType, DecimalType, DoubleType, FloatType, IntegerType, LongType, MapType, ShortType, StringType, StructField, StructType, TimestampType
 
 from tidemill.functions.dates import substitute
-from tidemill.functions.jsons import PathMissing, parse_response, read_path
+from tidemill.functions.jsons import PathMissing, field_tree, parse_response, read_path
 from tidemill.functions.text import basic_credential_of, form_encode
 
 DEFAULT_PAGES, DEFAULT_SIZE, DEFAULT_TIMEOUT = 100, 100, 180
@@ -157,27 +159,64 @@ class Pages(InputPartition):
         self.first, self.last, self.context, self.bound, self.limit = first, last, context, bound, limit
 
 
-_CAST = {LongType: int, IntegerType: int, ShortType: int, DoubleType: float, FloatType: float}
+_RANGES = {ShortType: 16, IntegerType: 32, LongType: 64}
 
 
-def _value(v: Any, kind) -> Any:
-    """A JSON value in a column's type; null where it doesn't fit."""
+def convert(v: Any, kind: DataType) -> Any:
+    """A JSON value in a column's type, down into arrays, maps and structs; null where it doesn't fit.
+
+    Whole numbers only are integers. Dates and timestamps come as ISO text, decimals as numbers or text; text columns hold
+    the JSON of values that are no text. Types that JSON has no form for are refused when the source is opened.
+    """
     if v is None:
         return None
     if isinstance(kind, StringType):
         return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
-    if isinstance(kind, BooleanType):
-        return v if isinstance(v, bool) else None
     try:
-        return _CAST[type(kind)](v)
-    except (KeyError, TypeError, ValueError):
+        if isinstance(kind, BooleanType):
+            return v if isinstance(v, bool) else None
+        if isinstance(kind, ArrayType):
+            return [convert(x, kind.elementType) for x in v] if isinstance(v, list) else None
+        if isinstance(kind, MapType):
+            return {k: convert(x, kind.valueType) for k, x in v.items()} if isinstance(v, dict) else None
+        if isinstance(kind, StructType):
+            return tuple(convert(v.get(f.name), f.dataType) for f in kind.fields) if isinstance(v, dict) else None
+        if isinstance(kind, DateType):
+            return date.fromisoformat(v[:10])
+        if isinstance(kind, TimestampType):
+            at = datetime.fromisoformat(v)
+            return at if at.tzinfo else at.replace(tzinfo=timezone.utc)
+        if isinstance(v, bool) or not isinstance(v, (int, float, str)):
+            return None
+        if isinstance(kind, DecimalType):
+            number = Decimal(str(v)).quantize(Decimal(1).scaleb(-kind.scale))
+            return number if len(number.as_tuple().digits) <= kind.precision else None
+        if isinstance(kind, (DoubleType, FloatType)):
+            return float(v)
+        number = Decimal(str(v))
+        return int(number) if number == int(number) and -(2 ** (_RANGES[type(kind)] - 1)) <= number < 2 ** (_RANGES[type(kind)] - 1) else None
+    except (TypeError, ValueError, ArithmeticError):
         return None
 
 
+def check_type(kind: DataType) -> None:
+    plain = (StringType, BooleanType, DoubleType, FloatType, DecimalType, DateType, TimestampType, *_RANGES)
+    if isinstance(kind, ArrayType):
+        check_type(kind.elementType)
+    elif isinstance(kind, MapType) and isinstance(kind.keyType, StringType):
+        check_type(kind.valueType)
+    elif isinstance(kind, StructType):
+        for f in kind.fields:
+            check_type(f.dataType)
+    elif not isinstance(kind, plain):
+        raise ValueError(f"a JSON source has no columns of type {kind.simpleString()}")
+
+
 class Reader(DataSourceReader):
     """Pre-operations run once, in planning. With a total, page ranges are read in parallel; without one, in one task."""
 
     def __init__(self, options: dict[str, str], schema: StructType):
+        check_type(schema)
         self.settings, self.schema = _settings(options), schema
         self.limit = int(options.get("limit") or 0)
         self.tasks = int(options.get("tasks") or 8)
@@ -205,7 +244,7 @@ class Reader(DataSourceReader):
             if self.schema.names == ["row"]:
                 yield (json.dumps(row, ensure_ascii=False),)
             else:
-                yield tuple(_value(row.get(f.name), f.dataType) for f in self.schema.fields)
+                yield tuple(convert(row.get(f.name), f.dataType) for f in self.schema.fields)
 
 
 class HttpJson(DataSource):
@@ -222,3 +261,25 @@ class HttpJson(DataSource):
 
 def register(spark) -> None:
     spark.dataSource.register(HttpJson)
+
+
+def test_endpoints(endpoints: dict[str, dict[str, Any]], sleep=time.sleep) -> dict[str, str | None]:
+    """Why each endpoint of a connection can't be fetched, None where it can; the connection works if all can."""
+    out: dict[str, str | None] = {}
+    for name, settings in endpoints.items():
+        try:
+            context, bound = prepare(settings, settings.get("context") or {}, sleep)
+            p = check_pagination(settings.get("pagination") or {})
+            fetch_page(settings, page_context(context, 1, p["size"]) if p["type"] == "PAGE_BASED" else context, bound, sleep)
+            out[name] = None
+        except Exception as e:  # noqa: BLE001  any failure is the answer
+            out[name] = str(e) or type(e).__name__
+    return out
+
+
+test_endpoints.__test__ = False
+
+
+def sample(body: str, json_path: str = "$", rows: int = 10) -> tuple[list[dict], list[dict]]:
+    """(field tree, first rows) of a response, as a user is shown them."""
+    return field_tree(body, json_path), parse_response(body, json_path)[0][:rows]

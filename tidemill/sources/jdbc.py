@@ -27,8 +27,8 @@ class Dialect:
 
 #: The kinds of relational sources, with their default ports (fixed values).
 DIALECTS = {
-    "MYSQL": Dialect("MySQL", 3306, "`", "jdbc:mysql://{host}:{port}/{database}?useSSL=false&serverTimezone=UTC", "OLTP", "SELECT table_name, table_comment FROM information_schema.tables WHERE table_schema = '{schema}'"),
-    "CLICKHOUSE": Dialect("ClickHouse", 8123, "`", "jdbc:clickhouse://{host}:{port}/{database}", "OLAP", "SELECT name AS table_name, comment AS table_comment FROM system.tables WHERE database = '{schema}'"),
+    "MYSQL": Dialect("MySQL", 3306, "`", "jdbc:mysql://{host}:{port}/{database}?useSSL=false&serverTimezone=UTC", "OLTP", "SELECT table_name, table_comment FROM information_schema.tables WHERE table_schema = '{schema}' AND table_type = 'BASE TABLE'"),
+    "CLICKHOUSE": Dialect("ClickHouse", 8123, "`", "jdbc:clickhouse://{host}:{port}/{database}", "OLAP", "SELECT name AS table_name, comment AS table_comment FROM system.tables WHERE database = '{schema}' AND engine NOT LIKE '%View'"),
     "POSTGRESQL": Dialect(
         "PostgreSQL", 5432, '"', "jdbc:postgresql://{host}:{port}/{database}?currentSchema={schema}", "OLTP",
         "SELECT c.relname AS table_name, obj_description(c.oid) AS table_comment FROM pg_class c JOIN pg_namespace n ON n.oid = c.relnamespace WHERE n.nspname = '{schema}' AND c.relkind = 'r'",
@@ -48,6 +48,9 @@ class Connection:
     user: str | None = None
     password: str | None = None
     url: str | None = None
+    #: How this database bounds a query, and the query that tests it; those of the three dialects by default.
+    limit: str = "LIMIT {rows}"
+    probe: str = "SELECT 1"
 
     def jdbc_url(self) -> str:
         d = DIALECTS[self.kind]
@@ -74,14 +77,13 @@ def check_schema(name: str) -> str:
 
 def preview_sql(c: Connection, schema: str, table: str, rows: int) -> str:
     mark = DIALECTS[c.kind].mark
-    return f"SELECT * FROM {quote_identifier(schema, mark)}.{quote_identifier(table, mark)} LIMIT {rows}"
+    return f"SELECT * FROM {quote_identifier(schema, mark)}.{quote_identifier(table, mark)} {c.limit.format(rows=rows)}"
 
 
 def preview(spark: SparkSession, c: Connection, table: str, rows: int) -> DataFrame:
-    """The first rows of a table. The table is named, not its query, so that filters, columns and the limit are pushed down."""
-    mark = DIALECTS[c.kind].mark
-    name = f"{quote_identifier(c.schema_name(), mark)}.{quote_identifier(table, mark)}"
-    df = spark.read.format("jdbc").options(**c.options(), dbtable=name, fetchsize=str(min(rows, MOST_FETCHED))).load().limit(rows)
+    """The first rows of a table. The database itself gets the limit, so that drivers which hold whole results hold few."""
+    sql = preview_sql(c, c.schema_name(), table, rows)
+    df = spark.read.format("jdbc").options(**c.options(), query=sql, fetchsize=str(min(rows, MOST_FETCHED))).load()
     return as_text(df) if c.kind == "POSTGRESQL" else df
 
 
@@ -142,12 +144,7 @@ def diagnose(state: str | None, message: str | None) -> str:
 def test_connection(spark: SparkSession, c: Connection) -> tuple[bool, str]:
     """(whether it works, why not)."""
     try:
-        probe = "VALUES 1" if c.jdbc_url().startswith("jdbc:derby") else "SELECT 1"
-        options = c.options() | {"queryTimeout": str(VALIDATE_SECONDS)}
-        if probe.startswith("VALUES"):
-            spark.read.format("jdbc").options(**options, dbtable="SYSIBM.SYSDUMMY1").load().limit(1).collect()
-        else:
-            spark.read.format("jdbc").options(**options, query=probe).load().limit(1).collect()
+        spark.read.format("jdbc").options(**c.options() | {"queryTimeout": str(VALIDATE_SECONDS)}, query=c.probe).load().collect()
         return True, ""
     except Exception as e:  # noqa: BLE001  any failure is the answer
         return False, diagnose(None, str(e))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -15,6 +16,30 @@ def package_path(skill_id: str, version: int) -> str:
     return f"{skill_id}/{version}/{skill_id}-{version}.zip"
 
 
+def _stored(spark: SparkSession, root: str, skill_id: str, version: int):
+    if not re.fullmatch(r"[\w-]+", skill_id) or version < 1:
+        raise ValueError(f"not a package of the store: {skill_id!r} {version}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{package_path(skill_id, version)}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def write_package(spark: SparkSession, root: str, skill_id: str, version: int, content: bytes) -> str:
+    """Stores one package, over an older one of that version, in any file system that Spark reaches; gives its path."""
+    files, path = _stored(spark, root, skill_id, version)
+    out = files.create(path, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+    return path.toString()
+
+
+def delete_package(spark: SparkSession, root: str, skill_id: str, version: int) -> bool:
+    """Whether there was such a package."""
+    files, path = _stored(spark, root, skill_id, version)
+    return files.delete(path, False)
+
+
 def packages(spark: SparkSession, root: str) -> DataFrame:
     """(skill_id, version_number, path, length, content) of all packages in the store."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(root)
