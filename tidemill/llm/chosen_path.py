@@ -410,3 +410,18 @@ def drop_near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Classes and numbers of links of all documents, at five words and a similarity of 0.8."""
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: All pairs of texts that share a shingle, counted: what the join finds by chosen paths.
+ORACLE_OP9 = r"""
+WITH RECURSIVE t AS (SELECT text, min(doc_id) AS least, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE text IS NOT NULL GROUP BY text),
+u AS (SELECT row_number() OVER (ORDER BY least, text) AS k, text, least, w FROM t WHERE len(w) > 0),
+s AS (SELECT DISTINCT k, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS g FROM u, LATERAL (SELECT unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i)),
+z AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+c AS (SELECT a.k AS a, b.k AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.k <> b.k GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN z x ON x.k = a JOIN z y ON y.k = b WHERE common >= 0.8 * (x.n + y.n - common) - 1e-9),
+reach AS (SELECT k, k AS m FROM u UNION SELECT l.b, reach.m FROM reach JOIN l ON l.a = reach.k),
+cls AS (SELECT reach.k, min(u.least) AS class_id FROM reach JOIN u ON u.k = reach.m GROUP BY 1),
+deg AS (SELECT a AS k, count(*) AS n FROM l GROUP BY 1)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(deg.n, 0) AS n_links FROM documents LEFT JOIN u USING (text) LEFT JOIN cls ON cls.k = u.k LEFT JOIN deg ON deg.k = u.k
+"""

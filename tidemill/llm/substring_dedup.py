@@ -321,3 +321,19 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 def op7_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     """Strings of 100 bytes over all documents."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Bytes as two hexadecimal digits each, in pieces that overlap by a string, so that no long text is cut again and again.
+ORACLE_OP7 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+c AS (SELECT doc_id, n, b * 1000 AS base, substr(h, 2000 * b + 1, 2198) AS part FROM d, LATERAL (SELECT unnest(range(0, greatest(n - 99, 0) // 1000 + 1)) AS b)),
+s AS (SELECT doc_id, base + i AS start, substr(part, 2 * i + 1, 200) AS x FROM c, LATERAL (SELECT unnest(range(0, least(1000, n - 99 - base))) AS i)),
+f AS (SELECT x, min(doc_id::HUGEINT * 1099511627776 + start) AS earliest FROM s GROUP BY x HAVING count(*) > 1),
+r AS (SELECT doc_id, start, coalesce(start - lag(start) OVER (PARTITION BY doc_id ORDER BY start) > 100, true)::INTEGER AS new FROM s JOIN f USING (x) WHERE doc_id::HUGEINT * 1099511627776 + start > earliest),
+g AS (SELECT doc_id, start, sum(new) OVER (PARTITION BY doc_id ORDER BY start) AS run FROM r),
+p AS (SELECT doc_id, min(start) AS a, max(start) + 100 AS b FROM g GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM p),
+m AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN m USING (doc_id)
+"""
