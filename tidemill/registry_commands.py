@@ -13,7 +13,8 @@ from tidemill.operators import catalog, commands
 from tidemill.plans import envelope, rounds
 from tidemill.registry import query
 
-_LIVE = F.lit(0).cast("short").alias("is_deleted")
+def _live() -> Column:
+    return F.lit(0).cast("short").alias("is_deleted")
 
 
 def _told(df: DataFrame, *errors: str | None) -> DataFrame:
@@ -31,7 +32,7 @@ _CONNECTIONS_SQL = "c AS (SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_na
 
 def _connections(t) -> DataFrame:
     status = F.when(F.col("s_nationkey") % 2 == 0, "ENABLED").otherwise("DISABLED")
-    return t("supplier").select(F.col("s_suppkey").cast("long").alias("id"), F.col("s_name").alias("name"), status.alias("status"), F.lit("pw").alias("password"), _LIVE)
+    return t("supplier").select(F.col("s_suppkey").cast("long").alias("id"), F.col("s_name").alias("name"), status.alias("status"), F.lit("pw").alias("password"), _live())
 
 
 @query(f"""WITH {_CONNECTIONS_SQL} SELECT id, CASE WHEN id = 1 THEN 'renamed' ELSE name END AS name, status, password, is_deleted, 3 AS refused FROM c
@@ -63,8 +64,8 @@ SELECT 'connections' AS level, count(*) AS live FROM region WHERE r_regionkey <>
 UNION ALL SELECT 'tables', count(*) FROM customer WHERE c_custkey NOT IN (SELECT k FROM c) UNION ALL SELECT 'columns', count(*) FROM orders WHERE o_custkey NOT IN (SELECT k FROM c)
 UNION ALL SELECT 'endpoints', count(*) FROM supplier WHERE s_suppkey NOT IN (SELECT k FROM s) UNION ALL SELECT 'fields', count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT k FROM s)""")
 def datasource_delete(t, spark) -> DataFrame:
-    below = lambda name, key, ref, parent: t(name).select(key.alias("id"), parent.alias(ref), _LIVE)
-    connections = t("region").select(F.col("r_regionkey").cast("long").alias("id"), F.when(F.col("r_regionkey") == 1, "DISABLED").otherwise("ENABLED").alias("status"), _LIVE)
+    below = lambda name, key, ref, parent: t(name).select(key.alias("id"), parent.alias(ref), _live())
+    connections = t("region").select(F.col("r_regionkey").cast("long").alias("id"), F.when(F.col("r_regionkey") == 1, "DISABLED").otherwise("ENABLED").alias("status"), _live())
     after, _ = commands.delete_datasource(
         connections, 1,
         below("nation", F.col("n_nationkey"), "connection_id", F.col("n_regionkey")), below("customer", F.col("c_custkey"), "database_schema_id", F.col("c_nationkey")),
@@ -80,7 +81,7 @@ def datasource_delete(t, spark) -> DataFrame:
 
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey = 1 THEN 'a note' ELSE c_name END AS table_custom_comment, 0 AS is_deleted, 1 AS refused FROM customer")
 def custom_comment(t, spark) -> DataFrame:
-    tables = t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("table_custom_comment"), _LIVE)
+    tables = t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("table_custom_comment"), _live())
     tables, noted = commands.comment(tables, 1, "table_custom_comment", "a note")
     tables, too_long = commands.comment(tables, 2, "table_custom_comment", "x" * 151)
     return _told(tables, noted, too_long)
@@ -90,8 +91,8 @@ def custom_comment(t, spark) -> DataFrame:
 SELECT n_nationkey AS id, 0 AS connection_id, 'n' || n_nationkey AS name, CASE WHEN n_nationkey = 3 THEN 'http://x' ELSE 'http://old' END AS url, CASE WHEN n_nationkey = 5 THEN 1 ELSE 0 END AS is_deleted, coalesce(f.n, 0) AS fields, 1 AS refused
 FROM nation LEFT JOIN f ON f.k = n_nationkey""")
 def endpoint_save(t, spark) -> DataFrame:
-    endpoints = t("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.lit(0).cast("long").alias("connection_id"), _id("n", "n_nationkey").alias("name"), F.lit("http://old").alias("url"), _LIVE)
-    fields = t("customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_nationkey").cast("long").alias("api_schema_id"), F.col("c_name").alias("original_name"), _LIVE)
+    endpoints = t("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.lit(0).cast("long").alias("connection_id"), _id("n", "n_nationkey").alias("name"), F.lit("http://old").alias("url"), _live())
+    fields = t("customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_nationkey").cast("long").alias("api_schema_id"), F.col("c_name").alias("original_name"), _live())
     (endpoints, fields), merged = commands.save_endpoint(endpoints, fields, {"id": 3, "connection_id": 0, "name": None, "url": "http://x"}, [{"id": 1_000_001, "original_name": "f"}])
     (endpoints, fields), taken = commands.save_endpoint(endpoints, fields, {"id": 4, "connection_id": 0, "name": "n3"}, None)
     (endpoints, fields), gone = commands.delete_endpoint(endpoints, fields, 5)
@@ -105,13 +106,13 @@ def endpoint_save(t, spark) -> DataFrame:
 def _profiles(t) -> DataFrame:
     return t("nation").select(
         _id("p", "n_nationkey").alias("profile_id"), F.concat(F.lit("m"), F.col("n_nationkey").cast("string")).alias("display_name"), F.lit("sealed").alias("encrypted_credential"), F.lit(1000).alias("context_window_input"),
-        *(F.lit(None).cast("int").alias(c) for c in ("context_window_output", "tool_call_rounds", "vector_dimension")), F.when(F.col("n_nationkey") == 0, "DISABLED").otherwise("ENABLED").alias("status"), _LIVE,
+        *(F.lit(None).cast("int").alias(c) for c in ("context_window_output", "tool_call_rounds", "vector_dimension")), F.when(F.col("n_nationkey") == 0, "DISABLED").otherwise("ENABLED").alias("status"), _live(),
     )
 
 
 def _agents(t) -> tuple[DataFrame, DataFrame]:
-    agents = t("customer").select(_id("a", "c_custkey").alias("agent_id"), F.col("c_name").alias("name"), (F.col("c_custkey") % 7 == 0).alias("archived"), F.lit(None).cast("timestamp").alias("archived_at"), F.lit(1).alias("latest_version"), _LIVE)
-    return agents, t("customer").select(_id("a", "c_custkey").alias("agent_id"), F.lit(1).alias("version_number"), F.lit("p2").alias("model_profile_id"), _LIVE)
+    agents = t("customer").select(_id("a", "c_custkey").alias("agent_id"), F.col("c_name").alias("name"), (F.col("c_custkey") % 7 == 0).alias("archived"), F.lit(None).cast("timestamp").alias("archived_at"), F.lit(1).alias("latest_version"), _live())
+    return agents, t("customer").select(_id("a", "c_custkey").alias("agent_id"), F.lit(1).alias("version_number"), F.lit("p2").alias("model_profile_id"), _live())
 
 
 @query("""WITH a AS (SELECT 'a' || c_custkey AS agent_id, c_name AS name, c_custkey % 7 = 0 OR c_custkey = 2 AS archived, c_custkey = 2 AS stamped, CASE WHEN c_custkey = 1 THEN 2 ELSE 1 END AS latest_version, CASE WHEN c_custkey = 3 THEN 1 ELSE 0 END AS is_deleted FROM customer
@@ -152,7 +153,7 @@ def profile_commands(t, spark) -> DataFrame:
 @query("""SELECT 'k' || p_partkey AS skill_id, 1 AS version_number, p_name AS name, CASE WHEN p_partkey = 2 THEN 1 ELSE 0 END AS is_deleted, 2 AS refused FROM part
 UNION ALL SELECT 'k1', 2, p_name, 0, 2 FROM part WHERE p_partkey = 1 UNION ALL SELECT 'knew', 1, 'fresh', 0, 2""")
 def skill_commands(t, spark) -> DataFrame:
-    df = t("part").select(_id("k", "p_partkey").alias("skill_id"), F.lit(1).alias("version_number"), F.col("p_name").alias("name"), _LIVE)
+    df = t("part").select(_id("k", "p_partkey").alias("skill_id"), F.lit(1).alias("version_number"), F.col("p_name").alias("name"), _live())
     df, made = commands.publish_skill(df, {"skill_id": "knew", "name": "fresh"}, True)
     df, taken = commands.publish_skill(df, {"skill_id": "kother", "name": "fresh"}, True)
     df, following = commands.publish_skill(df, {"skill_id": "k1", "name": "ignored"}, False)
@@ -165,7 +166,7 @@ def skill_commands(t, spark) -> DataFrame:
 CASE WHEN c_custkey = 3 THEN 'titled' ELSE c_name END AS title, NULL::VARCHAR AS metadata, 0 AS is_deleted, 3 AS refused FROM customer UNION ALL SELECT 'snew', 'a1', 1, 'IDLE', NULL, NULL, 0, 3""")
 def session_commands(t, spark) -> DataFrame:
     agents, _ = _agents(t)
-    df = t("customer").select(_id("s", "c_custkey").alias("session_id"), _id("a", "c_custkey").alias("agent_id"), F.lit(1).alias("agent_version"), F.lit("IDLE").alias("status"), F.col("c_name").alias("title"), F.lit(None).cast("string").alias("metadata"), _LIVE)
+    df = t("customer").select(_id("s", "c_custkey").alias("session_id"), _id("a", "c_custkey").alias("agent_id"), F.lit(1).alias("agent_version"), F.lit("IDLE").alias("status"), F.col("c_name").alias("title"), F.lit(None).cast("string").alias("metadata"), _live())
     df, made = commands.create_session(df, agents, {"session_id": "snew", "agent_id": "a1"})
     df, archived = commands.create_session(df, agents, {"session_id": "sold", "agent_id": "a7"})
     df, taken = commands.acquire_session(df, "s1")
