@@ -116,45 +116,6 @@ def test_model_is_a_distribution(spark):
     assert int(m.tail_total.sum() + m.head_counts.sum()) == m.total
 
 
-def test_pairs_of_rare_words_sum_to_one(spark):
-    """Brute force: the discounted shares of pairs, and in each context the sum over the slot with its unseen rest."""
-    rng = random.Random(2)
-    rare = [f"q{k}x" for k in range(1500)]
-    texts = []
-    for _ in range(40):
-        firsts = [rng.randrange(1500) for _ in range(60)]
-        texts.append(" ".join(f"{rare[k]} {rare[k * 7 % 1500] if rng.random() < 0.7 else rng.choice(rare)}" for k in firsts))
-    rows = documents(spark, texts).select("text")
-    words = maxent_lm.materialize(maxent_lm.vocabulary(rows), "v")
-    m = maxent_lm.fit(rows, words, steps=1)
-    gains, contexts, after_heads = maxent_lm.word_features(rows, words, m)
-    gains, contexts = ({r[0]: r[1] for r in t.collect()} for t in (gains, contexts))
-    counts, slot_of, bigrams = Counter(), {}, Counter()
-    for t in texts:
-        data = np.frombuffer(t.encode(), np.uint8)
-        _, h, shape = maxent_lm.tokens(data, np.array([0, len(data)]))
-        slot = m.slots(h, shape)
-        counts.update(h.tolist())
-        slot_of |= dict(zip(h.tolist(), slot.tolist()))
-        bigrams.update(zip([None, *h.tolist()], h.tolist()))
-    tails = [w for w in counts if slot_of[w] >= maxent_lm.HEADS]
-    unseen = m.tail_total + 0.1 * (m.tail_distinct + 1)
-    heads = sorted((w for w in counts if slot_of[w] < maxent_lm.HEADS), key=lambda w: -counts[w])
-    for before in [heads[0], heads[9], *tails[:20]]:
-        for s in {slot_of[w] for w in tails[:40]}:
-            ws = [w for w in tails if slot_of[w] == s]
-            h = np.array([before] + ws, np.uint64)
-            doc = np.zeros(2, np.int64)
-            key = [maxent_lm._pairs(doc, h[[0, k]], np.array([slot_of[before], s])) for k in range(1, len(h))]
-            pair, context, head = ([int(x[j][-1:].view(np.int64)[0]) for x in key] for j in (1, 2, 3))
-            total = sum(bigrams[before, w] for w in ws)
-            back = after_heads[head[0], s - maxent_lm.HEADS] if head[0] >= 0 else contexts.get(context[0], 0.0)
-            p = [(counts[w] + 0.1) / unseen[s - maxent_lm.HEADS] * 10 ** (back + gains.get(g, 0.0)) for w, g in zip(ws, pair)]
-            assert sum(p) + 0.1 / unseen[s - maxent_lm.HEADS] * 10**back == pytest.approx(1)
-            assert all(x == pytest.approx((bigrams[before, w] - 0.5) / total) for x, w in zip(p, ws) if bigrams[before, w] >= 2)
-    assert len(gains) > 20
-
-
 def test_language_model_of_nothing(spark):
     assert maxent_lm.score_documents(documents(spark, ["a"]).limit(0)).count() == 0
     assert maxent_lm.score_documents(documents(spark, ["a b", "a b"], [None, None])).first()["train_tokens"] == 0
