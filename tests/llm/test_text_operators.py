@@ -109,13 +109,41 @@ def test_model_is_a_distribution(spark):
     words = maxent_lm.materialize(maxent_lm.vocabulary(rows), "v")
     m = maxent_lm.fit(rows, words, steps=3)
     assert np.allclose((10.0**m.log_class).sum(axis=1), 1)
-    per_class = np.zeros((maxent_lm.CONTEXTS, maxent_lm.CLASSES))
-    for c in range(maxent_lm.CLASSES):
+    per_class = np.zeros((m.sizes.contexts, m.sizes.classes))
+    for c in range(m.sizes.classes):
         per_class[:, c] = (10.0 ** m.log_slot[:, m.slot_class == c]).sum(axis=1)
     assert np.allclose(per_class, 1)
     assert int(m.tail_total.sum() + m.head_counts.sum()) == m.total
 
 
+def test_scores_equal_the_sum_over_tokens(spark):
+    """Brute force: class and slot by the model's features, and the plain share within a slot of rare words."""
+    rng = random.Random(3)
+    texts = [prose(rng, 200, 3000) for _ in range(30)] + ["", "one"]
+    rows = documents(spark, texts)
+    words = maxent_lm.materialize(maxent_lm.vocabulary(rows.select("text")), "v")
+    m = maxent_lm.fit(rows.select("text"), words, steps=2)
+    n = {r["h"]: r["n"] for r in words.collect()}
+    features = maxent_lm._pair_features(m.sizes)
+    got = {r["doc_id"]: r["score"] for r in maxent_lm._scores(m, words, rows.select("doc_id", F.lit(False).alias("held_out"), "text")).collect()}
+    for k, t in enumerate(texts):
+        data = np.frombuffer(t.encode(), np.uint8)
+        doc, h, shape = maxent_lm.tokens(data, np.array([0, len(data)]))
+        slot, score = m.slots(h, shape), 0.0
+        b1, b2 = m.contexts(doc, slot, shape)
+        for j in range(len(h)):
+            assert features[b2[j] * m.sizes.contexts + b1[j]][1:3].tolist() == [1 + b1[j], 1 + m.sizes.contexts + b2[j]]
+            score += m.log_class[b2[j] * m.sizes.contexts + b1[j], m.slot_class[slot[j]]] + m.log_slot[b1[j], slot[j]]
+            if (tail := slot[j] - m.sizes.heads) >= 0:
+                score += math.log10((n[int(h[j : j + 1].view(np.int64)[0])] + 0.1) / (m.tail_total[tail] + 0.1 * (m.tail_distinct[tail] + 1)))
+        assert got[k] == pytest.approx(score, rel=1e-6)
+
+
+def test_sizes_follow_the_vocabulary():
+    small, middle, large = (maxent_lm.Sizes.of(v) for v in (1000, 10**6, 10**9))
+    assert small.contexts < middle.contexts < large.contexts and small.slots < middle.slots < large.slots and small.trigrams < middle.trigrams < large.trigrams
+
+
 def test_language_model_of_nothing(spark):
     assert maxent_lm.score_documents(documents(spark, ["a"]).limit(0)).count() == 0
     assert maxent_lm.score_documents(documents(spark, ["a b", "a b"], [None, None])).first()["train_tokens"] == 0
