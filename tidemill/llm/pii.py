@@ -7,6 +7,8 @@ words, and words that confident patterns point at are reported as well.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,32 +18,72 @@ from .scratch import materialize
 #: leftmost matches as the plain form beside it.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"  # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"  # [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
-CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"  # [0-9]([\x20-]?[0-9])+
+#: A chain of digits with at most one sign between two, whole, and of 13 to 19 digits: others can't be cards.
+CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])"  # [0-9]([\x20-]?[0-9])+
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: A word that may be an identifier: 6 to 64 letters, digits, _ or -, four digits among them at least.
-CANDIDATE = r"(?<![0-9A-Za-z_-])(?=[A-Za-z_-]{0,40}[0-9])[0-9A-Za-z_-]{6,64}(?![0-9A-Za-z_-])"
+#: A word that may be an identifier: 6 letters, digits, _ or - or more, four digits among them at least.
+CANDIDATE = r"(?<![0-9A-Za-z_-])(?=(?:[A-Za-z_-]*+[0-9]){4})[0-9A-Za-z_-]{6,}+"
+#: Words of contexts are runs of letters, marks, digits and _; all else only parts them.
+_IN, _OUT = r"[\p{L}\p{M}\p{N}_]", r"[^\p{L}\p{M}\p{N}_]"
+BEFORE2 = rf"(?<!{_IN})({_IN}++){_OUT}++{_IN}++{_OUT}*+\z"
+BEFORE1 = rf"(?<!{_IN})({_IN}++){_OUT}*+\z"
+AFTER1 = rf"\A{_OUT}*+({_IN}++)"
+SPAN = "struct<start:bigint,end:bigint,found:string,before2:string,before1:string,after1:string>"
 
 KINDS = ("email", "ip", "card", "phone")
 DISCOVERED = "id"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body, or a function within it, reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column) -> Column:
+    """Running sums of an array, in blocks of about the root of its size: n ** 1.5 steps, as each append copies."""
+
+    def sums(part: Column) -> Column:
+        zero = F.array(F.lit(0).cast("long"))
+        return F.slice(F.aggregate(part, zero, lambda s, v: F.array_append(s, F.element_at(s, -1) + v)), F.lit(2), F.size(part))
+
+    def merged(blocks: Column) -> Column:
+        within, totals = F.transform(blocks, sums), F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda s, v: s + v))
+        both = F.struct(within.alias("within"), sums(totals).alias("to"))
+        return _let(both, lambda b: F.flatten(F.transform(b["within"], lambda w, i: F.transform(w, lambda v: v + F.coalesce(F.get(b["to"], i - 1), F.lit(0))))))
+
+    size = F.ceil(F.sqrt(F.size(values))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / size).cast("int")), lambda b: F.slice(values, b * size + 1, size))
+    return _let(blocks, merged)
+
+
 def spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, found, left, right>> of the leftmost non-overlapping matches, in code points.
+    """array<SPAN> of the leftmost non-overlapping matches, in code points, with the words around each.
 
-    left and right are the text between the matches before and after, cut to 80 characters.
+    before2, before1 and after1 are the two words before a match and the one after it, in the whole text: they may lie in
+    neighbouring matches or beyond them. Only a word that runs into a third match is cut where that begins. '' if none.
     """
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    kind = "array<struct<start:bigint,end:bigint,found:string,left:string,right:string>>"
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("out"))
 
-    def step(s: Column, i: Column) -> Column:
-        gap, match = F.get(between, i), F.get(found, i)
-        start = s["at"] + F.length(gap)
-        end = start + F.length(match)
-        one = F.struct(start.alias("start"), end.alias("end"), match.alias("found"), F.right(gap, F.lit(80)).alias("left"), F.left(F.get(between, i + 1), F.lit(80)).alias("right"))
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
+    def build(p: Column) -> Column:
+        part = lambda name, i: F.coalesce(F.get(p[name], i), F.lit(""))
+        lengths = F.transform(p["found"], lambda m, i: (F.length(F.get(p["between"], i)) + F.length(m)).cast("long"))
+
+        def one(end: Column, i: Column) -> Column:
+            match = F.get(p["found"], i)
+            near = F.struct(
+                F.concat(part("between", i - 2), part("found", i - 2), part("between", i - 1), part("found", i - 1), part("between", i)).alias("left"),
+                F.concat(part("between", i + 1), part("found", i + 1), part("between", i + 2)).alias("right"),
+            )
+            words = lambda c: F.struct(
+                (end - F.length(match)).alias("start"), end.alias("end"), match.alias("found"),
+                F.regexp_extract(c["left"], BEFORE2, 1).alias("before2"), F.regexp_extract(c["left"], BEFORE1, 1).alias("before1"), F.regexp_extract(c["right"], AFTER1, 1).alias("after1"),
+            )
+            return _let(near, words)
+
+        ends = _let(lengths, _running)
+        return F.when(F.size(p["found"]) > 0, F.transform(ends, one)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step, lambda s: s["out"])).otherwise(F.array().cast(kind))
+    return _let(F.struct(found.alias("found"), between.alias("between")), build)
 
 
 def luhn(digits: Column) -> Column:
@@ -65,7 +107,7 @@ def _small(part: Column) -> Column:
 def base_spans(text: Column) -> dict[str, Column]:
     """Arrays as spans() gives them, of the entities whose form is valid."""
     digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
-    none = F.array().cast("array<struct<start:bigint,end:bigint,found:string,left:string,right:string>>")
+    none = F.array().cast(f"array<{SPAN}>")
     some = lambda sign, c: F.when(sign, c).otherwise(none)
     numeric = text.rlike("[0-9]")
     return {
@@ -77,17 +119,15 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def _word(c: Column) -> Column:
-    """Lower case, with digits as 0, so that numbers in a context stand for one another."""
-    return F.regexp_replace(F.lower(c), "[0-9]", "0")
+    """Lower case; words with digits become 0, so that numbers and identifiers in a context stand for one another."""
+    return F.when(c.rlike("[0-9]"), F.lit("0")).otherwise(F.lower(c))
 
 
-def _patterns(left: Column, right: Column) -> Column:
-    """Lexical patterns of a context: two words before, and a word on both sides. Words are what white space bounds."""
-    before2 = _word(F.regexp_extract(left, r"(\S+)\s+(\S+)\s*$", 1))
-    before1 = _word(F.regexp_extract(left, r"(\S+)\s*$", 1))
-    after1 = _word(F.regexp_extract(right, r"^\s*(\S+)", 1))
-    two = F.when((before2 != "") & (before1 != ""), F.concat_ws(" ", F.lit("L"), before2, before1))
-    around = F.when((before1 != "") & (after1 != ""), F.concat_ws(" ", F.lit("B"), before1, F.lit("_"), after1))
+def _patterns(span: Column) -> Column:
+    """Lexical patterns of a span's context: the two words before, and a word on both sides."""
+    before2, before1, after1 = (span[k] for k in ("before2", "before1", "after1"))
+    two = F.when((before2 != "") & (before1 != ""), F.concat_ws(" ", F.lit("L"), _word(before2), _word(before1)))
+    around = F.when((before1 != "") & (after1 != ""), F.concat_ws(" ", F.lit("B"), _word(before1), F.lit("_"), _word(after1)))
     return F.filter(F.array(two, around), lambda p: p.isNotNull())
 
 
@@ -121,18 +161,18 @@ def find_pii(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = documents.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    none = F.array().cast("array<struct<start:bigint,end:bigint,found:string,left:string,right:string>>")
-    words = F.filter(spans(F.col("text"), CANDIDATE), lambda s: F.length(F.regexp_replace(s["found"], "[^0-9]", "")) >= 4)
-    found = rows.select("_row", "doc_id", *(c.alias(k) for k, c in base_spans(F.col("text")).items()), F.when(F.col("text").rlike("[0-9]{2}"), words).otherwise(none).alias("words"))
+    none = F.array().cast(f"array<{SPAN}>")
+    numeric = F.col("text").rlike("[0-9][^0-9]*+[0-9][^0-9]*+[0-9][^0-9]*+[0-9]")
+    words = F.when(numeric, spans(F.col("text"), CANDIDATE)).otherwise(none)
+    found = rows.select("_row", "doc_id", *(c.alias(k) for k, c in base_spans(F.col("text")).items()), words.alias("words"))
     found = materialize(found, "entities")
 
     known = F.concat(*KINDS)
-    context = lambda c: _patterns(c["left"], c["right"])
     entity = found.filter(F.size(known) > 0).select("_row", F.explode(known).alias("w"))
-    entity = entity.select("_row", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.lower("w.found").alias("instance"), F.lit(True).alias("seed"), context(F.col("w")).alias("patterns"))
+    entity = entity.select("_row", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.lower("w.found").alias("instance"), F.lit(True).alias("seed"), _patterns(F.col("w")).alias("patterns"))
     word = found.filter(F.size("words") > 0).select("_row", known.alias("known"), F.explode("words").alias("w"))
     beside = ~F.exists("known", lambda s: (s["start"] < F.col("w.end")) & (F.col("w.start") < s["end"]))
-    word = word.filter(beside).select("_row", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.lower("w.found").alias("instance"), F.lit(False).alias("seed"), context(F.col("w")).alias("patterns"))
+    word = word.filter(beside).select("_row", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.lower("w.found").alias("instance"), F.lit(False).alias("seed"), _patterns(F.col("w")).alias("patterns"))
     word = materialize(entity.unionByName(word), "words")
     edges = word.select(F.explode("patterns").alias("pattern"), "instance", "seed").groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
     edges = materialize(edges, "graph")
