@@ -276,39 +276,6 @@ def test_contexts_reach_across_matches(spark):
     """Identifiers in lists, of any length and with digits apart, whose words before are in the match before."""
     cards = [c for k in range(400) if luhn(c := str(4000000000000000 + 7 * k))]
     texts = [f"my visa {a} visa {b} end" for a, b in zip(cards[::2], cards[1::2])][:5]
-    texts += ["no visa AB123456 visa CD789012", "A1B2C3D4", "", "AB123456 " * 3000]
-    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string").select("k", pii.spans(F.col("text"), pii.CANDIDATE).alias("s"))
-    for r in rows.collect():
-        t = texts[r["k"]]
-        want = [m.span() for m in re.finditer(r"(?<![0-9A-Za-z_-])[0-9A-Za-z_-]{6,}", t) if len(re.sub("[^0-9]", "", m[0])) >= 4]
-        assert [(s["start"], s["end"]) for s in r["s"]] == want
-        for s in r["s"]:
-            left, right = re.findall(r"\w+", t[: s["start"]]) if len(r["s"]) < 100 else re.findall(r"\w+", t[max(0, s["start"] - 40) : s["start"]]), re.findall(r"\w+", t[s["end"] : s["end"] + 300])
-            assert (s["before1"], s["after1"]) == ((left or [""])[-1], (right or [""])[0])
-            assert s["before2"] == (left[-2] if len(left) > 1 else "")
-
-
-def test_graph_scores_by_definition(spark):
-    rng = random.Random(3)
-    seeds = {f"i{k}" for k in range(0, 12)}
-    edges = {(f"p{rng.randrange(8)}", f"i{rng.randrange(30)}"): rng.randrange(1, 5) for _ in range(120)}
-    rows = [(p, i, n, i in seeds) for (p, i), n in edges.items()]
-    patterns, instances = pii.score_graph(spark.createDataFrame(rows, "pattern string, instance string, n long, seed boolean"))
-    score = {i: float(i in seeds) for _, i in edges}
-    for _ in range(3):
-        conf = {}
-        for p in {p for p, _ in edges}:
-            of = [i for q, i in edges if q == p]
-            conf[p] = sum(score[i] for i in of) / (len(of) + 2) if sum(i in seeds for i in of) >= 3 else 0.0
-        score = {i: 1.0 if i in seeds else sum(conf[p] * n for (p, j), n in edges.items() if j == i) / sum(n for (_, j), n in edges.items() if j == i) for i in score}
-    assert {r["pattern"]: r["confidence"] for r in patterns.collect()} == pytest.approx(conf)
-    assert {r["instance"]: r["score"] for r in instances.collect()} == pytest.approx(score)
-
-
-def test_contexts_reach_across_matches(spark):
-    """Identifiers in lists, of any length and with digits apart, whose words before are in the match before."""
-    good = "4111111111111111"
-    texts = [f"my visa {good} visa {good} end" for _ in range(4)] + [f"my visa 4012888888881881 visa 5555555555554444 visa 378282246310005 end"]
     texts += ["no visa AB123456 visa CD789012 end", "his visa A1B2C3D4 visa 4-7-1-9-X", "a visa AB123456 visa " + "Z" * 70 + "1234 end", "the part KT123456 works, part KT789012 too"]
     got = {r["doc_id"]: r for r in pii.find_pii(documents(spark, texts)).collect()}
 
