@@ -176,10 +176,11 @@ def json_extract(t, spark) -> DataFrame:
     return t("events").select("event_id", total.alias("k"), jsons.has_more(F.lit(10), total).alias("has_more"))
 
 
-@query("""SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS position, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
+@query("""SELECT event_id, CAST(0 AS INTEGER) AS position, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events UNION ALL SELECT event_id, CAST(1 AS INTEGER), CAST(event_id AS BIGINT) FROM events""")
 def json_explode(t, spark) -> DataFrame:
-    folded = t("events").groupBy("user_id").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "props"))), lambda x: x["props"]), ","), F.lit("]")).alias("body"))
-    return jsons.exploded(folded, "body", "struct<k:bigint>").select("user_id", "position", F.col("row.k").alias("k"))
+    """Each event's body is an array of its own two objects, so no row grows with the table."""
+    bodies = t("events").select("event_id", F.concat(F.lit("["), "props", F.lit(',{"k":'), F.col("event_id").cast("string"), F.lit("}]")).alias("body"))
+    return jsons.exploded(bodies, "body", "struct<k:bigint>").select("event_id", "position", F.col("row.k").alias("k"))
 
 
 @query("""SELECT event_id, CASE json_type(props) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'string' END AS props_type, CASE WHEN json_type(json_extract(props, '$.k')) IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'number' ELSE 'string' END AS k_type FROM events""")
