@@ -5,6 +5,7 @@ import re
 import textwrap
 import zlib
 from collections import Counter
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -68,6 +69,29 @@ def test_contaminated_documents(spark):
     assert decontaminate.contaminated_pairs(documents(spark, texts).limit(0), items).count() == 0
 
 
+def test_contaminated_pairs_equal_all_pairs_tiled_by_definition(spark):
+    rng = random.Random(21)
+    items = [prose(rng, rng.randrange(3, 25), 30) for _ in range(8)] + ["w1 w1 w1 w1 w1 w1 w1 w1", "w1 w2 " * 6, None, ""]
+    texts = [*odd_texts()[:5], "w1 " * 40, "W2, w1; " * 12]
+    for _ in range(40):
+        w = prose(rng, rng.randrange(0, 30), 30).split()
+        part = (rng.choice(items) or "").split()
+        k, cut = rng.randrange(len(part) + 1), rng.randrange(len(part) + 1)
+        for piece in (part[k:], part[:k][:cut]):
+            place = rng.randrange(len(w) + 1)
+            w[place:place] = piece
+        texts.append(rng.choice([" ", ", ", "\n"]).join(w))
+    want = {}
+    for d, t in enumerate(texts):
+        for i, item in enumerate(items):
+            tiles = brute_tiles(words(t), words(item), decontaminate.SHORTEST_MATCH)
+            matched, n = sum(x[2] for x in tiles), len(words(item))
+            if tiles and matched >= decontaminate.COVERAGE * n:
+                want[d, i] = (matched, n, max(x[2] for x in tiles))
+    got = decontaminate.contaminated_pairs(documents(spark, texts), bench(spark, *enumerate(items))).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["matched_words"], r["item_words"], r["longest"]) for r in got} == want and len(got) == len(want) >= 20
+
+
 def lm_tokens(t):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + ["\0end"]
 
@@ -177,6 +201,41 @@ def test_quality_classifier(spark):
     assert weighed.filter(F.col("gumbel_key") >= resampling.resample(df, labels, k=100)[2]).count() == 100
 
 
+def test_weights_equal_the_models_by_definition(spark):
+    """Features as strings, counts of documents, the two models' centred ratio, its test, and its sum over a text.
+
+    The texts have few different words, so that no two features share a bucket.
+    """
+    texts, labels = labelled(spark, 400)
+    texts = [re.sub(r"w(\d+)", lambda m: f"w{int(m[1]) % 20}", t) for t in texts]
+    texts += [None, "", "spam spam, spam spam - spam spam longerwords longerword", "Good!! words-- " * 50]
+    model = resampling.fit(documents(spark, texts), labels)
+
+    def features(t):
+        tokens = re.findall(r"[a-z0-9]+|[^a-z0-9\s]+", (t or "").lower())
+        plain = [w for w in tokens if w[0].isalnum()]
+        five = ["five" for k in range(len(plain) - 4) if len(set(plain[k : k + 5])) == 1]
+        return tokens + [("stem", w[:6]) for w in plain if len(w) > 6] + list(zip(tokens, tokens[1:])) + five
+
+    target = {r["doc_id"] for r in labels.collect() if r["quality"] == 1 and not r["toxic"]}
+    raw, good = Counter(), Counter()
+    for k, t in enumerate(texts):
+        raw.update(set(features(t)))
+        if k in target:
+            good.update(set(features(t)))
+    share = sum(good.values()) / sum(raw.values())
+    ratio = {f: math.log((good[f] + 0.5) / (raw[f] * share + 0.5)) for f in raw}
+    centre = sum(ratio[f] * good[f] for f in raw) / sum(good.values())
+    expected = {f: raw[f] * share * math.exp(centre) for f in raw}
+    least = NormalDist().inv_cdf(1 / max(10, sum(e >= 6 for e in expected.values())))
+    weight = {f: ratio[f] - centre for f in raw if ratio[f] - centre < -0.7 and (good[f] - expected[f]) / math.sqrt(expected[f] + 0.5) < least}
+    assert weight
+    for r in resampling.weigh(documents(spark, texts), model).collect():
+        mine = features(texts[r["doc_id"]])
+        assert r["n_features"] == len(mine)
+        assert r["log_weight"] == pytest.approx(sum(weight.get(f, 0.0) for f in mine) + model.offset + model.per_feature * len(mine), abs=1e-6)
+
+
 def test_quality_without_evidence_keeps_all(spark):
     texts, labels = labelled(spark, 40)
     df = documents(spark, texts)
