@@ -8,6 +8,7 @@ from collections import Counter
 from statistics import NormalDist
 
 import numpy as np
+import duckdb
 import pytest
 from helpers import documents, odd_texts, prose, words
 from pyspark.sql import functions as F
@@ -363,6 +364,29 @@ def test_every_licence_rule_fires_plain_and_wrapped(spark):
     assert sorted((r["doc_id"], r["license"], r["rule"]) for r in got) == [(k, *license_scan.RULES[k // 5][1::-1]) for k in range(len(texts))]
 
 
+def test_licence_scan_equals_its_sql(spark):
+    rng = random.Random(7)
+    said = [s for _, s in license_scan.SENTENCES]
+    other = ["foo bar.", "é -- x", "--", "* *\n", "", "\u212a\u212a a; b: c", "All\nrights\nreserved.", " \t \u000b x \u000c y"]
+    texts = odd_texts()
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randrange(1, 9)):
+            s = rng.choice([*said, *other * 2])
+            parts.append("\n".join(textwrap.wrap(s, rng.choice([10, 30, 60]))) if rng.random() < 0.4 else s)
+            parts.append(rng.choice([" ", "\n", "\n\n", "\r\n", "\r", "\n# ", ". ", " -- "]))
+        texts.append("".join(parts))
+    for rule in license_scan.RULES:
+        texts.append("\n".join(dict(license_scan.SENTENCES)[i] for i in rule[2]))
+    rows = documents(spark, texts)
+    got = license_scan.scan_licenses(rows, license_scan.sentence_table(spark), license_scan.rule_table(spark))
+    con = duckdb.connect()
+    con.register("documents", rows.select("doc_id", "text").toArrow())
+    found = con.execute(license_scan.ORACLE_OP8)
+    assert [c[0] for c in found.description] == got.columns
+    assert sorted(map(tuple, got.collect())) == sorted(found.fetchall())
+
+
 def test_licence_lines_without_stops_still_match(spark):
     texts = ["A title\nLicensed under CC BY 4.0\nand more of it", "Licensed under\n\nCC BY 4.0.", "Licensed under. CC BY 4.0.", "so licensed under\nCC BY 4.0.", "a b\nc d\ne f\ng h\nLicensed under CC BY 4.0."]
     got = license_scan.scan_licenses(documents(spark, texts), license_scan.sentence_table(spark), license_scan.rule_table(spark)).collect()

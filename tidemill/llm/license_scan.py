@@ -205,3 +205,40 @@ def scan_licenses(documents: DataFrame, sentences: DataFrame, rules: DataFrame,
 def op8_license_scans(spark, sf_dir: str) -> DataFrame:
     """All licence notices of all documents."""
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"), sentence_table(spark), rule_table(spark))
+
+
+def _oracle(gap: int = 2) -> str:
+    """The same cutting, looking up and matching in SQL; known sentences are cut by the same steps as the documents."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    known = ", ".join(f"({k}, {quote(i)}, {quote(s)})" for k, (i, s) in enumerate(SENTENCES))
+    rules = ", ".join(f"({quote(r)}, {quote(lic)}, [{', '.join(map(quote, ids))}])" for r, lic, ids in RULES)
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
+    return rf"""
+WITH RECURSIVE k(n, sentence_id, text) AS (VALUES {known}), rules(rule, license, ids) AS (VALUES {rules}),
+src AS (SELECT doc_id AS id, false AS known, coalesce(text, '') AS text FROM documents UNION ALL SELECT n, true, text FROM k),
+cut AS (SELECT id, known, regexp_split_to_array(text, '\r\n|\r|\n') AS ls FROM src),
+line AS (SELECT id, known, n, l, NOT regexp_matches({low("l")}, '[a-z0-9]') AS bare FROM (SELECT id, known, trim(unnest(ls), ' ' || chr(9)) AS l, generate_subscripts(ls, 1) AS n FROM cut)),
+para AS (SELECT *, sum(bare::INTEGER) OVER (PARTITION BY known, id ORDER BY n) AS p FROM line),
+wrap AS (SELECT *, count(*) OVER w > 1 AND bool_or(len(list_filter(regexp_split_to_array({low("l")}, '[ \t\v\f]+'), lambda x: regexp_matches(x, '[a-z0-9]'))) > 1) OVER w AND NOT regexp_matches(l, '[.!?:;]$') AS joins
+  FROM para WHERE NOT bare WINDOW w AS (PARTITION BY known, id, p)),
+soft AS (SELECT known, id, n, l, coalesce(lag(joins) OVER (PARTITION BY known, id, p ORDER BY n), false) AS soft FROM wrap UNION ALL SELECT known, id, n, l, false FROM line WHERE bare AND l <> ''),
+part AS (SELECT known, id, n, soft, unnest(ps) AS part, generate_subscripts(ps, 1) AS m FROM (SELECT *, string_split(regexp_replace(l, '([.!?:;])[ \t]+', '\1' || chr(10), 'g'), chr(10)) AS ps FROM soft)),
+numbered AS (SELECT known, id, CASE WHEN soft AND m = 1 THEN ' ' ELSE chr(10) END AS sep, trim(regexp_replace({low("part")}, '[^a-z0-9]+', ' ', 'g')) AS words,
+  row_number() OVER w - 1 AS place, sum((NOT (soft AND m = 1))::INTEGER) OVER w AS sentence FROM part WINDOW w AS (PARTITION BY known, id ORDER BY n, m)),
+piece AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY known, id ORDER BY place) AS i FROM numbered WHERE words <> ''),
+t AS MATERIALIZED (SELECT DISTINCT sentence_id, t, regexp_extract(t, '^[a-z0-9]+') AS word FROM (SELECT sentence_id, substr(string_agg(sep || words, '' ORDER BY i), 2) AS t FROM piece JOIN k ON n = id WHERE known GROUP BY n, sentence_id)),
+grow AS (SELECT id, i AS a, i AS b, sentence_id, t, words AS so_far FROM piece JOIN t ON split_part(words, ' ', 1) = word AND starts_with(t, words) WHERE NOT known
+  UNION ALL SELECT g.id, a, i, sentence_id, t, so_far || sep || words FROM grow g JOIN piece p ON p.id = g.id AND p.i = b + 1 AND NOT known AND starts_with(t, so_far || sep || words)),
+found AS MATERIALIZED (SELECT DISTINCT g.id, a, b, sentence_id, x.sentence AS opens, y.sentence AS ends FROM grow g JOIN piece x ON NOT x.known AND x.id = g.id AND x.i = a JOIN piece y ON NOT y.known AND y.id = g.id AND y.i = b WHERE t = so_far),
+reach AS (SELECT f.id, f.a, f.b, min(g.b) AS most FROM found f JOIN found g ON g.id = f.id AND g.a > f.b GROUP BY ALL),
+step AS MATERIALIZED (SELECT DISTINCT f.id, f.a, f.b, g.a AS a2, g.b AS b2, g.sentence_id FROM reach JOIN found f USING (id, a, b) JOIN found g ON g.id = f.id AND g.a > f.b AND g.a <= most AND g.opens - f.ends <= {gap + 1}),
+walk AS (SELECT id, a AS a0, b AS b0, a, b, rule, license, ids, 1 AS n, [a, b] AS path FROM found JOIN rules ON sentence_id = ids[1]
+  UNION ALL SELECT w.id, a0, b0, a2, b2, rule, license, ids, n + 1, path || [a2, b2] FROM walk w JOIN step s ON s.id = w.id AND s.a = w.a AND s.b = w.b AND s.sentence_id = ids[n + 1]),
+fits AS (SELECT id, a0, rule, license, n, min(path)[-1] AS z FROM walk WHERE n = len(ids) GROUP BY id, a0, b0, rule, license, n),
+best AS (SELECT * FROM fits QUALIFY n = max(n) OVER (PARTITION BY id, a0))
+SELECT b.id AS doc_id, license, rule, x.place::INTEGER AS first_sentence, y.place::INTEGER AS last_sentence
+FROM best b JOIN piece x ON NOT x.known AND x.id = b.id AND x.i = a0 JOIN piece y ON NOT y.known AND y.id = b.id AND y.i = z
+"""
+
+
+ORACLE_OP8 = _oracle()

@@ -22,6 +22,7 @@ ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE_OP4,
     "op5_url_filters": url_filter.ORACLE_OP5,
     "op7_suffix_array_dedup": substring_dedup.ORACLE_OP7,
+    "op8_license_scans": license_scan.ORACLE_OP8,
     "op9_ngram_jaccard_join": chosen_path.ORACLE_OP9,
     "op10_source_mixing": mixing.ORACLE_OP10,
 }
