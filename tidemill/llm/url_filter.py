@@ -19,7 +19,18 @@ PATTERN_RULES = (
     (r"[?&]utm_source=spam(&|#|$)", "block"),
     (r"/wp-login\.php([?#]|$)", "block"),
     (r"/phishing/", "block"),
+    (r"/xmlrpc\.php([?#]|$)", "block"),
+    (r"/phpmyadmin/", "block"),
+    (r"/\.git/", "block"),
+    (r"/\.env([?#]|$)", "block"),
+    (r"/popunder/", "block"),
+    (r"/doorway/[0-9]+\.html", "block"),
+    (r"[?&]replytocom=[0-9]", "block"),
+    (r"[?&]affiliate_id=[0-9]", "block"),
 )
+#: Words that block where they end a host's label; each gives three rules, of which the word is a literal token.
+BLOCKED_WORDS = "porn", "xxx", "sexcam", "camgirls", "escorts", "hentai", "viagra", "cialis", "levitra", "poker", "slots", "betting", "jackpot", "roulette", "payday", "warez", "torrent", "keygen", "crackz", "nulled", "serialz", "malware", "botnet", "linkfarm", "clickbait", "adserver", "popads"
+PATTERN_RULES += tuple((f"://{before}{word}\\.", "block") for word in BLOCKED_WORDS for before in ("", r"[^/?#]*\.", "[^/?#]*-"))
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
