@@ -346,7 +346,7 @@ def test_contexts_reach_across_matches(spark):
 
 
 def test_licences(spark):
-    mit = " ".join(s for k, s in license_scan.SENTENCES if k in ("mit.grant", "mit.notice", "mit.warranty"))
+    mit = " ".join(s for k, s in license_scan.ALL_SENTENCES if k in ("mit.grant", "mit.notice", "mit.warranty"))
     texts = [*odd_texts(), "Code.\nReleased under the MIT License.\nMore", mit, mit.replace(" ", "\n"), "LICENSED under  CC BY-NC 4.0!", "Licensed under the Apache License, Version 2.0. x. y. Licensed under CC BY 4.0.", "not licensed"]
     n = len(odd_texts())
     got = license_scan.scan_licenses(documents(spark, texts), license_scan.sentence_table(spark), license_scan.rule_table(spark)).collect()
@@ -354,19 +354,19 @@ def test_licences(spark):
 
 
 def test_every_licence_rule_fires_plain_and_wrapped(spark):
-    said = dict(license_scan.SENTENCES)
+    said = dict(license_scan.ALL_SENTENCES)
     texts = []
-    for _, _, ids in license_scan.RULES:
+    for _, _, ids in license_scan.ALL_RULES:
         plain = [said[i] for i in ids]
         wrapped = ["\n".join(textwrap.wrap(s, 40)) for s in plain]
         texts += ["\n".join(plain), "\n\n".join(plain), "Some title\n" + "\n\n".join(wrapped), "/*\n * " + "\n *\n".join(wrapped).replace("\n", "\n * ") + "\n */\ncode()", "\r\n".join(wrapped).replace("\n", "\r\n").replace("\r\r", "\r")]
     got = license_scan.scan_licenses(documents(spark, texts), license_scan.sentence_table(spark), license_scan.rule_table(spark)).collect()
-    assert sorted((r["doc_id"], r["license"], r["rule"]) for r in got) == [(k, *license_scan.RULES[k // 5][1::-1]) for k in range(len(texts))]
+    assert sorted((r["doc_id"], r["license"], r["rule"]) for r in got) == [(k, *license_scan.ALL_RULES[k // 5][1::-1]) for k in range(len(texts))]
 
 
 def test_licence_scan_equals_its_sql(spark):
     rng = random.Random(7)
-    said = [s for _, s in license_scan.SENTENCES]
+    said = [s for _, s in license_scan.ALL_SENTENCES]
     other = ["foo bar.", "é -- x", "--", "* *\n", "", "\u212a\u212a a; b: c", "All\nrights\nreserved.", " \t \u000b x \u000c y"]
     texts = odd_texts()
     for _ in range(400):
@@ -376,8 +376,8 @@ def test_licence_scan_equals_its_sql(spark):
             parts.append("\n".join(textwrap.wrap(s, rng.choice([10, 30, 60]))) if rng.random() < 0.4 else s)
             parts.append(rng.choice([" ", "\n", "\n\n", "\r\n", "\r", "\n# ", ". ", " -- "]))
         texts.append("".join(parts))
-    for rule in license_scan.RULES:
-        texts.append("\n".join(dict(license_scan.SENTENCES)[i] for i in rule[2]))
+    for rule in license_scan.ALL_RULES:
+        texts.append("\n".join(dict(license_scan.ALL_SENTENCES)[i] for i in rule[2]))
     rows = documents(spark, texts)
     got = license_scan.scan_licenses(rows, license_scan.sentence_table(spark), license_scan.rule_table(spark))
     con = duckdb.connect()

@@ -35,6 +35,19 @@ SENTENCES = (
     ("bsd.source", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
     ("bsd.binary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("bsd.endorse", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd.warranty", 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'),
+    ("isc.grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("0bsd.grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("isc.warranty", 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'),
+    ("zlib.warranty", "This software is provided 'as-is', without any express or implied warranty."),
+    ("zlib.liable", "In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("zlib.grant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("mpl.header", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("mpl.obtain", "If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("unlicense.release", "This is free and unencumbered software released into the public domain."),
+    ("unlicense.grant", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("cc0.waive", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."),
+    ("cc0.warranty", "This software is distributed without any warranty."),
     ("rights.reserved", "All rights reserved."),
 )
 
@@ -52,9 +65,38 @@ RULES = (
     ("cc-by-work", "CC-BY-4.0", ("cc.by-work",)),
     ("bsd-2-text", "BSD-2-Clause", ("bsd.redistribution", "bsd.source", "bsd.binary")),
     ("bsd-3-text", "BSD-3-Clause", ("bsd.redistribution", "bsd.source", "bsd.binary", "bsd.endorse")),
+    ("bsd-2-whole", "BSD-2-Clause", ("bsd.redistribution", "bsd.source", "bsd.binary", "bsd.warranty")),
+    ("bsd-3-whole", "BSD-3-Clause", ("bsd.redistribution", "bsd.source", "bsd.binary", "bsd.endorse", "bsd.warranty")),
+    ("isc-text", "ISC", ("isc.grant", "isc.warranty")),
+    ("0bsd-text", "0BSD", ("0bsd.grant", "isc.warranty")),
+    ("zlib-text", "Zlib", ("zlib.warranty", "zlib.liable", "zlib.grant")),
+    ("mpl-header", "MPL-2.0", ("mpl.header", "mpl.obtain")),
+    ("unlicense-text", "Unlicense", ("unlicense.release", "unlicense.grant")),
+    ("cc0-text", "CC0-1.0", ("cc0.waive", "cc0.warranty")),
     ("proprietary", "LicenseRef-proprietary", ("rights.reserved",)),
 )
 
+#: (licence, its names in notices); fixed values. Those of the GNU and the Creative Commons licences follow a rule.
+NAMES = (
+    ("MIT", ("the MIT License", "the Expat License")),
+    ("Apache-2.0", ("the Apache License, Version 2.0", "the Apache License 2.0", "the Apache 2.0 License")),
+    ("MPL-2.0", ("the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0")),
+    ("BSD-2-Clause", ("the BSD 2-Clause License", "the Simplified BSD License")),
+    ("BSD-3-Clause", ("the BSD 3-Clause License", "the New BSD License", "the Modified BSD License")),
+    ("ISC", ("the ISC License",)),
+    ("0BSD", ("the Zero-Clause BSD License",)),
+    ("Zlib", ("the zlib License",)),
+    ("BSL-1.0", ("the Boost Software License, Version 1.0", "the Boost Software License 1.0")),
+    ("EPL-2.0", ("the Eclipse Public License, version 2.0", "the Eclipse Public License 2.0")),
+    ("EUPL-1.2", ("the European Union Public Licence, version 1.2", "the EUPL 1.2")),
+    ("Artistic-2.0", ("the Artistic License 2.0",)),
+    ("Unlicense", ("the Unlicense",)),
+    ("CC0-1.0", ("CC0 1.0 Universal", "CC0 1.0")),
+)
+NOTICES = "Licensed under {}.", "Released under {}.", "Distributed under {}.", "This work is licensed under {}.", "This software is licensed under {}.", "This project is licensed under {}."
+GNU = ("GPL", "GNU General Public License", ("2", "3")), ("LGPL", "GNU Lesser General Public License", ("2.1", "3")), ("AGPL", "GNU Affero General Public License", ("3",))
+COMMONS = ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")
+
 #: A sentence ends after . ! ? : or ; that white space follows, and at the end of a line.
 _STOP = re.compile(rb"(?<=[.!?:;])[ \t]+")
 _LINE = re.compile(rb"\r\n|\r|\n")
@@ -107,27 +149,70 @@ def known_text(sentence: str) -> str:
     return b"".join(sep + words for _, _, sep, words in pieces(sentence.encode()))[1:].decode()
 
 
-def sentence_table(spark: SparkSession, sentences=SENTENCES) -> DataFrame:
+def _families() -> tuple[tuple, tuple]:
+    """Sentences and rules of the notices of all names, the SPDX lines and the headers of the GNU licences.
+
+    A sentence that SENTENCES has already, as a scan cuts it, keeps the identifier and the rule that it has there.
+    """
+    names = list(NAMES)
+    texts, rules = [], []
+    for short, name, versions in GNU:
+        for v in versions:
+            spdx = f"{short}-{v if '.' in v else v + '.0'}"
+            names.append((f"{spdx}-only", (f"the {name}, version {v}", f"the {name} v{v}", f"the {short}v{v}")))
+            names.append((f"{spdx}-or-later", (f"the {name}, version {v} or later", f"the {short}v{v} or later")))
+            for thing in ("program", "library"):
+                free, hope = f"{spdx}.{thing}", f"gnu.{short}.{thing}"
+                texts.append((free, f"This {thing} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version."))
+                texts.append((hope, f"This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."))
+                rules.append((f"{spdx}-{thing}", f"{spdx}-or-later", (free, hope)))
+    for short, name in COMMONS:
+        for v, kind in (("4.0", "International"), ("3.0", "Unported")):
+            names.append((f"CC-{short}-{v}", (f"CC {short} {v}", f"a Creative Commons {name} {v} {kind} License", f"the Creative Commons {name} {v} {kind} License")))
+    for spdx, said in names:
+        texts.append((f"spdx.{spdx}", f"SPDX-License-Identifier: {spdx}"))
+        rules.append((f"spdx-{spdx}", spdx, (f"spdx.{spdx}",)))
+        texts += [(f"notice.{spdx}", notice.format(name)) for name in said for notice in NOTICES]
+        rules.append((f"notice-{spdx}", spdx, (f"notice.{spdx}",)))
+    seen = {known_text(s): i for i, s in SENTENCES}
+    more, same = [], {}
+    for i, s in texts:
+        if (cut := known_text(s)) in seen:
+            same[i] = seen[cut]
+        else:
+            seen[cut] = i
+            more.append((i, s))
+    have, ruled = {i for i, _ in more}, {ids for _, _, ids in RULES}
+    named = [(r, lic, tuple(i if i in have else same[i] for i in ids)) for r, lic, ids in rules]
+    return tuple(more), tuple(r for r in named if r[2] not in ruled)
+
+
+#: SENTENCES and RULES with those that follow a rule.
+ALL_SENTENCES, ALL_RULES = (a + b for a, b in zip((SENTENCES, RULES), _families(), strict=True))
+
+
+def sentence_table(spark: SparkSession, sentences=ALL_SENTENCES) -> DataFrame:
     """(sentence, sentence_id): known sentences as a scan cuts them; a long one may take several parts, a line each."""
     rows = [(known_text(text), sentence_id) for sentence_id, text in sentences]
     return spark.createDataFrame(rows, "sentence string, sentence_id string").filter("sentence <> ''").dropDuplicates(["sentence"])
 
 
-def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
+def rule_table(spark: SparkSession, rules=ALL_RULES) -> DataFrame:
     return spark.createDataFrame([(r, lic, list(ids)) for r, lic, ids in rules], "rule string, license string, ids array<string>").filter("size(ids) > 0")
 
 
 def _find_known(cut: list, known: dict[bytes, list[str]], order: list[bytes]) -> list[tuple[int, int, str]]:
-    """(first, last, sentence_id) of every run of pieces that is a known sentence, by first and last piece."""
+    """(first, last, sentence_id) of the longest known sentence that starts at each piece, by first and last piece."""
     out = []
     for i in range(len(cut)):
-        text, j = cut[i][3], i
+        text, j, longest = cut[i][3], i, []
         while (k := bisect.bisect_left(order, text)) < len(order) and order[k].startswith(text):
-            out += [(i, j, s) for s in known.get(text, ())]
+            longest = [(i, j, s) for s in known.get(text, ())] or longest
             j += 1
             if j == len(cut):
                 break
             text += cut[j][2] + cut[j][3]
+        out += longest
     return out
 
 
@@ -182,7 +267,8 @@ def scan_licenses(documents: DataFrame, sentences: DataFrame, rules: DataFrame,
     """(doc_id, license, rule, first_sentence, last_sentence), one row per match, for documents that have any.
 
     What a text is cut into (at sentence and line ends) is numbered from 0, empty parts left out. A known sentence stands
-    where its parts follow one another, each of them whole, on one line or wrapped over several (see pieces()). A rule
+    where its parts follow one another, each of them whole, on one line or wrapped over several (see pieces()); of those
+    that start at the same place the longest one counts. A rule
     matches where its sentence identifiers follow one another in the document's sequence of known sentences, with at most
     `gap` unknown ones between two; a wrapped one counts once. Of rules that match at the same first sentence the longest
     ones count (several of equal length give a row each). Null and empty texts have no match; each row of documents stands
@@ -210,8 +296,8 @@ def op8_license_scans(spark, sf_dir: str) -> DataFrame:
 def _oracle(gap: int = 2) -> str:
     """The same cutting, looking up and matching in SQL; known sentences are cut by the same steps as the documents."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"({k}, {quote(i)}, {quote(s)})" for k, (i, s) in enumerate(SENTENCES))
-    rules = ", ".join(f"({quote(r)}, {quote(lic)}, [{', '.join(map(quote, ids))}])" for r, lic, ids in RULES)
+    known = ", ".join(f"({k}, {quote(i)}, {quote(s)})" for k, (i, s) in enumerate(ALL_SENTENCES))
+    rules = ", ".join(f"({quote(r)}, {quote(lic)}, [{', '.join(map(quote, ids))}])" for r, lic, ids in ALL_RULES)
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
     return rf"""
 WITH RECURSIVE k(n, sentence_id, text) AS (VALUES {known}), rules(rule, license, ids) AS (VALUES {rules}),
@@ -229,7 +315,7 @@ piece AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY known, id ORDER
 t AS MATERIALIZED (SELECT DISTINCT sentence_id, t, regexp_extract(t, '^[a-z0-9]+') AS word FROM (SELECT sentence_id, substr(string_agg(sep || words, '' ORDER BY i), 2) AS t FROM piece JOIN k ON n = id WHERE known GROUP BY n, sentence_id)),
 grow AS (SELECT id, i AS a, i AS b, sentence_id, t, words AS so_far FROM piece JOIN t ON split_part(words, ' ', 1) = word AND starts_with(t, words) WHERE NOT known
   UNION ALL SELECT g.id, a, i, sentence_id, t, so_far || sep || words FROM grow g JOIN piece p ON p.id = g.id AND p.i = b + 1 AND NOT known AND starts_with(t, so_far || sep || words)),
-found AS MATERIALIZED (SELECT DISTINCT g.id, a, b, sentence_id, x.sentence AS opens, y.sentence AS ends FROM grow g JOIN piece x ON NOT x.known AND x.id = g.id AND x.i = a JOIN piece y ON NOT y.known AND y.id = g.id AND y.i = b WHERE t = so_far),
+found AS MATERIALIZED (SELECT DISTINCT g.id, a, b, sentence_id, x.sentence AS opens, y.sentence AS ends FROM grow g JOIN piece x ON NOT x.known AND x.id = g.id AND x.i = a JOIN piece y ON NOT y.known AND y.id = g.id AND y.i = b WHERE t = so_far QUALIFY b = max(b) OVER (PARTITION BY g.id, a)),
 reach AS (SELECT f.id, f.a, f.b, min(g.b) AS most FROM found f JOIN found g ON g.id = f.id AND g.a > f.b GROUP BY ALL),
 step AS MATERIALIZED (SELECT DISTINCT f.id, f.a, f.b, g.a AS a2, g.b AS b2, g.sentence_id FROM reach JOIN found f USING (id, a, b) JOIN found g ON g.id = f.id AND g.a > f.b AND g.a <= most AND g.opens - f.ends <= {gap + 1}),
 walk AS (SELECT id, a AS a0, b AS b0, a, b, rule, license, ids, 1 AS n, [a, b] AS path FROM found JOIN rules ON sentence_id = ids[1]
