@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, chosen_path, decontaminate, exact_dedup, license_scan, maxent_lm, mixing, pii, resampling, substring_dedup, url_filter
+from . import centroids, chosen_path, decontaminate, exact_dedup, license_scan, maxent_lm, mixing, pii, resampling, spelling, substring_dedup, url_filter
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scans": license_scan.op8_license_scans,
     "op9_ngram_jaccard_join": chosen_path.op9_ngram_jaccard_join,
     "op10_source_mixing": mixing.op10_source_mixing,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
     "op13_centroid_clustering": centroids.op13_centroid_clustering,
 }
 
@@ -26,5 +27,6 @@ ORACLES = {
     "op8_license_scans": license_scan.ORACLE_OP8,
     "op9_ngram_jaccard_join": chosen_path.ORACLE_OP9,
     "op10_source_mixing": mixing.ORACLE_OP10,
+    "op11_spelling_variants": spelling.ORACLE_OP11,
     "op13_centroid_clustering": centroids.ORACLE_OP13,
 }
