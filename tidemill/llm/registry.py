@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, chosen_path, decontaminate, exact_dedup, license_scan, maxent_lm, mixing, pii, resampling, spelling, substring_dedup, url_filter
+from . import centroids, chosen_path, decontaminate, exact_dedup, license_scan, maxent_lm, mixing, pii, resampling, spelling, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_ngram_jaccard_join": chosen_path.op9_ngram_jaccard_join,
     "op10_source_mixing": mixing.op10_source_mixing,
     "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_centroid_clustering": centroids.op13_centroid_clustering,
 }
 
