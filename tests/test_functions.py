@@ -1,6 +1,10 @@
+import itertools
+import json
+import os
 from datetime import datetime, timezone
 from zoneinfo import ZoneInfo
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,28 +102,52 @@ def test_rendering(spark):
     assert [r["line"] for r in text.rendered(df).orderBy("line_no").collect()] == ["columns:id,name", "1,张三", "2,null"]
 
 
-SAMPLES = [
-    ('{"tide":4,"port":{"zone":"south"}}', "$", ["$.tide", "$.port", "$.port.zone"]),
-    ('{"boats":[{"hull":"oak","knots":7.5},{"oars":2}]}', "$", ["$.boats", "$.boats.*.hull", "$.boats.*.knots"]),
-    ('{"log":{"days":[{"moon":0,"wind":"nw"}]}}', "$.log.days.*", ["$.log.days.*.moon", "$.log.days.*.wind"]),
-    ('[{"mast":true}]', "$", ["$.mast"]),
-    ('{"none":[]}', "$.none", []),
-]
-
-
-@pytest.mark.parametrize("body,path,paths", SAMPLES)
-def test_fields_are_inferred_from_first_elements(body, path, paths):
-    assert [f["json_path"] for f in jsons.flat_fields(body, path)] == paths
-    assert bool(jsons.field_tree(body, path)) == bool(paths)
-
-
-def test_field_types_and_bad_roots():
-    kinds = {f["name"]: f["type"] for f in jsons.flat_fields('{"a":null,"b":[1],"c":{},"d":1.5,"e":true,"f":"x"}')}
-    assert kinds == {"a": "string", "b": "array", "c": "object", "d": "number", "e": "boolean", "f": "string"}
-    for body in ('{"count":100}', '{"count":null}'):
-        with pytest.raises(ValueError):
-            jsons.flat_fields(body, "$.count")
-    assert jsons.field_tree('{"count":100}', "$.count") == []
+def nested_bodies():
+    """JSON made of the given tables: each conversation with its turns, and events with their props."""
+    turns, events = (pq.read_table(f"/root/testdata/sf0.001/{name}.parquet").to_pylist() for name in ("conversations", "events"))
+    bodies = []
+    for conv, group in itertools.groupby(sorted(turns, key=lambda r: (r["conv_id"], r["turn"])), lambda r: r["conv_id"]):
+        bodies.append({"conv": conv, "open": conv % 2 == 0, "said": [{"role": r["role"], "size": {"chars": len(r["text"])}} for r in group], "topic": None, "tags": []})
+    for e in events[:40]:
+        bodies.append({"props": json.loads(e["props"]), "at": {"day": {"of": str(e["ts"])}}, "value": e["value"], "nested": [[e["user_id"]], []], "mixed": [e["user_id"], {"a": 1}]})
+    return bodies
+
+
+def walked(body):
+    """(path, type) of all fields, breadth first, by a queue; of an array the first element counts."""
+    found, queue = [], [("$", body)]
+    for path, value in queue:
+        for name, v in value.items():
+            kind = {dict: "object", list: "array", bool: "boolean", int: "number", float: "number"}.get(type(v), "string")
+            found.append((f"{path}.{name}", kind))
+            first = v[0] if isinstance(v, list) and v else v
+            if isinstance(first, dict):
+                queue.append((f"{path}.{name}" + (".*" if isinstance(v, list) else ""), first))
+    return found
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_fields_of_bodies_from_the_tables():
+    bodies = nested_bodies()
+    assert len(bodies) > 60
+    for body in bodies:
+        text = json.dumps(body)
+        flat = jsons.flat_fields(text)
+        assert sorted((f["json_path"], f["type"]) for f in flat) == sorted(walked(body))
+        assert [f["json_path"] for f in flat] == [x for f in jsons.field_tree(text) for x in tree_paths(f)]
+        wrapped = json.dumps({"pages": {"items": [body, {}]}})
+        for root in ("$.pages.items", "$.pages.items.*", "$.pages.items[*]"):
+            assert len(jsons.flat_fields(wrapped, root)) == len(flat)
+        for path, kind in walked(body):
+            if kind in ("string", "number", "boolean") and ".*" not in path:
+                with pytest.raises(ValueError):
+                    jsons.flat_fields(text, path)
+                assert jsons.field_tree(text, path) == []
+        assert jsons.flat_fields(json.dumps([body])) == flat
+
+
+def tree_paths(field):
+    return [field["json_path"], *(x for f in field["children"] for x in tree_paths(f))]
 
 
 DOC = {"a": [{"b": 1}, {"b": 2}], "x y": {"c": 3}, "d": {"b": 4}}

@@ -122,27 +122,57 @@ def test_messages_fold(spark):
     assert (m["thinking"], m["text"], m["errors"], m["status"], [t["name"] for t in m["tools"]]) == ("t", "ab", [], "IDLE", ["q"])
 
 
+def streamed(spark, tmp_path, batches, **options):
+    """What the stream's fold gives of some batches, one after another, and the state's rows after each."""
+    streaming.configure(spark)
+    for n, b in enumerate(batches):
+        b.coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    q = streaming.fold(rounds.meaningful(stream), **options).writeStream.foreachBatch(sinks.append_events(f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{tmp_path}/out"), [sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in q.recentProgress if p["numInputRows"]]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_streamed_rounds_equal_batch_rounds(spark, tmp_path, seed):
-    """The same events, whatever the micro-batches are."""
+    """The same events with their payloads, spans and rounds, whatever the micro-batches are."""
     rng, rows = random.Random(seed), []
     for session in "ab":
-        pool = ["TEXT_DELTA", "TEXT_END", "THINKING_DELTA", "EXCEED_MAX_ITERS", "START", "MODEL_CALL_START", "AGENT_END" if session == "a" else "ERROR"]
-        rows += [{"type": rng.choice(pool), "text": f"t{k}", "session_id": session, "round_id": f"{k // 8}", "seq": k} for k in range(24)]
+        pool = ["TEXT_DELTA", "TEXT_END", "THINKING_DELTA", "EXCEED_MAX_ITERS", "START", "MODEL_CALL_START", "MODEL_CALL_END", "AGENT_RESULT", "AGENT_END" if session == "a" else rng.choice(["ERROR", "INTERRUPT"])]
+        tools = iter([t for c in "xyz" for t in [("TOOL_CALL_START", c), *[("TOOL_CALL_DELTA", c)] * 3, ("TOOL_CALL_END", c), *[("TOOL_RESULT_TEXT_DELTA", c)] * 4, ("TOOL_RESULT_END", c)]])
+        for k in range(120):
+            row = {"type": rng.choice(pool), "text": rng.choice([f"t{k}", "sk-abc", None, " "]), "result_text": f"r{k}", "input_tokens": rng.choice([None, k]), "model_name": "m"}
+            if k < 70 and rng.random() < 0.5 and (t := next(tools, None)):
+                row = {"type": t[0], "tool_call_id": t[1], "tool_name": rng.choice(["q", None]), "tool_state": rng.choice([None, "error"]), "text": rng.choice(['{"a":1}', "数据", "x" * 9, None])}
+            elif row["type"] in ("AGENT_END", "ERROR", "INTERRUPT") and k < 60:
+                row["type"] = "TEXT_DELTA"
+            rows.append(row | {"session_id": session, "round_id": "0" if k < 70 else f"{k // 8}", "seq": k})
     batch = signals(spark, *rows)
-    streaming.configure(spark)
-    source = tmp_path / "in"
-    cuts = sorted(rng.sample(range(1, 24), 2))
-    for n, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, 24])):
-        batch.filter(f"seq >= {lo} and seq < {hi}").coalesce(1).write.parquet(f"{source}/{n}")
-    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(source))
-    out = f"{tmp_path}/out"
-    q = streaming.fold(rounds.meaningful(stream)).writeStream.foreachBatch(sinks.append_events(out)).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = spark.read.parquet(out).select("session_id", "round_id", "event_type", "sequence_num")
-    want = rounds.events(batch).select("session_id", "round_id", "event_type", "sequence_num")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    assert sinks.duplicate_sequences(got).count() == 0
+    cuts = sorted(rng.sample(range(1, 120), 3))
+    folded, _ = streamed(spark, tmp_path, [batch.filter(f"seq >= {lo} and seq < {hi}") for lo, hi in zip([0, *cuts], [*cuts, 120])], keep=12)
+    shown = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    got, want = shown(streaming.events(folded)), shown(rounds.events(batch, 12))
+    assert got == want
+    ended = rounds.rounds(batch).filter("status <> 'RUNNING'")
+    assert shown(streaming.rounds(folded)) == shown(ended)
+    made = streaming.spans(folded)
+    assert shown(made.filter("span_name = 'llm.call'")) == shown(rounds.spans(batch).select(*made.columns).filter("span_name = 'llm.call'"))
+    want = rounds.spans(batch).filter("span_name = 'tool.call'").select("session_id", "start_time", "end_time", "status", "tool_input", "duration_ms")
+    assert shown(made.filter("span_name = 'tool.call'").select(*want.columns)) == shown(want)
+    assert made.filter("tool_output like '%abc%'").isEmpty()
+
+
+def test_state_stays_flat_over_many_rounds(spark, tmp_path):
+    """Ended rounds leave nothing behind but the session's counter, and long texts are one piece a batch."""
+    batches = []
+    for n in range(8):
+        call = lambda t, k, **more: {"type": t, "tool_call_id": f"c{n}", "text": "z" * 50, "round_id": f"{n}", "seq": n * 100 + k} | more
+        rows = [call("TOOL_CALL_START", 0), *(call("TOOL_CALL_DELTA", k) for k in range(1, 30)), *(call("TOOL_RESULT_TEXT_DELTA", k) for k in range(30, 60))]
+        rows += [{"type": "TEXT_DELTA", "text": "t", "round_id": f"{n}", "seq": n * 100 + k} for k in range(60, 80)]
+        rows.append({"type": "AGENT_END", "round_id": f"{n}", "seq": n * 100 + 99})
+        batches.append(signals(spark, *rows))
+    _, sizes = streamed(spark, tmp_path, batches, keep=1000, kept_ms=0)
+    assert len(sizes) == 8 and max(sizes[2:]) <= sizes[1] + 2
 
 
 def test_a_failing_subscriber_is_dropped(spark, tmp_path):

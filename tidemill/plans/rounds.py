@@ -116,7 +116,7 @@ def events(signals: DataFrame, keep: int = KEPT_LENGTH, base: DataFrame | None =
         kind.alias("event_type"),
         F.when(F.col("type") == "TEXT_DELTA", said("text", False)).when(F.col("type") == "TEXT_END", said("text", True)).when(F.col("type") == "THINKING_DELTA", said("thinking", False)).otherwise(said("thinking", True)).alias("payload"),
     )
-    starts = rows.groupBy(*KEY).agg((F.min("seq") - 1).alias("seq")).select(*KEY, "seq", F.lit("RUN_START").alias("event_type"), F.to_json(F.struct(F.col("round_id"))).alias("payload"))
+    starts = rows.groupBy(*KEY).agg(F.min("seq").alias("seq")).select(*KEY, "seq", F.lit(-1).alias("part"), F.lit("RUN_START").alias("event_type"), F.to_json(F.struct(F.col("round_id"))).alias("payload"))
     # The signal that ended the round is the one that says why.
     ended = rows.filter("seq = ended_seq").dropDuplicates(KEY).withColumn("message", sanitize(F.coalesce(F.when(F.trim("text") != "", F.col("text")), F.when(F.col("state") == "INTERRUPTED", "interrupted").otherwise("the agent failed"))))
     failed = F.col("state") != "DONE"
@@ -134,7 +134,7 @@ def events(signals: DataFrame, keep: int = KEPT_LENGTH, base: DataFrame | None =
         )
     )
     closing = ended.select(*KEY, F.col("ended_seq").alias("seq"), F.posexplode(ending).alias("part", "e")).select(*KEY, "seq", (F.col("part") + 1).alias("part"), "e.event_type", "e.payload")
-    every = tool_events.unionByName(text_events).unionByName(starts).withColumn("part", F.lit(0)).unionByName(closing)
+    every = tool_events.unionByName(text_events).withColumn("part", F.lit(0)).unionByName(starts).unionByName(closing)
     numbered = every.withColumn("sequence_num", F.row_number().over(Window.partitionBy("session_id").orderBy("seq", "part", "round_id")).cast("long"))
     if base is not None:
         numbered = numbered.join(base, "session_id", "left").withColumn("sequence_num", F.col("sequence_num") + F.coalesce("base", F.lit(0))).drop("base")

@@ -265,12 +265,6 @@ def json_documents(t, spark) -> DataFrame:
     return t("events").select("event_id", jsons.lenient_object(broken).alias("body"), jsons.strict_ids(ids).alias("ids"), secure.digest_ok(F.col("props"), declared).alias("fits"))
 
 
-@query("SELECT * FROM (VALUES ('k', '$.k', 'number'), ('where', '$.where', 'array'), ('town', '$.where.*.town', 'string'), ('when', '$.when', 'object'), ('day', '$.when.day', 'boolean')) f(name, json_path, type)")
-def inferred_fields(t, spark) -> DataFrame:
-    sample = '{"k": 1.5, "where": [{"town": null}, {"town": "x"}], "when": {"day": true}}'
-    return spark.createDataFrame([(f["name"], f["json_path"], f["type"]) for f in jsons.flat_fields(sample)], "name string, json_path string, type string")
-
-
 # The log (T10, T11, A8, N7, N9, K4, K7)
 
 

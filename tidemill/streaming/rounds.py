@@ -3,98 +3,283 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidemill.functions.text import KEPT_LENGTH
+from tidemill.functions.dates import duration_ms
+from tidemill.functions.text import KEPT_LENGTH, mask_secrets, sanitize
 
-OUTPUT = "session_id string, round_id string, event_type string, text string, stop_reason string, sequence_num long"
+#: What the fold gives: events (`record` is event), spans and finished rounds, in one table.
+FOLDED = (
+    "session_id string, round_id string, record string, kind string, sequence_num long, block_id string, tool_call_id string, tool_name string, text string, tool_input string, "
+    "truncated boolean, state string, stop_reason string, start_micros long, end_micros long, input_tokens int, output_tokens int, model_name string"
+)
+_COLUMNS = [c.split()[0] for c in FOLDED.split(", ")]
 _ENDS = {"AGENT_END": "DONE", "INTERRUPT": "INTERRUPTED", "DISCONNECT": "INTERRUPTED", "ERROR": "ERROR"}
-_EVENTS = {"TEXT_DELTA": "MESSAGE", "TEXT_END": "MESSAGE", "THINKING_DELTA": "THINKING", "THINKING_END": "THINKING", "TOOL_CALL_START": "TOOL_CALL"}
+_SAID = ("TEXT_DELTA", "TEXT_END", "THINKING_DELTA", "THINKING_END")
+
+
+class _Kept:
+    """A map state as a dictionary for one batch: each entry is read once at most, and written once if it changed."""
+
+    def __init__(self, state, empty: tuple) -> None:
+        self.state, self.empty = state, empty
+        self.now: dict[str, list | None] = {}
+
+    def get(self, key: str) -> list:
+        if self.now.get(key) is None:
+            held = self.state.getValue((key,)) if key not in self.now and self.state.containsKey((key,)) else None
+            self.now[key] = list(self.empty if held is None else held)
+        return self.now[key]
+
+    def drop(self, key: str) -> None:
+        self.now[key] = None
+
+    def write(self) -> None:
+        for key, value in self.now.items():
+            if value is not None:
+                self.state.updateValue((key,), tuple(value))
+            elif self.state.containsKey((key,)):
+                self.state.removeKey((key,))
+
+
+class _Texts:
+    """Texts that grow, as numbered pieces: a batch adds one piece to a text, whatever the text's length is."""
+
+    def __init__(self, state) -> None:
+        self.state, self.added = state, {}
+
+    def add(self, key: str, text: str) -> None:
+        self.added.setdefault(key, []).append(text)
+
+    def _held(self, key: str, pieces: int) -> list[tuple[str]]:
+        return [(f"{key}/{k}",) for k in range(pieces)]
+
+    def read(self, key: str, pieces: int) -> str:
+        return "".join(self.state.getValue(k)[0] for k in self._held(key, pieces)) + "".join(self.added.get(key, ()))
+
+    def drop(self, key: str, pieces: int) -> None:
+        self.added.pop(key, None)
+        for k in self._held(key, pieces):
+            self.state.removeKey(k)
+
+    def write(self, key: str, pieces: int) -> int:
+        """Stores what the batch added; the number of pieces from now on."""
+        text = "".join(self.added.pop(key, ()))
+        if not text:
+            return pieces
+        self.state.updateValue((f"{key}/{pieces}",), (text,))
+        return pieces + 1
+
+
+# Places in the entries of the states below.
+_LIMITED, _STATE, _ENDED, _MODEL, _OUTPUT, _FINAL, _CALLS = range(7)
+_ARGS, _HEAD, _TOTAL, _TAIL, _STARTED, _NAME, _CLOSED = range(7)
 
 
 class RoundFold(StatefulProcessor):
-    """State of a session: its sequence counter; of each open round: the iteration limit, tool arguments, result lengths
-    and tails. A round that ended takes no more signals.
+    """Of a session: its sequence counter; of each open round: limit, output and open calls; of each open call: arguments,
+    head and tail of the result, start and name. Texts are kept as pieces, one a batch.
+
+    A round that ends gives back all it held but for a mark by which later signals of it are known; a timer takes the mark away
+    after kept_ms. What hasn't changed for idle_ms expires, so that rounds that never end don't stay either.
     """
 
+    def __init__(self, keep: int = KEPT_LENGTH, kept_ms: int = 600_000, idle_ms: int = 7 * 86_400_000) -> None:
+        self.keep, self.kept_ms, self.idle_ms = keep, kept_ms, idle_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.counter = handle.getValueState("counter", "value long")
-        self.rounds = handle.getMapState("rounds", "round_id string", "limited boolean, state string")
-        self.calls = handle.getMapState("calls", "call string", "args string, total long, tail string")
-
-    def _next(self, out: list, session: str, round_id: str, kind: str, text: str, reason: str | None = None) -> None:
-        number = (self.counter.get()[0] if self.counter.exists() else 0) + 1
-        self.counter.update((number,))
-        out.append((session, round_id, kind, text, reason, number))
-
-    def _call(self, key: str) -> tuple[str, int, str]:
-        return tuple(self.calls.getValue((key,))) if self.calls.containsKey((key,)) else ("", 0, "")
-
-    def _signal(self, out: list, session: str, r) -> None:
-        round_id, kind, text = r.round_id, r.type, r.text if isinstance(r.text, str) else ""
-        limited, state = tuple(self.rounds.getValue((round_id,))) if self.rounds.containsKey((round_id,)) else (False, None)
-        if state is None:
-            self._next(out, session, round_id, "RUN_START", "")
-            state = "RUNNING"
-        if state != "RUNNING":
+        self.rounds = handle.getMapState("rounds", "round_id string", "limited boolean, state string, ended long, model_start long, output int, final string, calls array<string>", self.idle_ms)
+        self.calls = handle.getMapState("calls", "call string", "args int, head int, total long, tail string, started long, name string, closed boolean", self.idle_ms)
+        self.texts = handle.getMapState("texts", "piece string", "text string", self.idle_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        got = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
+        fold = _Fold(self, key[0], timerValues.getCurrentProcessingTimeInMs())
+        for r in got.astype(object).where(got.notna(), None).itertuples(index=False):
+            fold.signal(r)
+        fold.write()
+        yield pd.DataFrame(fold.out, columns=_COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        gone = [k for k, v in self.rounds.iterator() if v[_ENDED] is not None and v[_ENDED] + self.kept_ms <= now]
+        for k in gone:
+            self.rounds.removeKey(k)
+        yield pd.DataFrame([], columns=_COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+class _Fold:
+    """One batch of a session's signals."""
+
+    def __init__(self, of: RoundFold, session: str, now: int) -> None:
+        self.of, self.session, self.now = of, session, now
+        self.rounds = _Kept(of.rounds, (False, None, None, None, 0, None, []))
+        self.calls = _Kept(of.calls, (0, 0, 0, "", None, None, False))
+        self.texts = _Texts(of.texts)
+        self.number = of.counter.get()[0] if of.counter.exists() else 0
+        self.out: list[tuple] = []
+
+    def put(self, round_id: str, record: str, kind: str, **more: Any) -> None:
+        if record == "event":
+            self.number += 1
+            more["sequence_num"] = self.number
+        row = {"session_id": self.session, "round_id": round_id, "record": record, "kind": kind} | more
+        self.out.append(tuple(row.get(c) for c in _COLUMNS))
+
+    def signal(self, r) -> None:
+        round_id, kind = r.round_id, r.type
+        of = self.rounds.get(round_id)
+        if of[_STATE] is None:
+            of[_STATE] = "RUNNING"
+            self.put(round_id, "event", "RUN_START")
+        if of[_STATE] != "RUNNING":
             return
-        call = f"{round_id}/{r.tool_call_id}"
-        if kind in _EVENTS:
-            self._next(out, session, round_id, _EVENTS[kind], text if kind.endswith("DELTA") else "")
+        if kind in _SAID:
+            self.put(round_id, "event", kind, text=r.text, block_id=r.block_id)
+            if kind == "TEXT_DELTA" and r.text:
+                self.texts.add(f"{round_id}/output", r.text)
+        elif kind.startswith("TOOL_") and r.tool_call_id is not None:
+            self.tool(of, r)
+        elif kind == "AGENT_RESULT":
+            of[_FINAL] = r.result_text
+        elif kind == "EXCEED_MAX_ITERS":
+            of[_LIMITED] = True
+        elif kind == "MODEL_CALL_START":
+            of[_MODEL] = r.micros
+        elif kind == "MODEL_CALL_END" and of[_MODEL] is not None:
+            self.put(round_id, "span", "llm.call", start_micros=of[_MODEL], end_micros=r.micros, state="OK", input_tokens=r.input_tokens, output_tokens=r.output_tokens, model_name=r.model_name)
+            of[_MODEL] = None
+        elif kind in _ENDS:
+            self.end(of, r)
+
+    def tool(self, of: list, r) -> None:
+        call, kind, text = f"{r.round_id}/{r.tool_call_id}", r.type, r.text or ""
+        if r.tool_call_id not in of[_CALLS]:
+            of[_CALLS] = [*of[_CALLS], r.tool_call_id]
+        c = self.calls.get(call)
+        told = {"tool_call_id": r.tool_call_id, "tool_name": r.tool_name}
+        if kind == "TOOL_CALL_START":
+            c[_STARTED], c[_NAME] = r.micros, r.tool_name if r.tool_name is not None else c[_NAME]
+            self.put(r.round_id, "event", kind, **told)
         elif kind == "TOOL_CALL_DELTA":
-            args, total, tail = self._call(call)
-            self.calls.updateValue((call,), (args + text, total, tail))
+            if text and not c[_CLOSED]:
+                self.texts.add(f"{call}/args", text)
         elif kind == "TOOL_CALL_END":
-            args, total, tail = self._call(call)
-            self._next(out, session, round_id, "TOOL_CALL", args)
-            self.calls.updateValue((call,), ("", total, tail))
+            c[_CLOSED] = True
+            self.put(r.round_id, "event", kind, tool_input=self.texts.read(f"{call}/args", c[_ARGS]), **told)
         elif kind == "TOOL_RESULT_TEXT_DELTA":
-            args, total, tail = self._call(call)
-            head = text[: max(0, KEPT_LENGTH - total)]
+            head = text[: max(0, self.of.keep - c[_TOTAL])]
+            c[_TOTAL] += len(text)
+            c[_TAIL] = (c[_TAIL] + text[len(head) :])[-self.of.keep :]
             if head:
-                self._next(out, session, round_id, "TOOL_CALL_OUTPUT", head)
-            self.calls.updateValue((call,), (args, total + len(text), (tail + text[len(head) :])[-KEPT_LENGTH:]))
+                self.texts.add(f"{call}/head", head)
+                self.put(r.round_id, "event", kind, text=head, truncated=False, **told)
         elif kind == "TOOL_RESULT_END":
-            _, total, tail = self._call(call)
-            shown = ""
-            if total > KEPT_LENGTH:
-                shown = f"\n...[中间省略 {total - KEPT_LENGTH - len(tail)} 字符]...\n{tail}\n...[输出已截断，共 {total} 字符，仅保留首尾各 {KEPT_LENGTH} 字符]...\n"
-            self._next(out, session, round_id, "TOOL_CALL_OUTPUT", shown)
-            if self.calls.containsKey((call,)):
-                self.calls.removeKey((call,))
-        elif kind == "EXCEED_MAX_ITERS":
-            limited = True
-        elif kind in _ENDS:
-            state = _ENDS[kind]
-            reason = {"DONE": "max_iterations" if limited else "stop", "INTERRUPTED": "interrupted", "ERROR": "error"}[state]
-            for event in ("RUN_END",) if state == "DONE" else ("RUN_ERROR", "ERROR"):
-                self._next(out, session, round_id, event, "", reason)
-            self._next(out, session, round_id, "SESSION_STATUS", "IDLE", reason)
-        self.rounds.updateValue((round_id,), (limited, state))
+            total, tail = c[_TOTAL], c[_TAIL]
+            shown = f"\n...[中间省略 {total - self.of.keep - len(tail)} 字符]...\n{tail}\n...[输出已截断，共 {total} 字符，仅保留首尾各 {self.of.keep} 字符]...\n" if total > self.of.keep else ""
+            self.put(r.round_id, "event", kind, text=shown, truncated=total > self.of.keep, **told)
+            if c[_STARTED] is not None:
+                asked, got = (self.texts.read(f"{call}/{name}", c[k]) or None for name, k in (("args", _ARGS), ("head", _HEAD)))
+                state = "ERROR" if (r.tool_state or "").lower() == "error" else "OK"
+                named = c[_NAME] if c[_NAME] is not None else r.tool_name
+                self.put(r.round_id, "span", "tool.call", start_micros=c[_STARTED], end_micros=r.micros, state=state, tool_call_id=r.tool_call_id, tool_name=named, tool_input=asked, text=got)
+            self.forget(call)
+            of[_CALLS] = [x for x in of[_CALLS] if x != r.tool_call_id]
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        got = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
-        out: list = []
-        for r in got.itertuples(index=False):
-            self._signal(out, key[0], r)
-        yield pd.DataFrame(out, columns=["session_id", "round_id", "event_type", "text", "stop_reason", "sequence_num"])
+    def forget(self, call: str) -> None:
+        c = self.calls.get(call)
+        self.texts.drop(f"{call}/args", c[_ARGS])
+        self.texts.drop(f"{call}/head", c[_HEAD])
+        self.calls.drop(call)
 
-    def close(self) -> None:
-        pass
+    def end(self, of: list, r) -> None:
+        of[_STATE], of[_ENDED] = _ENDS[r.type], self.now
+        reason = {"DONE": "max_iterations" if of[_LIMITED] else "stop", "INTERRUPTED": "interrupted", "ERROR": "error"}[of[_STATE]]
+        told = {"text": r.text, "state": of[_STATE], "stop_reason": reason}
+        for kind in ("RUN_END", "SESSION_STATUS") if of[_STATE] == "DONE" else ("RUN_ERROR", "ERROR", "SESSION_STATUS"):
+            self.put(r.round_id, "event", kind, **told)
+        output = f"{r.round_id}/output"
+        said = self.texts.read(output, of[_OUTPUT]) or of[_FINAL] or ""
+        self.put(r.round_id, "round", "COMPLETED" if of[_STATE] == "DONE" else "FAILED", **told | {"text": said if of[_STATE] == "DONE" else ""})
+        self.texts.drop(output, of[_OUTPUT])
+        for call in of[_CALLS]:
+            self.forget(f"{r.round_id}/{call}")
+        of[_OUTPUT], of[_FINAL], of[_CALLS], of[_MODEL] = 0, None, [], None
+        self.of.handle.registerTimer(self.now + self.of.kept_ms)
 
+    def write(self) -> None:
+        for round_id, of in self.rounds.now.items():
+            of[_OUTPUT] = self.texts.write(f"{round_id}/output", of[_OUTPUT])
+        for call, c in self.calls.now.items():
+            if c is not None:
+                c[_ARGS], c[_HEAD] = self.texts.write(f"{call}/args", c[_ARGS]), self.texts.write(f"{call}/head", c[_HEAD])
+        self.rounds.write()
+        self.calls.write()
+        self.of.counter.update((self.number,))
 
-def fold(signals: DataFrame) -> DataFrame:
-    """Events of a stream of signals. Needs the RocksDB state store (see configure())."""
-    return signals.groupBy("session_id").transformWithStateInPandas(statefulProcessor=RoundFold(), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
 
+def fold(signals: DataFrame, keep: int = KEPT_LENGTH, kept_ms: int = 600_000, idle_ms: int = 7 * 86_400_000) -> DataFrame:
+    """Events, spans and finished rounds (FOLDED) of a stream of signals. Needs the RocksDB state store (see configure())."""
+    timed = signals.withColumn("micros", F.unix_micros("ts")).drop("ts")
+    return timed.groupBy("session_id").transformWithStateInPandas(statefulProcessor=RoundFold(keep, kept_ms, idle_ms), outputStructType=FOLDED, outputMode="Append", timeMode="ProcessingTime")
+
+
+def events(folded: DataFrame) -> DataFrame:
+    """(session, round, event_type, payload, sequence_num) of what fold() gives, stream or table."""
+    kind = F.col("kind")
+    ids = [F.col("tool_call_id"), F.col("tool_name").alias("name")]
+    block = lambda name, *fields: F.struct(F.lit(name).alias("type"), *fields)
+    payload = lambda b, last: F.to_json(F.struct(F.array(b).alias("content"), F.lit(last).alias("is_last")))
+    arguments = F.when(F.schema_of_variant(F.try_parse_json("tool_input")).startswith("OBJECT"), F.try_parse_json("tool_input"))
+    nothing = F.lit("").alias("text")
+    message = sanitize(F.coalesce(F.when(F.trim("text") != "", F.col("text")), F.when(F.col("state") == "INTERRUPTED", "interrupted").otherwise("the agent failed")))
+    bodies = {
+        "RUN_START": F.to_json(F.struct("round_id")),
+        "TEXT_DELTA": payload(block("text", F.col("text"), F.col("block_id")), False),
+        "TEXT_END": payload(block("text", nothing, F.col("block_id")), True),
+        "THINKING_DELTA": payload(block("thinking", F.col("text"), F.col("block_id")), False),
+        "THINKING_END": payload(block("thinking", nothing, F.col("block_id")), True),
+        "TOOL_CALL_START": payload(block("tool_call", *ids), False),
+        "TOOL_CALL_END": payload(block("tool_call", *ids, arguments.alias("input")), True),
+        "TOOL_RESULT_TEXT_DELTA": payload(block("tool_result", *ids, F.col("text").alias("output"), F.col("truncated")), False),
+        "TOOL_RESULT_END": payload(block("tool_result", *ids, F.col("text").alias("output"), F.col("truncated")), True),
+        "RUN_END": F.to_json(F.struct("stop_reason")),
+        "RUN_ERROR": F.to_json(F.struct(F.col("stop_reason"), message.alias("message"))),
+        "ERROR": F.to_json(F.struct(F.lit("DEEP_AGENT_RUN_ERROR").alias("code"), message.alias("message"))),
+        "SESSION_STATUS": F.to_json(F.struct(F.lit("IDLE").alias("status"), F.col("stop_reason"))),
+    }
+    body = F.coalesce(*(F.when(kind == name, b) for name, b in bodies.items()))
+    named = F.when(kind.startswith("TEXT_"), "MESSAGE").when(kind.startswith("THINKING_"), "THINKING").when(kind.startswith("TOOL_CALL_"), "TOOL_CALL").when(kind.startswith("TOOL_RESULT_"), "TOOL_CALL_OUTPUT").otherwise(kind)
+    return folded.filter("record = 'event'").select("session_id", "round_id", named.alias("event_type"), body.alias("payload"), "sequence_num")
 
-def configure(spark) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
+def spans(folded: DataFrame) -> DataFrame:
+    """llm.call and tool.call spans of what fold() gives, with the columns of the batch fold's."""
+    start, end = F.timestamp_micros("start_micros"), F.timestamp_micros("end_micros")
+    return folded.filter("record = 'span'").select(
+        "session_id", "round_id", F.col("kind").alias("span_name"), start.alias("start_time"), end.alias("end_time"), F.col("state").alias("status"), "input_tokens", "output_tokens", "model_name", "tool_name",
+        sanitize(F.col("tool_input")).alias("tool_input"), mask_secrets(F.col("text")).alias("tool_output"), duration_ms(start, end).alias("duration_ms"),
+    )
 
-def once(events: DataFrame, key: str = "event_id") -> DataFrame:
-    """Each event once: what a reader that replays from an offset and then follows live needs."""
-    return events.dropDuplicates([key])
+
+def rounds(folded: DataFrame) -> DataFrame:
+    """(session, round, output, status, stop_reason) of the rounds that ended."""
+    return folded.filter("record = 'round'").select("session_id", "round_id", F.col("text").alias("output"), F.col("kind").alias("status"), "stop_reason")
+
+
+def configure(spark) -> None:
+    """Sets the state store that fold() needs. Timers and expiry are looked at with each batch of data; without this, a run over all
+    that is available would wait for them with empty batches for ever.
+    """
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
