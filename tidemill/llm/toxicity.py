@@ -324,8 +324,8 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     network = Network.new({name: np.sort(h[kind == k]) for k, name in enumerate(("word", "char"))}, seed)
     for r in range(rounds):
         shared = spark.sparkContext.broadcast(network)
-        # A partition count given here isn't merged by size: the shards are small but take long.
-        ends = sample.repartition(4 * shards, "shard").groupBy("shard").applyInArrow(_shard_training(shared, steps, batch, 1000 * r), "shard int, p binary").collect()
+        # Each shard has a task of its own: by hash two may share one, and small partitions would be merged.
+        ends = sample.repartitionById(shards, F.col("shard")).groupBy("shard").applyInArrow(_shard_training(shared, steps, batch, 1000 * r), "shard int, p binary").collect()
         shared.destroy()
         if not ends:
             break
