@@ -223,4 +223,4 @@ def test_more_date_patterns(spark):
     patterns = ["EEE", "EEEE", "MMM d", "MMMM", "D", "DDD", "a hh:mm", "k", "K", "Q", "QQQ", "yy-MM", "SSS"]
     shown = spark.range(1).select(*(F.date_format(ts, p).alias(f"c{k}") for k, p in enumerate(patterns))).first()
     assert [dates.format_date(p, t) for p in patterns] == list(shown)
-    assert [dates.format_date(p, t) for p in ("X", "XXX", "xx", "Z", "A", "n", "q")] == ["+08", "+08:00", "+0800", "+0800", "306789", "789000000", None]
+    assert [dates.format_date(p, t) for p in ("X", "XXX", "xx", "Z", "A", "n", "q", "i")] == ["+08", "+08:00", "+0800", "+0800", "306789", "789000000", "1", None]

@@ -341,4 +341,4 @@ def encrypt_round_trip(t, spark) -> DataFrame:
     return t("customer").select("c_custkey", F.col("c_name").alias("name"), secure.decrypt(sealed, secret).alias("opened"), F.length(sealed).alias("sealed_length"))
 
 
-from tidemill import registry_commands, registry_ordered, registry_streams  # noqa: E402, F401  they add their queries
+from tidemill import registry_columns, registry_commands, registry_ordered, registry_streams  # noqa: E402, F401  they add their queries
