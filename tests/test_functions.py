@@ -1,6 +1,7 @@
 import itertools
 import json
 import os
+from collections import Counter
 from datetime import datetime, timezone
 from zoneinfo import ZoneInfo
 
@@ -146,6 +147,22 @@ def test_fields_of_bodies_from_the_tables():
         assert jsons.flat_fields(json.dumps([body])) == flat
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_the_profile_counts_the_fields_of_all_bodies(spark):
+    bodies = nested_bodies()
+    want = Counter(x for body in bodies for x in walked(body))
+    texts = [*map(json.dumps, bodies), "{cut", "3", "[]", "", None, '{"said":"text"}']
+    want["$.said", "string"] += 1
+    got = {r["json_path"]: r for r in jsons.field_profile(spark.createDataFrame([(x, 1) for x in texts], "body string, n int").repartition(3), "body").collect()}
+    assert got.pop("")["types"] == {"none": 4}
+    assert {(path, kind): n for path, r in got.items() for kind, n in r["types"].items()} == dict(want)
+    for path, r in got.items():
+        assert r["name"] == path.rsplit(".", 1)[1] and r["n"] == sum(r["types"].values())
+        assert r["type"] == min(r["types"], key=lambda k: (-r["types"][k], k))
+        assert (r["parent"] or "$") == path.rsplit(".", 1)[0].removesuffix(".*") and r["depth"] == path.replace(".*", "").count(".")
+    assert jsons.field_profile(spark.createDataFrame([], "body string"), "body").collect() == []
+
+
 def tree_paths(field):
     return [field["json_path"], *(x for f in field["children"] for x in tree_paths(f))]
 

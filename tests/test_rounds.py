@@ -72,6 +72,26 @@ def test_tool_calls(spark):
     assert (span["span_name"], span["status"], span["tool_name"], span["duration_ms"], span["tool_input"]) == ("tool.call", "ERROR", "q", 700, '{"a":1}')
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_depths_of_deep_trees_circles_and_orphans(spark, seed):
+    rng = random.Random(seed)
+    up = {0: None, 1: None} | {k: rng.choice([k - 1, rng.randrange(k)]) for k in range(2, 300)}
+    up |= {500: 501, 501: 502, 502: 500, 503: 501, 504: 504, 600: 999, 601: 600}
+
+    def line(k):
+        seen = []
+        while k is not None and k not in seen and k in up:
+            seen.append(k)
+            k = up[k]
+        return (seen[-1], len(seen) - 1, "/".join(map(str, seen[::-1])), None) if k is None else (None, None, None, "cycle" if k in seen else "no parent")
+
+    df = spark.createDataFrame(list(up.items()), "span_id int, parent_span_id int").repartition(3)
+    got = {r["span_id"]: tuple(r)[2:] for r in rounds.span_depths(df).collect()}
+    assert got == {k: line(k) for k in up}
+    assert {r["span_id"]: (r["root"], r["depth"], r["path"]) for r in rounds.span_depths(df, with_path=False).collect()} == {k: (*line(k)[:2], None) for k in up}
+    assert rounds.span_depths(df.limit(0)).collect() == []
+
+
 def test_model_spans(spark):
     df = signals(spark, "MODEL_CALL_START", {"type": "MODEL_CALL_END", "input_tokens": 3, "output_tokens": 4, "model_name": "m"}, {"type": "MODEL_CALL_END"}, "AGENT_END")
     assert [(r["model_name"], r["input_tokens"], r["output_tokens"], r["duration_ms"]) for r in rounds.spans(df).collect()] == [("m", 3, 4, 100)]

@@ -1,106 +1,17 @@
-"""JSON: paths, rows of a response, and fields inferred from a sample."""
+"""JSON: rows of a response, and fields inferred from a sample."""
 
 from __future__ import annotations
 
 import json
-import re
+from collections import Counter
+from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_UNION = re.compile(r"\[\s*((?:-?\d+|'[^']*'|\"[^\"]*\")(?:\s*,\s*(?:-?\d+|'[^']*'|\"[^\"]*\"))+)\s*\]")
-_FILTER = re.compile(r"\[\?\(((?:[^()'\"]|'[^']*'|\"[^\"]*\"|\((?:[^()'\"]|'[^']*'|\"[^\"]*\")*\))+)\)\]")
-_TEST = re.compile(r"\s*(!?)\s*@((?:\.[\w\-]+|\[[^\]]+\])*)\s*(?:(==|!=|<=|>=|<|>)\s*('[^']*'|\"[^\"]*\"|[-+\w.]+)\s*)?")
-_STEP = re.compile(r"\.\.(?P<deep>\*|[\w\-一-鿿]+)|\.(?P<name>\*|[\w\-一-鿿]+)|\[(?P<q>['\"])(?P<quoted>.*?)(?P=q)\]|\[(?P<index>-?\d+|\*|-?\d*:-?\d*)\]")
-
-
-class PathMissing(LookupError):
-    """A definite path leads nowhere."""
-
-
-def _below(value: Any) -> list:
-    found = [value]
-    for child in value.values() if isinstance(value, dict) else value if isinstance(value, list) else ():
-        found += _below(child)
-    return found
-
-
-def _test(value: Any, test: str) -> bool:
-    """One comparison of a filter, @.name op literal, or whether the name exists."""
-    m = _TEST.fullmatch(test)
-    if not m:
-        raise ValueError(f"not a filter: {test!r}")
-    try:
-        left = read_path(value, "$" + m[2])
-    except PathMissing:
-        return m[1] == "!"
-    if m[3] is None:
-        return m[1] != "!"
-    right = m[4][1:-1] if m[4][0] in "'\"" else json.loads(m[4])
-    if m[3] in ("==", "!="):
-        return (left == right and isinstance(left, bool) == isinstance(right, bool)) == (m[3] == "==")
-    if not (isinstance(left, str) and isinstance(right, str)) and not all(isinstance(x, (int, float)) and not isinstance(x, bool) for x in (left, right)):
-        return False
-    return {"<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right}[m[3]]
-
-
-def _passes(value: Any, tests: str) -> bool:
-    """Tests joined by && and ||, of which && binds first; no brackets, and no || or && in texts."""
-    return any(all(_test(value, t) for t in part.split("&&")) for part in tests.split("||"))
-
-
-def read_path(document: Any, path: str) -> Any:
-    """The value at a JSON path: $, .name, ['name'], [n], [a:b], [*], .*, ..name, [0,2], ['a','b'] and [?(@.a > 1)].
-
-    A path with *, a slice, a union, a filter or .. gives the list of what it matches, maybe none; any other gives its value or raises
-    PathMissing.
-    """
-    if not path.startswith("$"):
-        raise ValueError(f"a path starts with $: {path}")
-    at, values, many = 1, [document], False
-    while at < len(path):
-        if m := _UNION.match(path, at):
-            at, many = m.end(), True
-            parts = [x if x[0] in "'\"" else int(x) for x in re.findall(r"-?\d+|'[^']*'|\"[^\"]*\"", m[1])]
-            values = [
-                v[p] if isinstance(p, int) else v[p[1:-1]]
-                for v in values
-                for p in parts
-                if (isinstance(p, int) and isinstance(v, list) and -len(v) <= p < len(v)) or (isinstance(p, str) and isinstance(v, dict) and p[1:-1] in v)
-            ]
-            continue
-        if m := _FILTER.match(path, at):
-            at, many = m.end(), True
-            values = [x for v in values for x in (v if isinstance(v, list) else v.values() if isinstance(v, dict) else ()) if _passes(x, m[1])]
-            continue
-        m = _STEP.match(path, at)
-        if not m:
-            raise ValueError(f"not a path from {path[at:]!r} on: {path}")
-        at = m.end()
-        name, index, deep = m["name"] if m["quoted"] is None else m["quoted"], m["index"], m["deep"]
-        if deep:
-            values, many = [v for x in values for v in _below(x)], True
-            name = deep
-        out: list = []
-        for v in values:
-            if (name == "*" and m["quoted"] is None) or index == "*":
-                out += v.values() if isinstance(v, dict) else v if isinstance(v, list) else ()
-            elif index is not None and ":" in index:
-                lo, hi = (int(x) if x else None for x in index.split(":"))
-                out += v[lo:hi] if isinstance(v, list) else ()
-            elif index is not None:
-                if isinstance(v, list) and -len(v) <= int(index) < len(v):
-                    out.append(v[int(index)])
-            elif isinstance(v, dict) and name in v:
-                out.append(v[name])
-        many |= (name == "*" and m["quoted"] is None) or (index is not None and (index == "*" or ":" in index))
-        values = out
-    if many:
-        return values
-    if not values:
-        raise PathMissing(path)
-    return values[0]
+from tidemill.functions.paths import PathMissing, read_path
 
 
 def as_rows(data: Any) -> list[dict]:
@@ -177,6 +88,49 @@ def flat_fields(sample: str, path: str = "$") -> list[dict]:
     return flat(_fields(value, path))
 
 
+def _counted_fields(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for b in batches:
+            for body in b.column(0):
+                try:
+                    root = _root(json.loads(body.as_py()), path)
+                except (ValueError, PathMissing):
+                    root = None
+                if not isinstance(root, dict):
+                    seen["", "", "none", 0] += 1
+                    continue
+                queue = [(f, "", 1) for f in _fields(root, path)]
+                for f, parent, depth in queue:
+                    seen[f["json_path"], parent, f["type"], depth] += 1
+                    queue += [(x, f["json_path"], depth + 1) for x in f["children"]]
+            if len(seen) > 50_000:
+                yield _field_batch(seen)
+                seen = Counter()
+        yield _field_batch(seen)
+
+    return run
+
+
+def _field_batch(seen: Counter) -> pa.RecordBatch:
+    at, parent, kind, depth = zip(*seen) if seen else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.string()), pa.array(parent, pa.string()), pa.array(kind, pa.string()), pa.array(depth, pa.int32()), pa.array(seen.values(), pa.int64())], ["json_path", "parent", "type", "depth", "n"])
+
+
+def field_profile(documents: DataFrame, json_col: str, path: str = "$") -> DataFrame:
+    """(json_path, parent, depth, name, type, types, n): the field tree of a whole table of JSON texts, a row a field.
+
+    Of each text the fields are those of field_tree(): arrays show their first element. A field's type is the one most texts have (ties: the
+    first by name), types has the number of texts of each, n is their sum. Texts without fields, malformed ones too, are
+    counted in a row whose path is empty and whose type is `none`; null texts are left out. Tasks count what they see, and
+    only counts are shuffled, so that the work is one pass whatever the number of texts.
+    """
+    rows = documents.select(F.col(json_col).cast("string").alias("body")).filter("body IS NOT NULL")
+    counts = rows.mapInArrow(_counted_fields(path), "json_path string, parent string, type string, depth int, n long").groupBy("json_path", "parent", "depth", "type").agg(F.sum("n").alias("n"))
+    fields = counts.groupBy("json_path").agg(F.min("parent").alias("parent"), F.min("depth").alias("depth"), F.min(F.struct((-F.col("n")).alias("minus"), "type"))["type"].alias("type"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("types"), F.sum("n").alias("n"))
+    return fields.select("json_path", F.nullif("parent", F.lit("")).alias("parent"), "depth", F.regexp_extract("json_path", r"([^.]*)$", 1).alias("name"), "type", "types", "n")
+
+
 def type_label_column(variant: Column) -> Column:
     """The same labels for a VARIANT column."""
     kind = F.schema_of_variant(variant)

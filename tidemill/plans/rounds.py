@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemill.functions.dates import duration_ms
 from tidemill.functions.text import KEPT_LENGTH, mask_secrets, sanitize, window_tail
 from tidemill.schemas import SIGNALS
+from tidemill.streaming.files import new_folder
 
 KEY = ["session_id", "round_id"]
 
@@ -188,6 +189,39 @@ def span_tree(spans: DataFrame, max_depth: int = 32) -> DataFrame:
         found = found.unionByName(level)
 
 
+def span_depths(spans: DataFrame, with_path: bool = True) -> DataFrame:
+    """(span_id, parent_span_id, root, depth, path, problem) of every span, however deep the trees are.
+
+    Each round doubles the steps that a span has gone up, so that trees of depth d take about log2(d) rounds of one join; only
+    spans that haven't reached their root are joined. problem is `cycle` for spans in or below a circle, `no parent` for those whose line ends at
+    a parent that isn't there; both have no root, depth and path. Span ids are unique. Without paths, which are as long as the tree is
+    deep, a row has a fixed size.
+    """
+    spark, text = spans.sparkSession, F.col("span_id").cast("string")
+
+    def written(df: DataFrame) -> DataFrame:
+        path = new_folder(spark, "spans")
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    known = spans.select(F.col("span_id").alias("up")).withColumn("_there", F.lit(True))
+    start = spans.select("span_id", "parent_span_id", F.col("parent_span_id").alias("up"), F.coalesce("parent_span_id", "span_id").alias("root"), (F.col("parent_span_id").isNotNull()).cast("int").alias("depth"), (text if with_path else F.lit(None).cast("string")).alias("path"))
+    start = written(start.join(known, "up", "left").withColumn("problem", F.when(F.col("up").isNotNull() & F.col("_there").isNull(), "no parent")).withColumn("up", F.when(F.col("problem").isNull(), F.col("up"))).select(*start.columns, "problem"))
+    done, open_ = start.filter("up IS NULL"), start.filter("up IS NOT NULL")
+    while True:
+        # What a span's line so far ends at: done, with its own root, or open, and so twice as far up.
+        above = done.unionByName(open_).select(F.col("span_id").alias("up"), F.col("up").alias("_up"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("path").alias("_path"), F.col("problem").alias("_problem"))
+        stepped = open_.join(above, "up").select("span_id", "parent_span_id", F.col("_up").alias("up"), F.col("_root").alias("root"), (F.col("depth") + F.col("_depth")).alias("depth"), F.concat("_path", F.lit("/"), "path").alias("path"), F.col("_problem").alias("problem"))
+        stepped = written(stepped)
+        ended = stepped.filter("up IS NULL")
+        if ended.isEmpty():
+            # Of lines that end some would have ended now, so all that are left go round.
+            circles = open_.withColumn("problem", F.lit("cycle"))
+            known_depth = lambda c: F.when(F.col("problem").isNull(), F.col(c)).alias(c)
+            return done.unionByName(circles).select("span_id", "parent_span_id", known_depth("root"), known_depth("depth"), known_depth("path"), "problem")
+        done, open_ = done.unionByName(ended), stepped.filter("up IS NOT NULL")
+
+
 #: (state, next state) that a session may take.
 TRANSITIONS = (("IDLE", "RUNNING"), ("RUNNING", "DONE"), ("RUNNING", "INTERRUPTED"), ("RUNNING", "ERROR"), ("DONE", "IDLE"), ("INTERRUPTED", "IDLE"), ("ERROR", "IDLE"))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.operators import ordered
+from tidemill.plans import rounds
 from tidemill.registry import query
 
 
@@ -89,3 +90,14 @@ def numbered_lines(t, spark) -> DataFrame:
     """A whole table as numbered lines, without one task that sees them all."""
     line = F.concat_ws(",", *(F.col(c).cast("string") for c in ("o_orderkey", "o_custkey", "o_orderstatus")))
     return ordered.numbered(t("orders").select("o_orderkey", line.alias("line")), [], ["o_orderkey"], "line_no").select("line_no", "line")
+
+
+@query("""WITH c AS (SELECT event_id, user_id % 25 AS chain, row_number() OVER w AS n, lag(event_id) OVER w AS before, first_value(event_id) OVER w AS root, max(event_id) OVER (PARTITION BY user_id % 25) AS final FROM events WINDOW w AS (PARTITION BY user_id % 25 ORDER BY event_id))
+SELECT event_id AS span_id, CASE WHEN before IS NULL AND chain % 5 = 4 THEN final ELSE before END AS parent_span_id, CASE WHEN chain % 5 <> 4 THEN root END AS root,
+CASE WHEN chain % 5 <> 4 THEN (n - 1)::INTEGER END AS depth, CASE WHEN chain % 5 = 4 THEN 'cycle' END AS problem FROM c""")
+def deep_chains(t, spark) -> DataFrame:
+    """Events in a row, each under the one before it, hundreds deep; some rows are closed to circles."""
+    chain = Window.partitionBy("chain")
+    rows = t("events").select("event_id", (F.col("user_id") % 25).alias("chain")).withColumns({"before": F.lag("event_id").over(chain.orderBy("event_id")), "final": F.max("event_id").over(chain)})
+    parent = F.when(F.col("before").isNull() & (F.col("chain") % 5 == 4), F.col("final")).otherwise(F.col("before"))
+    return rounds.span_depths(rows.select(F.col("event_id").alias("span_id"), parent.alias("parent_span_id")), with_path=False).drop("path")
