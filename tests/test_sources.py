@@ -5,6 +5,7 @@ import zipfile
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
+import duckdb
 import pytest
 
 from tidemill.plans import preview
@@ -168,8 +169,22 @@ def test_jdbc_statements():
             jdbc.check_schema(bad)
     with pytest.raises(ValueError):
         jdbc.Connection("CLICKHOUSE", "h").schema_name()
-    assert jdbc.diagnose("28000", "Access denied for user") == "authentication failed"
-    assert jdbc.diagnose("08001", "x") == "the server can't be reached"
+    told = {("28000", "x"): "authentication failed", ("08001", "x"): "the server can't be reached", ("08001", "timed out"): "the server can't be reached", ("3D000", None): "the schema does not exist", ("42501", "x"): "no access to the schema"}
+    told |= {(None, "Read timed out"): "the server did not answer in time", ("HY000", "Unknown database 'x'"): "the database does not exist", (None, "Database y Not Found"): "the database does not exist", (None, "Access denied for user"): "authentication failed", (None, "odd"): "the connection failed: odd"}
+    for (state, message), meaning in told.items():
+        assert jdbc.diagnose(state, message) == meaning
+
+
+def test_column_metadata_of_a_database_that_knows_both_catalogues():
+    """The statements of two dialects on a database that has information_schema and pg_catalog: comments, positions, no views."""
+    duck = duckdb.connect()
+    duck.sql("CREATE TABLE ports (id INTEGER, name VARCHAR); CREATE VIEW seen AS SELECT * FROM ports; COMMENT ON COLUMN ports.name IS 'as painted'; CREATE SCHEMA other; CREATE TABLE other.t (x INTEGER)")
+    mysql = jdbc.Connection("MYSQL", "h", None, "main")
+    rows = duck.sql(jdbc.metadata_sql(mysql, jdbc.DIALECTS["MYSQL"].columns)).fetchall()
+    assert sorted(rows) == [("ports", "id", "INTEGER", 1, None), ("ports", "name", "VARCHAR", 2, "as painted")]
+    pg = jdbc.Connection("POSTGRESQL", "h", None, "db", schema="main")
+    # Its own ids of types and columns differ, so here only the names that the statement uses and gives are held.
+    assert duck.sql(jdbc.metadata_sql(pg, jdbc.DIALECTS["POSTGRESQL"].columns)).columns == ["table_name", "column_name", "data_type", "ordinal_position", "column_comment"]
 
 
 def test_jdbc_over_derby(spark, tmp_path):
@@ -179,7 +194,11 @@ def test_jdbc_over_derby(spark, tmp_path):
     few = jdbc.preview(spark, c, "T", 3)
     assert few.count() == 3 and "FETCH FIRST 3 ROWS" in few._jdf.queryExecution().toString()
     assert jdbc.test_connection(spark, c) == (True, "")
-    assert jdbc.test_connection(spark, jdbc.Connection("POSTGRESQL", url="jdbc:derby:/none/x"))[0] is False
+    assert jdbc.test_connection(spark, jdbc.Connection("POSTGRESQL", url=f"jdbc:derby:{tmp_path}/none")) == (False, "the database does not exist")
+    with pytest.raises(Exception) as failed:
+        jdbc.preview(spark, c, "NOWHERE", 3)
+    assert jdbc.sql_state(failed.value)[0] == "42X05"
+    assert jdbc.sql_state(ValueError("x")) == (None, "x")
     assert {r["type"] for r in jdbc.supported_types(spark).collect()} == {"MYSQL", "CLICKHOUSE", "POSTGRESQL", "API"}
 
 

@@ -22,16 +22,30 @@ class Dialect:
     mark: str
     url: str
     category: str
-    comments: str | None = None
+    tables: str
+    columns: str
 
 
 #: The kinds of relational sources, with their default ports (fixed values).
 DIALECTS = {
-    "MYSQL": Dialect("MySQL", 3306, "`", "jdbc:mysql://{host}:{port}/{database}?useSSL=false&serverTimezone=UTC", "OLTP", "SELECT table_name, table_comment FROM information_schema.tables WHERE table_schema = '{schema}' AND table_type = 'BASE TABLE'"),
-    "CLICKHOUSE": Dialect("ClickHouse", 8123, "`", "jdbc:clickhouse://{host}:{port}/{database}", "OLAP", "SELECT name AS table_name, comment AS table_comment FROM system.tables WHERE database = '{schema}' AND engine NOT LIKE '%View'"),
+    "MYSQL": Dialect(
+        "MySQL", 3306, "`", "jdbc:mysql://{host}:{port}/{database}?useSSL=false&serverTimezone=UTC", "OLTP",
+        "SELECT table_name, table_comment FROM information_schema.tables WHERE table_schema = '{schema}' AND table_type = 'BASE TABLE'",
+        "SELECT c.table_name, c.column_name, c.data_type, c.ordinal_position, c.column_comment FROM information_schema.columns c "
+        "JOIN information_schema.tables t ON t.table_schema = c.table_schema AND t.table_name = c.table_name WHERE c.table_schema = '{schema}' AND t.table_type = 'BASE TABLE'",
+    ),
+    "CLICKHOUSE": Dialect(
+        "ClickHouse", 8123, "`", "jdbc:clickhouse://{host}:{port}/{database}", "OLAP",
+        "SELECT name AS table_name, comment AS table_comment FROM system.tables WHERE database = '{schema}' AND engine NOT LIKE '%View'",
+        "SELECT c.table AS table_name, c.name AS column_name, c.type AS data_type, c.position AS ordinal_position, c.comment AS column_comment FROM system.columns c "
+        "JOIN system.tables t ON t.database = c.database AND t.name = c.table WHERE c.database = '{schema}' AND t.engine NOT LIKE '%View'",
+    ),
     "POSTGRESQL": Dialect(
         "PostgreSQL", 5432, '"', "jdbc:postgresql://{host}:{port}/{database}?currentSchema={schema}", "OLTP",
         "SELECT c.relname AS table_name, obj_description(c.oid) AS table_comment FROM pg_class c JOIN pg_namespace n ON n.oid = c.relnamespace WHERE n.nspname = '{schema}' AND c.relkind = 'r'",
+        "SELECT c.relname AS table_name, a.attname AS column_name, t.typname AS data_type, a.attnum AS ordinal_position, col_description(c.oid, a.attnum) AS column_comment "
+        "FROM pg_class c JOIN pg_namespace n ON n.oid = c.relnamespace JOIN pg_attribute a ON a.attrelid = c.oid JOIN pg_type t ON t.oid = a.atttypid "
+        "WHERE n.nspname = '{schema}' AND c.relkind = 'r' AND a.attnum > 0 AND NOT a.attisdropped",
     ),
 }
 
@@ -95,15 +109,23 @@ def as_text(df: DataFrame) -> DataFrame:
 
 def tables(spark: SparkSession, c: Connection) -> DataFrame:
     """(table_name, table_comment) of the base tables, no views, of the connection's schema."""
-    sql = DIALECTS[c.kind].comments.format(schema=c.schema_name().replace("'", "''"))
-    return spark.read.format("jdbc").options(**c.options(), query=sql).load()
+    return _metadata(spark, c, DIALECTS[c.kind].tables)
 
 
 def columns(spark: SparkSession, c: Connection) -> DataFrame:
-    """(table_name, column_name, data_type, ordinal_position) of the connection's schema, in one query for all tables."""
-    schema = c.schema_name().replace("'", "''")
-    sql = f"SELECT table_name, column_name, data_type, ordinal_position FROM information_schema.columns WHERE table_schema = '{schema}'"
-    return spark.read.format("jdbc").options(**c.options(), query=sql).load()
+    """(table_name, column_name, data_type, ordinal_position, column_comment) of the base tables of the connection's schema, in one
+    query for all of them; an empty comment is none.
+    """
+    df = _metadata(spark, c, DIALECTS[c.kind].columns)
+    return df.withColumn("column_comment", F.nullif("column_comment", F.lit("")))
+
+
+def metadata_sql(c: Connection, sql: str) -> str:
+    return sql.format(schema=c.schema_name().replace("'", "''"))
+
+
+def _metadata(spark: SparkSession, c: Connection, sql: str) -> DataFrame:
+    return spark.read.format("jdbc").options(**c.options(), query=metadata_sql(c, sql)).load()
 
 
 def spark_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
@@ -117,28 +139,48 @@ def spark_columns(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame(found, "column_name string, data_type string, column_comment string")
 
 
-#: (start of the SQL state, or part of the message in lower case, what it means)
-_DIAGNOSES = (
-    ("28", "access denied", "authentication failed"),
-    ("28", "password authentication", "authentication failed"),
-    ("3D", "unknown database", "the database does not exist"),
-    ("3D", "does not exist", "the database does not exist"),
-    ("08", "connection refused", "the server can't be reached"),
-    ("08", "communications link", "the server can't be reached"),
-    ("08", "unknown host", "the host name is unknown"),
-    ("HYT", "timed out", "the server did not answer in time"),
+#: What the start of a SQL state means (fixed values).
+_STATES = {"08": "the server can't be reached", "28000": "authentication failed", "28P01": "authentication failed", "3D000": "the schema does not exist", "42501": "no access to the schema"}
+#: What a message means that holds all of some words.
+_MESSAGES = (
+    (("timeout",), "the server did not answer in time"),
+    (("timed out",), "the server did not answer in time"),
+    (("unknown database",), "the database does not exist"),
+    (("database", "not found"), "the database does not exist"),
+    (("schema", "does not exist"), "the schema does not exist"),
+    (("access denied",), "authentication failed"),
+    (("authentication failed",), "authentication failed"),
+    (("connection refused",), "the server can't be reached"),
+    (("network is unreachable",), "the server can't be reached"),
+    (("unknown host",), "the host name is unknown"),
 )
 
 
 def diagnose(state: str | None, message: str | None) -> str:
+    """What went wrong, by the SQL state first and then by the message."""
     text = (message or "").lower()
-    for start, part, meaning in _DIAGNOSES:
-        if part in text:
-            return meaning
-    for start, part, meaning in _DIAGNOSES:
-        if state and state.startswith(start):
-            return meaning
-    return message or "the connection failed"
+    by_state = next((meaning for start, meaning in _STATES.items() if state and state.startswith(start)), None)
+    by_text = next((meaning for words, meaning in _MESSAGES if all(w in text for w in words)), None)
+    return by_state or by_text or f"the connection failed: {message}"
+
+
+def sql_state(error: BaseException) -> tuple[str | None, str]:
+    """(SQL state, message) of the first error of a database in an error of Spark and its causes; no state where there is none."""
+    cause = getattr(error, "java_exception", None) or getattr(error, "_origin", None)
+    while cause is not None:
+        if hasattr(cause, "getClass") and _is_sql_error(cause):
+            return cause.getSQLState(), cause.getMessage()
+        cause = cause.getCause()
+    return None, str(error)
+
+
+def _is_sql_error(cause) -> bool:
+    kind = cause.getClass()
+    while kind is not None:
+        if kind.getName() == "java.sql.SQLException":
+            return True
+        kind = kind.getSuperclass()
+    return False
 
 
 def test_connection(spark: SparkSession, c: Connection) -> tuple[bool, str]:
@@ -147,7 +189,7 @@ def test_connection(spark: SparkSession, c: Connection) -> tuple[bool, str]:
         spark.read.format("jdbc").options(**c.options() | {"queryTimeout": str(VALIDATE_SECONDS)}, query=c.probe).load().collect()
         return True, ""
     except Exception as e:  # noqa: BLE001  any failure is the answer
-        return False, diagnose(None, str(e))
+        return False, diagnose(*sql_state(e))
 
 
 def supported_types(spark: SparkSession) -> DataFrame:
