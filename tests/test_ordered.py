@@ -77,3 +77,18 @@ def test_versions_count_each_life(spark):
     rows, told = ordered.published_versions(agents, commands, "agent", "at")
     assert [r["version_number"] for r in told.orderBy("at").collect()] == [8, None, None, 1, 2, None, 1, 2, None, None]
     assert {r["agent"]: r["status"] for r in rows.collect()} == {"a": "LIVE", "b": "ARCHIVED", "c": "ARCHIVED"}
+
+
+@pytest.mark.parametrize("keep", [1, 5, 40])
+def test_both_ends_of_long_texts(spark, keep):
+    rng = random.Random(keep)
+    pieces = [(k, at, rng.choice(["", None, "é", "ab", "x" * 7, "数据数据"])) for k in ("hot", "b", "c") for at in range(400 if k == "hot" else 6)] + [("none", 1, None)]
+    rng.shuffle(pieces)
+    df = spark.createDataFrame(pieces, "k string, at int, text string").repartition(5)
+    got = {r["k"]: tuple(r)[1:] for r in ordered.head_and_tail(df, ["k"], "text", ["at"], keep).collect()}
+    for key in ("hot", "b", "c"):
+        said = [t for k, _, t in sorted(pieces, key=lambda p: p[1]) if k == key and t]
+        whole, begins = "".join(said), [sum(map(len, said[:n])) for n in range(len(said))]
+        if whole:
+            assert got.pop(key) == (len(whole), sum(b < keep for b in begins), whole[:keep], whole[max(keep, len(whole) - keep) :])
+    assert not got

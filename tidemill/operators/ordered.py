@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions.text import KEPT_LENGTH
 from tidemill.streaming.files import new_folder
 
 PART = "_part"
@@ -53,6 +54,32 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
     return out
 
 
+def head_and_tail(pieces: DataFrame, keys: Sequence[str], text: str, order: Sequence[str], keep: int = KEPT_LENGTH) -> DataFrame:
+    """(keys, total, heads, head, tail) of each key's text, the pieces in order: its first `keep` characters, and of the rest the last
+    `keep`; heads is the number of pieces that the head has characters of. Null and empty pieces add nothing.
+
+    Each piece learns where it begins in its key's text by the lengths of the ranges before its own; of the pieces only those that reach
+    into the head or the tail are gathered, 2 * keep characters a key at most, however long its text is. Keys aren't null.
+    """
+    sized = in_ranges(pieces.filter(F.length(text) > 0).withColumn("_length", F.length(text).cast("long")), keys, order)
+    w = Window.partitionBy(*keys, PART)
+    sums = sized.groupBy(*keys, PART).agg(F.sum("_length").alias("n"))
+    totals = sums.groupBy(*keys).agg(F.sum("n").alias("total"))
+    placed = sized.withColumn("_begin", F.sum("_length").over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_length"))
+    placed = placed.join(before_parts(sums, keys, "n"), [*keys, PART]).withColumn("_begin", F.col("_begin") + F.col("before")).join(totals, list(keys))
+    rest = F.expr(rest_sql(keep))
+    head = F.left(F.col(text), (F.lit(keep) - F.col("_begin")).cast("int"))
+    tail = F.expr(f"substr({text}, cast(greatest({rest_sql(keep)} - _begin, 0) AS int) + 1)")
+    cut = placed.select(*keys, "total", "_begin", F.when(F.col("_begin") < keep, head).alias("_head"), F.when(F.col("_begin") + F.col("_length") > rest, tail).alias("_tail")).filter("_head IS NOT NULL OR _tail IS NOT NULL")
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("_begin", c)))), lambda p: p[c]), "")
+    return cut.groupBy(*keys, "total").agg(F.count("_head").alias("heads"), joined("_head").alias("head"), joined("_tail").alias("tail"))
+
+
+def rest_sql(keep: int) -> str:
+    """Where the tail of a text begins: after the head, or `keep` characters before the end."""
+    return f"greatest(total - {keep}, {keep})"
+
+
 @dataclass(frozen=True)
 class Machine:
     """What commands do to a row: its states, the first of which is that of a row that isn't there, and for each (state, command)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.operators import ordered
+from tidemill.operators import ordered, sync
 from tidemill.plans import rounds
 from tidemill.registry import query
 
@@ -101,3 +101,62 @@ def deep_chains(t, spark) -> DataFrame:
     rows = t("events").select("event_id", (F.col("user_id") % 25).alias("chain")).withColumns({"before": F.lag("event_id").over(chain.orderBy("event_id")), "final": F.max("event_id").over(chain)})
     parent = F.when(F.col("before").isNull() & (F.col("chain") % 5 == 4), F.col("final")).otherwise(F.col("before"))
     return rounds.span_depths(rows.select(F.col("event_id").alias("span_id"), parent.alias("parent_span_id")), with_path=False).drop("path")
+
+
+@query("""WITH w AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS s FROM conversations GROUP BY 1)
+SELECT conv_id, length(s) AS total, left(s, 400) AS head, CASE WHEN length(s) > 400 THEN right(s, least(length(s) - 400, 400)::BIGINT) ELSE '' END AS tail FROM w WHERE s <> ''""")
+def result_ends(t, spark) -> DataFrame:
+    """Both ends of each conversation as one text."""
+    return ordered.head_and_tail(t("conversations"), ["conv_id"], "text", ["turn"], 400).drop("heads")
+
+
+@query("""WITH w AS (SELECT string_agg(text, '' ORDER BY doc_id) AS s, lang FROM documents GROUP BY lang)
+SELECT lang, length(s) AS total, sha256(left(s, 16384)) AS head, sha256(CASE WHEN length(s) > 16384 THEN right(s, least(length(s) - 16384, 16384)::BIGINT) ELSE '' END) AS tail FROM w""")
+def language_ends(t, spark) -> DataFrame:
+    """Both ends of four texts, of all documents of a language each: a key has up to a half of all characters."""
+    made = ordered.head_and_tail(t("documents").select("lang", "doc_id", "text"), ["lang"], "text", ["doc_id"])
+    return made.select("lang", "total", F.sha2("head", 256).alias("head"), F.sha2("tail", 256).alias("tail"))
+
+
+def _trees(t) -> tuple[DataFrame, DataFrame]:
+    """Nations as schemas, customers as their tables, orders as the tables' columns, as two catalogues that differ on each level."""
+    key = F.col("c_custkey")
+    tables = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("schema_name"), key.cast("string").alias("table_name"), F.col("c_mktsegment").alias("comment"), key, "n_nationkey")
+    columns = t("orders").join(tables, F.col("o_custkey") == F.col("c_custkey")).select("schema_name", "table_name", F.col("o_orderkey").cast("string").alias("column_name"), F.col("o_orderstatus").alias("data_type"), "o_orderkey", "c_custkey", "n_nationkey")
+    schemas = t("nation").select(F.col("n_name").alias("schema_name"), "n_nationkey")
+    far, near = F.col("n_nationkey") % 6 != 5, F.col("n_nationkey") % 4 != 3
+    far_table, near_table = far & (key % 7 != 0), near & (key % 3 != 0)
+    told = F.when(key % 5 == 0, "new").when(key % 5 == 1, F.lit(None)).otherwise(F.col("comment"))
+    retyped = F.when(F.col("o_orderkey") % 13 == 0, "changed").otherwise(F.col("data_type"))
+    remote = sync.tree(schemas.filter(far), tables.filter(far_table).withColumn("comment", told), columns.filter(far_table & (F.col("o_orderkey") % 11 != 0)).withColumn("data_type", retyped))
+    local = sync.tree(schemas.filter(near), tables.filter(near_table), columns.filter(near_table & (F.col("o_orderkey") % 4 != 1)))
+    return remote, local
+
+
+_TREES_SQL = """WITH s AS (SELECT n_name AS sn, n_nationkey % 6 <> 5 AS r, n_nationkey % 4 <> 3 AS l FROM nation),
+t AS (SELECT sn, c_custkey AS k, c_custkey::VARCHAR AS tn, r AND c_custkey % 7 <> 0 AS r, l AND c_custkey % 3 <> 0 AS l, CASE c_custkey % 5 WHEN 0 THEN 'new' WHEN 1 THEN NULL ELSE c_mktsegment END AS rc, c_mktsegment AS lc, r AS sr FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN s ON sn = n_name),
+c AS (SELECT sn, tn, o_orderkey::VARCHAR AS cn, r AND o_orderkey % 11 <> 0 AS r, l AND o_orderkey % 4 <> 1 AS l, CASE WHEN o_orderkey % 13 = 0 THEN 'changed' ELSE o_orderstatus END AS rt, o_orderstatus AS lt, sr, r AS tr, l AS tl FROM orders JOIN t ON o_custkey = k),
+a AS (SELECT sn AS schema_name, NULL::VARCHAR AS table_name, NULL::VARCHAR AS column_name, 'schema' AS level, CASE WHEN r AND NOT l THEN 'insert' ELSE 'keep' END AS action, NULL::VARCHAR AS comment, NULL::VARCHAR AS data_type, l FROM s WHERE r OR l
+UNION ALL SELECT sn, tn, NULL, 'table', CASE WHEN NOT sr THEN 'keep' WHEN r AND NOT l THEN 'insert' WHEN l AND NOT r THEN 'remove' WHEN rc IS NOT NULL AND rc <> lc THEN 'update' ELSE 'keep' END,
+  CASE WHEN sr AND r AND (NOT l OR rc IS NOT NULL) THEN rc ELSE lc END, NULL, l FROM t WHERE r OR l
+UNION ALL SELECT sn, tn, cn, 'column', CASE WHEN NOT sr THEN 'keep' WHEN r AND NOT l THEN 'insert' WHEN l AND NOT r AND tl AND NOT tr THEN 'remove' WHEN l AND NOT r THEN 'column_removed' WHEN rt <> lt THEN 'column_retyped' ELSE 'keep' END,
+  NULL, CASE WHEN sr AND r THEN rt ELSE lt END, l FROM c WHERE r OR l)
+"""
+
+
+@query(f"{_TREES_SQL} SELECT schema_name, table_name, column_name, level, action FROM a WHERE action <> 'keep'")
+def catalogue_changes(t, spark) -> DataFrame:
+    made = sync.changes(*_trees(t), detect_columns=True)
+    return made.filter("action <> 'keep'").select("schema_name", "table_name", "column_name", "level", "action")
+
+
+@query(f"{_TREES_SQL} SELECT level, action, count(*) AS n FROM a WHERE action NOT IN ('keep', 'column_removed', 'column_retyped') GROUP BY ALL")
+def catalogue_counters(t, spark) -> DataFrame:
+    return sync.level_counters(sync.changes(*_trees(t)))
+
+
+@query(f"""{_TREES_SQL} SELECT schema_name, table_name, column_name, comment, data_type, CASE WHEN l THEN 'mine' END AS custom_comment, CASE WHEN action IN ('remove', 'column_removed') THEN 1 ELSE 0 END AS is_deleted FROM a""")
+def catalogue_applied(t, spark) -> DataFrame:
+    remote, local = _trees(t)
+    held = local.withColumns({"custom_comment": F.lit("mine"), "is_deleted": F.lit(0)})
+    return sync.applied(held, sync.changes(remote, local, detect_columns=True))
