@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.plans import envelope
 from tidemill.plans import rounds as batch_rounds
 from tidemill.registry import _SIGNAL_SQL, ORACLES, _signals, query
 from tidemill.registry_commands import _tool_signals
@@ -84,3 +85,22 @@ def upserted_orders(t, spark) -> DataFrame:
     log.compact(spark)
     log.write(orders.filter("o_orderkey % 5 = 0"), 1)
     return log.current(spark)
+
+
+@query(f"""WITH s AS (SELECT user_id::VARCHAR AS session_id, event_id AS seq, {_SIGNAL_SQL} AS type, props FROM events),
+e AS (SELECT session_id, min(seq) FILTER (type IN ('AGENT_END', 'ERROR')) AS ended, arg_min(type, seq) FILTER (type IN ('AGENT_END', 'ERROR')) AS t, arg_min(props, seq) FILTER (type IN ('AGENT_END', 'ERROR')) AS message FROM s GROUP BY 1)
+SELECT session_id, coalesce(string_agg(props, '' ORDER BY seq) FILTER (type = 'TEXT_DELTA' AND (ended IS NULL OR seq <= ended)), '') AS text, any_value(CASE WHEN t = 'ERROR' THEN message END) AS error, any_value(CASE WHEN t IS NOT NULL THEN 'IDLE' END) AS status
+FROM s JOIN e USING (session_id) GROUP BY 1""")
+def client_rounds(t, spark) -> DataFrame:
+    """What a client shows of each round: its text, its error and the session's status, from the events' payloads."""
+    shown = envelope.messages(batch_rounds.events(_signals(t)))
+    return shown.select("session_id", "text", F.try_element_at("errors", F.lit(1)).alias("error"), "status")
+
+
+@query("""WITH c AS (SELECT conv_id, turn, text, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM conversations)
+SELECT conv_id::VARCHAR AS session_id, 2 AS calls, (count(*) FILTER (left(text, greatest(400 - before, 0)) <> '') + 1)::INTEGER AS results, 'search' AS name, 'IDLE' AS status FROM c GROUP BY conv_id""")
+def client_tools(t, spark) -> DataFrame:
+    """The tool calls and results of each round as a client lists them, in the order of their events."""
+    shown = envelope.messages(batch_rounds.events(_tool_signals(t), 400))
+    kind = lambda name: F.size(F.filter("tools", lambda x: x["kind"] == name))
+    return shown.select("session_id", kind("tool_call").alias("calls"), kind("tool_call_output").alias("results"), F.array_join(F.array_distinct(F.transform("tools", lambda x: x["name"])), ",").alias("name"), "status")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
+from operator import attrgetter
 from typing import Any
 
 import pandas as pd
@@ -20,6 +22,8 @@ FOLDED = (
 )
 _COLUMNS = [c.split()[0] for c in FOLDED.split(", ")]
 _ENDS = {"AGENT_END": "DONE", "INTERRUPT": "INTERRUPTED", "DISCONNECT": "INTERRUPTED", "ERROR": "ERROR"}
+_FIELDS = ["round_id", "seq", "type", "text", "block_id", "tool_call_id", "tool_name", "tool_state", "result_text", "input_tokens", "output_tokens", "model_name", "micros"]
+_Signal = namedtuple("_Signal", _FIELDS)
 _SAID = ("TEXT_DELTA", "TEXT_END", "THINKING_DELTA", "THINKING_END")
 
 
@@ -29,10 +33,13 @@ class _Kept:
     def __init__(self, state, empty: tuple) -> None:
         self.state, self.empty = state, empty
         self.now: dict[str, list | None] = {}
+        self.held: set[str] = set()
 
     def get(self, key: str) -> list:
         if self.now.get(key) is None:
-            held = self.state.getValue((key,)) if key not in self.now and self.state.containsKey((key,)) else None
+            held = self.state.getValue((key,)) if key not in self.now else None
+            if held is not None:
+                self.held.add(key)
             self.now[key] = list(self.empty if held is None else held)
         return self.now[key]
 
@@ -43,7 +50,7 @@ class _Kept:
         for key, value in self.now.items():
             if value is not None:
                 self.state.updateValue((key,), tuple(value))
-            elif self.state.containsKey((key,)):
+            elif key in self.held:
                 self.state.removeKey((key,))
 
 
@@ -100,24 +107,31 @@ class RoundFold(StatefulProcessor):
         self.texts = handle.getMapState("texts", "piece string", "text string", self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        got = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
+        # There are many small keys, so nothing is done by pandas that lists do.
+        signals = [_Signal(*values) for df in rows for values in zip(*(df[c].tolist() for c in _FIELDS))]
         fold = _Fold(self, key[0], timerValues.getCurrentProcessingTimeInMs())
-        for r in got.astype(object).where(got.notna(), None).itertuples(index=False):
+        for r in sorted(signals, key=attrgetter("seq")):
             fold.signal(r)
         fold.write()
-        yield pd.DataFrame(fold.out, columns=_COLUMNS)
+        if fold.out:
+            yield pd.DataFrame(fold.out, columns=_COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentProcessingTimeInMs()
         gone = [k for k, v in self.rounds.iterator() if v[_ENDED] is not None and v[_ENDED] + self.kept_ms <= now]
         for k in gone:
             self.rounds.removeKey(k)
-        yield pd.DataFrame([], columns=_COLUMNS)
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
+def _whole(x: float | None) -> int | None:
+    """A number that pandas may hold as a float, null as NaN."""
+    return None if x is None or x != x else int(x)
+
+
 class _Fold:
     """One batch of a session's signals."""
 
@@ -126,7 +140,8 @@ class _Fold:
         self.rounds = _Kept(of.rounds, (False, None, None, None, 0, None, []))
         self.calls = _Kept(of.calls, (0, 0, 0, "", None, None, False))
         self.texts = _Texts(of.texts)
-        self.number = of.counter.get()[0] if of.counter.exists() else 0
+        number = of.counter.get()
+        self.number = self.first = number[0] if number else 0
         self.out: list[tuple] = []
 
     def put(self, round_id: str, record: str, kind: str, **more: Any) -> None:
@@ -157,7 +172,7 @@ class _Fold:
         elif kind == "MODEL_CALL_START":
             of[_MODEL] = r.micros
         elif kind == "MODEL_CALL_END" and of[_MODEL] is not None:
-            self.put(round_id, "span", "llm.call", start_micros=of[_MODEL], end_micros=r.micros, state="OK", input_tokens=r.input_tokens, output_tokens=r.output_tokens, model_name=r.model_name)
+            self.put(round_id, "span", "llm.call", start_micros=of[_MODEL], end_micros=r.micros, state="OK", input_tokens=_whole(r.input_tokens), output_tokens=_whole(r.output_tokens), model_name=r.model_name)
             of[_MODEL] = None
         elif kind in _ENDS:
             self.end(of, r)
@@ -225,12 +240,13 @@ class _Fold:
                 c[_ARGS], c[_HEAD] = self.texts.write(f"{call}/args", c[_ARGS]), self.texts.write(f"{call}/head", c[_HEAD])
         self.rounds.write()
         self.calls.write()
-        self.of.counter.update((self.number,))
+        if self.number != self.first:
+            self.of.counter.update((self.number,))
 
 
 def fold(signals: DataFrame, keep: int = KEPT_LENGTH, kept_ms: int = 600_000, idle_ms: int = 7 * 86_400_000) -> DataFrame:
     """Events, spans and finished rounds (FOLDED) of a stream of signals. Needs the RocksDB state store (see configure())."""
-    timed = signals.withColumn("micros", F.unix_micros("ts")).drop("ts")
+    timed = signals.withColumn("micros", F.unix_micros("ts")).select("session_id", *_FIELDS)
     return timed.groupBy("session_id").transformWithStateInPandas(statefulProcessor=RoundFold(keep, kept_ms, idle_ms), outputStructType=FOLDED, outputMode="Append", timeMode="ProcessingTime")
 
 
