@@ -34,11 +34,12 @@ def _said(t, commands: dict[str, str]) -> DataFrame:
 
 
 _DATASOURCE = {"view": "sync", "click": "disable", "purchase": "enable", "error": "delete", "signup": "create"}
-_DATASOURCE_SQL = _one_by_one(ordered.DATASOURCE, _DATASOURCE, "SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 1 THEN 'ENABLED' ELSE 'DISABLED' END AS status FROM customer WHERE c_custkey % 3 > 0")
+_DATASOURCE_SQL = _one_by_one(ordered.DATASOURCE, _DATASOURCE, "SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'ABSENT' WHEN 1 THEN 'ENABLED' ELSE 'DISABLED' END AS status FROM customer")
 
 
 def _datasources(t) -> tuple[DataFrame, DataFrame]:
-    snapshot = t("customer").filter("c_custkey % 3 > 0").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 3 == 1, "ENABLED").otherwise("DISABLED").alias("status"))
+    kind = F.col("c_custkey") % 3
+    snapshot = t("customer").select(F.col("c_custkey").alias("k"), F.when(kind == 0, "ABSENT").when(kind == 1, "ENABLED").otherwise("DISABLED").alias("status"))
     return ordered.fold_commands(snapshot, _said(t, _DATASOURCE), ordered.DATASOURCE, "k", "event_id")
 
 
@@ -66,13 +67,13 @@ _AGENT = {"view": "publish", "click": "publish", "purchase": "archive", "error":
 
 
 @query(
-    _one_by_one(ordered.AGENT, _AGENT, "SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN 'ARCHIVED' ELSE 'LIVE' END AS status FROM customer WHERE c_custkey % 2 = 0")
+    _one_by_one(ordered.AGENT, _AGENT, "SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 1 THEN 'ABSENT' WHEN c_custkey % 7 = 0 THEN 'ARCHIVED' ELSE 'LIVE' END AS status FROM customer")
     + """, lives AS (SELECT *, count(*) FILTER (outcome IS NULL AND command = 'create') OVER (PARTITION BY k ORDER BY n) AS life FROM run WHERE n > 0)
-SELECT k, event_id, outcome, CASE WHEN outcome IS NULL AND command IN ('create', 'publish') THEN count(*) FILTER (outcome IS NULL AND command IN ('create', 'publish')) OVER (PARTITION BY k, life ORDER BY n) + CASE WHEN life = 0 THEN k % 4 ELSE 0 END END AS version_number FROM lives"""
+SELECT k, event_id, outcome, CASE WHEN outcome IS NULL AND command IN ('create', 'publish') THEN count(*) FILTER (outcome IS NULL AND command IN ('create', 'publish')) OVER (PARTITION BY k, life ORDER BY n) + CASE WHEN life = 0 AND k % 2 = 0 THEN k % 4 ELSE 0 END END AS version_number FROM lives"""
 )
 def agent_version_table(t, spark) -> DataFrame:
     key = F.col("c_custkey")
-    snapshot = t("customer").filter(key % 2 == 0).select(key.alias("k"), F.when(key % 7 == 0, "ARCHIVED").otherwise("LIVE").alias("status"), (key % 4).alias("latest_version"))
+    snapshot = t("customer").select(key.alias("k"), F.when(key % 2 == 1, "ABSENT").when(key % 7 == 0, "ARCHIVED").otherwise("LIVE").alias("status"), F.when(key % 2 == 0, key % 4).alias("latest_version"))
     return ordered.published_versions(snapshot, _said(t, _AGENT), "k", "event_id")[1].select("k", "event_id", "outcome", "version_number")
 
 
@@ -119,28 +120,40 @@ def language_ends(t, spark) -> DataFrame:
 
 
 def _trees(t) -> tuple[DataFrame, DataFrame]:
-    """Nations as schemas, customers as their tables, orders as the tables' columns, as two catalogues that differ on each level."""
-    key = F.col("c_custkey")
-    tables = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("schema_name"), key.cast("string").alias("table_name"), F.col("c_mktsegment").alias("comment"), key, "n_nationkey")
-    columns = t("orders").join(tables, F.col("o_custkey") == F.col("c_custkey")).select("schema_name", "table_name", F.col("o_orderkey").cast("string").alias("column_name"), F.col("o_orderstatus").alias("data_type"), "o_orderkey", "c_custkey", "n_nationkey")
-    schemas = t("nation").select(F.col("n_name").alias("schema_name"), "n_nationkey")
-    far, near = F.col("n_nationkey") % 6 != 5, F.col("n_nationkey") % 4 != 3
-    far_table, near_table = far & (key % 7 != 0), near & (key % 3 != 0)
-    told = F.when(key % 5 == 0, "new").when(key % 5 == 1, F.lit(None)).otherwise(F.col("comment"))
-    retyped = F.when(F.col("o_orderkey") % 13 == 0, "changed").otherwise(F.col("data_type"))
-    remote = sync.tree(schemas.filter(far), tables.filter(far_table).withColumn("comment", told), columns.filter(far_table & (F.col("o_orderkey") % 11 != 0)).withColumn("data_type", retyped))
-    local = sync.tree(schemas.filter(near), tables.filter(near_table), columns.filter(near_table & (F.col("o_orderkey") % 4 != 1)))
+    """Nations as schemas, customers as their tables, orders as the tables' columns. The remote catalogue has other names for some on each
+    level, other types for some columns, and other comments or none for some tables.
+    """
+    renamed = lambda name, when: F.when(when, F.concat(F.lit("new "), name.cast("string"))).otherwise(name.cast("string"))
+    key, order = F.col("c_custkey"), F.col("o_orderkey")
+    nations = t("nation").select("n_nationkey", "n_name", renamed(F.col("n_name"), F.col("n_nationkey") % 6 == 5).alias("far"))
+    tables = t("customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_mktsegment", "n_name", "far", renamed(key, key % 7 == 0).alias("far_table"))
+    columns = t("orders").join(tables, F.col("o_custkey") == key)
+    told = F.when(key % 5 == 0, "new").when(key % 5 == 1, F.lit(None)).otherwise(F.col("c_mktsegment"))
+    retyped = F.when(order % 13 == 0, "changed").otherwise(F.col("o_orderstatus"))
+    remote = sync.tree(
+        nations.select(F.col("far").alias("schema_name")),
+        tables.select(F.col("far").alias("schema_name"), F.col("far_table").alias("table_name"), told.alias("comment")),
+        columns.select(F.col("far").alias("schema_name"), F.col("far_table").alias("table_name"), renamed(order, order % 11 == 0).alias("column_name"), retyped.alias("data_type")),
+    )
+    local = sync.tree(
+        nations.select(F.col("n_name").alias("schema_name")),
+        tables.select(F.col("n_name").alias("schema_name"), key.cast("string").alias("table_name"), F.col("c_mktsegment").alias("comment")),
+        columns.select(F.col("n_name").alias("schema_name"), key.cast("string").alias("table_name"), order.cast("string").alias("column_name"), F.col("o_orderstatus").alias("data_type")),
+    )
     return remote, local
 
 
-_TREES_SQL = """WITH s AS (SELECT n_name AS sn, n_nationkey % 6 <> 5 AS r, n_nationkey % 4 <> 3 AS l FROM nation),
-t AS (SELECT sn, c_custkey AS k, c_custkey::VARCHAR AS tn, r AND c_custkey % 7 <> 0 AS r, l AND c_custkey % 3 <> 0 AS l, CASE c_custkey % 5 WHEN 0 THEN 'new' WHEN 1 THEN NULL ELSE c_mktsegment END AS rc, c_mktsegment AS lc, r AS sr FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN s ON sn = n_name),
-c AS (SELECT sn, tn, o_orderkey::VARCHAR AS cn, r AND o_orderkey % 11 <> 0 AS r, l AND o_orderkey % 4 <> 1 AS l, CASE WHEN o_orderkey % 13 = 0 THEN 'changed' ELSE o_orderstatus END AS rt, o_orderstatus AS lt, sr, r AS tr, l AS tl FROM orders JOIN t ON o_custkey = k),
-a AS (SELECT sn AS schema_name, NULL::VARCHAR AS table_name, NULL::VARCHAR AS column_name, 'schema' AS level, CASE WHEN r AND NOT l THEN 'insert' ELSE 'keep' END AS action, NULL::VARCHAR AS comment, NULL::VARCHAR AS data_type, l FROM s WHERE r OR l
-UNION ALL SELECT sn, tn, NULL, 'table', CASE WHEN NOT sr THEN 'keep' WHEN r AND NOT l THEN 'insert' WHEN l AND NOT r THEN 'remove' WHEN rc IS NOT NULL AND rc <> lc THEN 'update' ELSE 'keep' END,
-  CASE WHEN sr AND r AND (NOT l OR rc IS NOT NULL) THEN rc ELSE lc END, NULL, l FROM t WHERE r OR l
-UNION ALL SELECT sn, tn, cn, 'column', CASE WHEN NOT sr THEN 'keep' WHEN r AND NOT l THEN 'insert' WHEN l AND NOT r AND tl AND NOT tr THEN 'remove' WHEN l AND NOT r THEN 'column_removed' WHEN rt <> lt THEN 'column_retyped' ELSE 'keep' END,
-  NULL, CASE WHEN sr AND r THEN rt ELSE lt END, l FROM c WHERE r OR l)
+_TREES_SQL = """WITH n AS (SELECT n_nationkey, n_name AS ls, CASE WHEN n_nationkey % 6 = 5 THEN 'new ' ELSE '' END || n_name AS rs FROM nation),
+c AS (SELECT c_custkey, ls, rs, c_custkey::VARCHAR AS lt, CASE WHEN c_custkey % 7 = 0 THEN 'new ' ELSE '' END || c_custkey AS rt, c_mktsegment AS lc, CASE c_custkey % 5 WHEN 0 THEN 'new' WHEN 1 THEN NULL ELSE c_mktsegment END AS rc FROM customer JOIN n ON c_nationkey = n_nationkey),
+o AS (SELECT ls, rs, lt, rt, o_orderkey::VARCHAR AS lo, CASE WHEN o_orderkey % 11 = 0 THEN 'new ' ELSE '' END || o_orderkey AS ro, o_orderstatus AS ld, CASE WHEN o_orderkey % 13 = 0 THEN 'changed' ELSE o_orderstatus END AS rd FROM orders JOIN c ON o_custkey = c_custkey),
+far AS (SELECT rs AS s, '' AS t, '' AS c, NULL::VARCHAR AS comment, NULL::VARCHAR AS kind FROM n UNION ALL SELECT rs, rt, '', rc, NULL FROM c UNION ALL SELECT rs, rt, ro, NULL, rd FROM o),
+near AS (SELECT ls AS s, '' AS t, '' AS c, NULL::VARCHAR AS comment, NULL::VARCHAR AS kind FROM n UNION ALL SELECT ls, lt, '', lc, NULL FROM c UNION ALL SELECT ls, lt, lo, NULL, ld FROM o),
+j AS (SELECT coalesce(far.s, near.s) AS s, coalesce(far.t, near.t) AS t, coalesce(far.c, near.c) AS c, far.s IS NOT NULL AS r, near.s IS NOT NULL AS l, far.comment AS rc, near.comment AS lc, far.kind AS rd, near.kind AS ld
+  FROM far FULL JOIN near ON far.s = near.s AND far.t = near.t AND far.c = near.c),
+f AS (SELECT j.*, CASE WHEN t = '' THEN 'schema' WHEN c = '' THEN 'table' ELSE 'column' END AS level, s IN (SELECT rs FROM n) AS alive, (s, t) IN (SELECT rs, rt FROM c) AS table_alive FROM j),
+g AS (SELECT *, CASE WHEN NOT alive THEN 'keep' WHEN NOT l THEN 'insert' WHEN NOT r AND (level = 'table' OR NOT table_alive) THEN 'remove' WHEN NOT r THEN 'column_removed'
+  WHEN level = 'table' AND rc <> lc THEN 'update' WHEN level = 'column' AND rd <> ld THEN 'column_retyped' ELSE 'keep' END AS action FROM f),
+a AS (SELECT s AS schema_name, nullif(t, '') AS table_name, nullif(c, '') AS column_name, level, action, CASE WHEN action IN ('insert', 'update') THEN rc ELSE lc END AS comment, CASE WHEN action IN ('insert', 'column_retyped') THEN rd ELSE ld END AS data_type, l FROM g)
 """
 
 
