@@ -211,16 +211,14 @@ def _object(v: Column) -> Column:
 
 
 def _children_column(v: Column) -> Column:
-    nothing = F.array().cast("array<variant>")
-    kind = F.schema_of_variant(v)
-    return F.when(kind.startswith("ARRAY"), _array(v)).when(kind.startswith("OBJECT"), F.map_values(_object(v))).otherwise(nothing)
+    return F.coalesce(_array(v), F.map_values(_object(v)), F.array().cast("array<variant>"))
 
 
 def _member(v: Column, part: str | int) -> Column:
     """A member of an object or an element of an array; null where it isn't there."""
     if isinstance(part, str):
-        return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.try_element_at(_object(v), F.lit(part)))
-    return F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_element_at(_array(v), F.lit(part + 1 if part >= 0 else part)))
+        return F.try_variant_get(v, f"$['{part}']", "variant") if re.fullmatch(r"[\w \-]+", part) else F.try_element_at(_object(v), F.lit(part))
+    return F.try_variant_get(v, f"$[{part}]", "variant") if part >= 0 else F.try_element_at(_array(v), F.lit(part))
 
 
 def _found(values: Column) -> Column:
@@ -231,7 +229,7 @@ def _sliced(v: Column, low: int | None, high: int | None) -> Column:
     a, n = _array(v), F.size(_array(v))
     at = lambda k: F.least(F.lit(k), n) if k >= 0 else F.greatest(n + k, F.lit(0))
     begin, end = at(low or 0), n if high is None else at(high)
-    return F.when(F.schema_of_variant(v).startswith("ARRAY"), F.slice(a, begin + 1, F.greatest(end - begin, F.lit(0)))).otherwise(F.array().cast("array<variant>"))
+    return F.coalesce(F.slice(a, begin + 1, F.greatest(end - begin, F.lit(0))), F.array().cast("array<variant>"))
 
 
 def _follow_column(values: Column, step: Step, depth: int) -> Column:
@@ -274,14 +272,15 @@ def _holds_column(value: Column, condition: tuple) -> Column:
         alike, read = held == "STRING", F.try_variant_get(left, "$", "string")
     else:
         alike, read = held.rlike(_NUMBERS), F.try_variant_get(left, "$", "double")
-    equal = alike if read is None else alike & (read == F.lit(right))
+    # Reading a value is cheap, telling its type isn't, so the type is looked at where the value fits.
+    equal = alike if read is None else (read == F.lit(right)) & alike
     if sign in ("==", "!="):
         made = equal if sign == "==" else ~F.coalesce(equal, F.lit(False))
     elif read is None or isinstance(right, bool):
         made = F.lit(False)
     else:
         limit = F.lit(right if isinstance(right, str) else float(right))
-        made = alike & {"<": read < limit, "<=": read <= limit, ">": read > limit, ">=": read >= limit}[sign]
+        made = {"<": read < limit, "<=": read <= limit, ">": read > limit, ">=": read >= limit}[sign] & alike
     return left.isNotNull() & F.coalesce(made, F.lit(False))
 
 
