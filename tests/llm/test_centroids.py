@@ -69,3 +69,16 @@ def test_the_tree_visits_few_centroids_of_many():
     tree._visit = lambda x, rows, c, who, best: (seen.append(len(rows)), visit(x, rows, c, who, best))[1]
     tree.nearest(rng.integers(0, 100_000, (200, 2)))
     assert sum(seen) < 200 * 4096 / 20
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark):
+    from types import SimpleNamespace
+
+    from tidemill.llm.scratch import shared_folder
+
+    fake = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: folder), sparkContext=SimpleNamespace(master=master))
+    assert shared_folder(fake("spark://h:7077", "/shared")) == "/shared"
+    assert shared_folder(fake("local[4]", None)) == shared_folder(fake("local", None))
+    for master in ("spark://h:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_folder(fake(master, None))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -16,8 +17,11 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where it is unset (one machine, tests) a folder of this process."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """spark.checkpoint.dir, or where it is unset on one machine, as in tests, a folder of this process; unset on a cluster is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or _own_folder()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
