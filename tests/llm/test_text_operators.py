@@ -3,12 +3,14 @@ import math
 import random
 import re
 import textwrap
+import tracemalloc
 import zlib
 from collections import Counter
 from statistics import NormalDist
 
 import numpy as np
 import duckdb
+import pyarrow as pa
 import pytest
 from helpers import documents, odd_texts, prose, words
 from pyspark.sql import functions as F
@@ -47,9 +49,40 @@ def test_tiling_covers_as_much_as_by_definition():
         text = [rng.randrange(6) for _ in range(rng.randrange(5, 40))]
         k = rng.randrange(len(item))
         text[5:5] = item[k:] + [99] + item[:k]
-        seeds = [(i, j) for i in range(len(text) - 2) for j in range(len(item) - 2) if text[i : i + 3] == item[j : j + 3]]
-        got = decontaminate.tile(np.array(text), np.array(item), seeds, 3)
-        assert sorted(t[2] for t in got) == sorted(t[2] for t in brute_tiles(text, item, 3))
+        assert sorted(t[2] for t in decontaminate.tile(*seeded(text, item, 3), 3)) == sorted(t[2] for t in brute_tiles(text, item, 3))
+
+
+def seeded(text, item, least):
+    """Both sides as arrays, and the places of all their runs of `least` words with the runs' numbers."""
+    numbers = {}
+    number = lambda w: np.array([numbers.setdefault(tuple(w[k : k + least]), len(numbers)) for k in range(len(w) - least + 1)], np.int64)
+    of_text, of_item = number(text), number(item)
+    return np.array(text), np.array(item), (np.arange(len(of_text)), of_text, np.arange(len(of_item)), of_item)
+
+
+def test_maximal_matches_are_those_of_every_diagonal():
+    rng = random.Random(40)
+    for trial in range(80):
+        text, item = ([rng.randrange(1 + trial % 4) for _ in range(rng.randrange(3, 40))] for _ in range(2))
+        want = set()
+        for i in range(len(text)):
+            for j in range(len(item)):
+                n = 0
+                while i + n < len(text) and j + n < len(item) and text[i + n] == item[j + n]:
+                    n += 1
+                if n >= 3 and not (i and j and text[i - 1] == item[j - 1]):
+                    want.add((i, j, n))
+        got = [tuple(x) for x in np.stack(decontaminate.matches(*seeded(text, item, 3), 3), axis=1).tolist()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_a_phrase_that_repeats_on_both_sides_is_tiled_in_linear_memory():
+    text, item = pa.array(["buy now " * 20_000, "buy this now " * 20_000]), decontaminate.Items([(1, "buy now " * 2_000), (2, "now and then " * 9)], 5)
+    tracemalloc.start()
+    got = list(decontaminate._tiled(text, item, 0.5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(r[0], r[1], r[3]) for r in got] == [(0, 0, 4000)] and got[0][2] == [(0, 0, 4000)] and peak < 64 << 20
 
 
 def test_contaminated_documents(spark):
@@ -64,8 +97,12 @@ def test_contaminated_documents(spark):
     assert got.filter(f"doc_id = {n + 1}").first()["matched_words"] == 40 and len(got.filter(f"doc_id = {n + 1}").first()["tiles"]) == 2
     blocks = decontaminate.contaminated_pairs(documents(spark, texts), items, block_bytes=200)
     assert sorted((r["doc_id"], r["item_id"]) for r in blocks.collect()) == sorted((r["doc_id"], r["item_id"]) for r in got.collect())
-    kept = decontaminate.drop_contaminated(documents(spark, texts), items)
-    assert kept.columns == documents(spark, texts).columns and sorted(r["doc_id"] for r in kept.collect()) == [k for k in range(len(texts)) if k not in (n, n + 1, n + 4)]
+    for kept in (decontaminate.drop_contaminated(documents(spark, texts), items), decontaminate.drop_contaminated(documents(spark, texts), items, block_bytes=200)):
+        assert kept.columns == documents(spark, texts).columns and sorted(r["doc_id"] for r in kept.collect()) == [k for k in range(len(texts)) if k not in (n, n + 1, n + 4)]
+    assert decontaminate.drop_contaminated(documents(spark, texts), items.limit(0)).count() == len(texts)
+    assert decontaminate.drop_contaminated(documents(spark, texts).limit(0), items).count() == 0
+    twice = decontaminate.contaminated_pairs(documents(spark, texts).unionByName(documents(spark, texts)), items.unionByName(items))
+    assert twice.count() == 4 * got.count()
     assert decontaminate.contaminated_pairs(documents(spark, texts), items.limit(0)).count() == 0
     assert decontaminate.contaminated_pairs(documents(spark, texts).limit(0), items).count() == 0
 
