@@ -92,6 +92,31 @@ def test_near_copies_equal_brute_force(spark, bucket, block):
     assert got == want
 
 
+def test_long_chains_of_different_sets_meet_at_shared_shingles(spark):
+    """Windows along one text: a component in which only neighbours are linked. What is copied grows with the sets, not with their square."""
+    rng = random.Random(31)
+    copied = []
+    for n in (250, 1000):
+        w = [f"c{k}" for k in range(4 * n + 60)]
+        texts = [" ".join(w[4 * k : 4 * k + 60]) for k in range(n)] + list(dict.fromkeys(variants(rng, prose(rng, 150), 60, 4)))
+        want = dict(enumerate(brute_classes(texts)))
+        if n == 250:
+            assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in chosen_path.jaccard_classes(documents(spark, texts), block=4).collect()} == want
+        embedded = documents(spark, texts).selectExpr("doc_id AS row", "doc_id", "text").mapInArrow(chosen_path._embed(5), "row long, doc_id long, n_shingles int, set_hash binary, text_hash binary, signature binary, sketch binary, shingles binary")
+        members = embedded.selectExpr("row AS rep", f"if(row < {n}, 0L, {n}L) AS label", "n_shingles", "1L AS texts")
+        seen = []
+        keep = chosen_path._at_shared
+        try:
+            chosen_path._at_shared = lambda *a: seen.append(keep(*a)) or seen[-1]
+            links = chosen_path._counted_links(embedded.selectExpr("row AS rep", "shingles"), members, 0.8, 4).groupBy("rep").sum("links").collect()
+        finally:
+            chosen_path._at_shared = keep
+        assert {r[0]: r[1] for r in links} == {k: m for k, (_, m) in want.items() if m}
+        assert {r["label"] for r in seen[0].select("label").distinct().collect()} == {0}
+        copied.append(seen[0].count())
+    assert copied[1] < 5 * copied[0]
+
+
 def test_deep_buckets_keep_the_recall(spark):
     """Texts that share half of their shingles with all others, in buckets of three rows: pairs are split many times."""
     rng = random.Random(4)

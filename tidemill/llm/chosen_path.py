@@ -209,6 +209,8 @@ def _overlaps(sets: list[np.ndarray], columns: int = 1 << 15) -> np.ndarray:
         return out
     of = np.repeat(np.arange(n), [len(s) for s in sets])
     values = np.concatenate(sets)
+    if not len(values):
+        return np.zeros((n, n))
     order = np.argsort(values, kind="stable")
     of, values = of[order], values[order]
     column = np.cumsum(np.concatenate(([0], values[1:] != values[:-1])))
@@ -226,15 +228,20 @@ def _overlaps(sets: list[np.ndarray], columns: int = 1 << 15) -> np.ndarray:
 
 
 def _count_links(threshold: float):
-    """Of every group (component, block, block): each set's number of linked texts, and the least set that it hangs with."""
+    """Of every group (component, shingle, block, block): each set's number of linked texts, and the least set that it hangs with.
 
-    def group(first, second, block, rep, texts, sets):
+    shingle is -1 where all sets of the blocks are compared; else a pair counts in the group of its least common shingle.
+    """
+
+    def group(shingle, first, second, block, rep, texts, sets):
         sizes = np.array([len(s) for s in sets])
         common = _overlaps(sets)
         linked = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-9
         np.fill_diagonal(linked, False)
         if first != second:
             linked &= block[:, None] != block[None, :]
+        if shingle >= 0 and linked.any():
+            linked &= _overlaps([s[: np.searchsorted(s, shingle)] for s in sets]) == 0
         a, b = np.nonzero(linked)
         if not len(a):
             return None
@@ -249,17 +256,31 @@ def _count_links(threshold: float):
         key, rows = None, []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != key:
+                if row[:4] != key:
                     if len(rows) > 1 and (out := finish(key, rows)) is not None:
                         yield out
-                    key, rows = row[:3], []
-                rows.append(row[3:])
+                    key, rows = row[:4], []
+                rows.append(row[4:])
         if len(rows) > 1 and (out := finish(key, rows)) is not None:
             yield out
 
     def finish(key, rows):
         block, rep, texts, sets = zip(*rows, strict=True)
-        return group(key[1], key[2], np.array(block), np.array(rep), np.array(texts), [np.frombuffer(s, np.uint32) for s in sets])
+        return group(*key[1:], np.array(block), np.array(rep), np.array(texts), [np.frombuffer(s, np.uint32) for s in sets])
+
+    return run
+
+
+def _least_shingles(threshold: float):
+    """The shingles of which two linked sets share one: a set's smallest ones, as many as may be missing from the other and one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(s, np.uint32) for s in batch.column(2).to_pylist()]
+            sets = [np.unique(s[: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1]) for s in sets]
+            of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            if len(of):
+                yield pa.record_batch([batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(np.concatenate(sets).astype(np.int64))], ["label", "rep", "shingle"])
 
     return run
 
@@ -329,27 +350,57 @@ def candidate_components(sets: DataFrame, threshold: float = 0.8, recall: float
     return materialize(moved.unionByName(new), "labels")
 
 
-def _counted_links(sets: DataFrame, members: DataFrame, threshold: float, block: int, broadcast_rows: int = 2_000_000) -> DataFrame:
+def _in_blocks(laid: DataFrame, sets: DataFrame, few: bool) -> DataFrame:
+    """(label, shingle, first, second, block, rep, texts, shingles): every set in each pair of blocks that its own is in."""
+    number = lambda cut, k: F.shiftleft(cut, 40) + k
+    blocks = lambda step, n: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), lambda k: number(F.col("cut") + step, k))).otherwise(F.array().cast("array<bigint>"))
+    own = number(F.col("cut"), F.pmod(F.xxhash64("rep"), F.col("same")))
+    keyed = sets.join(F.broadcast(laid) if few else laid, "rep").withColumn("own", own)
+    keyed = keyed.withColumn("other", F.explode(F.concat(blocks(-1, "below"), blocks(0, "same"), blocks(1, "above"))))
+    return keyed.select("label", F.lit(-1).cast("long").alias("shingle"), F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), F.col("own").alias("block"), "rep", "texts", "shingles")
+
+
+def _at_shared(shared: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """The same columns: every set at each shingle that it shares, in pairs of blocks of about `block` sets."""
+    parts = F.ceil(F.col("size") / block)
+    keyed = shared.withColumn("own", F.pmod(F.xxhash64("rep"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    keyed = keyed.select("label", "shingle", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), F.col("own").alias("block"), "rep", "texts")
+    return keyed.join(sets, "rep").select("label", "shingle", "first", "second", "block", "rep", "texts", "shingles")
+
+
+def _counted_links(sets: DataFrame, members: DataFrame, threshold: float, block: int, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(rep, links, root) for the sets of each component, compared exactly between blocks of about `block` sets.
 
     sets: (rep, shingles); members: (rep, label, n_shingles, texts). Linked sets differ in size by less than the threshold
-    allows, so a component is cut by size, and blocks meet only those of their own and the neighbouring sizes. Up to
-    broadcast_rows members are broadcast, so that the sets of all others aren't shuffled; more of them are joined.
+    allows, so a component is cut by size, and blocks meet only those of their own and the neighbouring sizes. That suits
+    components of near copies, most pairs of which are linked. In a component of more than four blocks whose sets would be
+    copied less often so, because few share a shingle, sets meet instead at those of their smallest shingles that others
+    share; frequent ones are cut into blocks as well. Up to broadcast_rows members, of about 100 bytes each, are broadcast, so
+    that the sets of all others aren't shuffled; more of them are joined.
     """
     size_class = F.floor(F.log("n_shingles") / math.log(1 / (threshold - 1e-9))).cast("long")
     members = materialize(members.withColumn("cut", size_class), "members")
-    layout = members.groupBy("label", "cut").agg(F.count("*").alias("n")).groupBy("label").agg(F.sum("n").alias("size"), F.collect_list(F.struct("cut", F.ceil(F.col("n") / block).cast("long").alias("blocks"))).alias("cuts"))
+    cuts = members.groupBy("label", "cut").agg(F.count("*").alias("n"))
+    layout = cuts.groupBy("label").agg(F.sum("n").alias("size"), F.map_from_entries(F.collect_list(F.struct("cut", F.ceil(F.col("n") / block).cast("long")))).alias("blocks"))
+    at = lambda step: F.coalesce(F.try_element_at("blocks", F.col("cut") + step), F.lit(0).cast("long"))
     laid = join_hot(members, materialize(layout, "layout"), "label", "rep")
-    number = lambda cut, k: F.shiftleft(cut, 40) + k
-    own = F.filter("cuts", lambda c: c["cut"] == F.col("cut"))[0]["blocks"]
-    near = F.filter("cuts", lambda c: F.abs(c["cut"] - F.col("cut")) <= 1)
-    others = F.flatten(F.transform(near, lambda c: F.transform(F.sequence(F.lit(0).cast("long"), c["blocks"] - 1), lambda k: number(c["cut"], k))))
-    laid = laid.select("rep", "label", "texts", number(F.col("cut"), F.pmod(F.xxhash64("rep"), own)).alias("own"), others.alias("others"))
-    laid = materialize(laid, "laid")
+    laid = materialize(laid.select("rep", "label", "texts", "cut", at(-1).alias("below"), at(0).alias("same"), at(1).alias("above"), F.col("size").alias("members")), "laid")
     few = laid.count() <= broadcast_rows
-    keyed = sets.join(F.broadcast(laid) if few else laid, "rep").withColumn("other", F.explode("others"))
-    keyed = keyed.select("label", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), F.col("own").alias("block"), "rep", "texts", "shingles")
-    met = keyed.repartition("label", "first", "second").sortWithinPartitions("label", "first", "second")
+    large = laid.filter(F.col("members") > 4 * block)
+    if large.isEmpty():
+        met = _in_blocks(laid, sets, few)
+    else:
+        known = sets.join(F.broadcast(large.select("rep", "label")) if few else large.select("rep", "label"), "rep")
+        least = materialize(known.select("label", "rep", "shingles").mapInArrow(_least_shingles(threshold), "label long, rep long, shingle long").withColumn("bucket", F.struct("label", "shingle")), "least")
+        buckets = materialize(least.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "shared")
+        copies = buckets.groupBy("bucket.label").agg(F.sum(F.col("size") * F.ceil(F.col("size") / block)).alias("copies"))
+        in_blocks = large.groupBy("label").agg(F.sum(F.col("below") + F.col("same") + F.col("above")).alias("copies_in_blocks"), F.count("*").alias("size"))
+        # Components whose sets share no least shingle have no links at all: they have no buckets and no copies.
+        sparse = materialize(in_blocks.join(copies, "label", "left").filter("coalesce(copies, 0) < copies_in_blocks").select("label", "size"), "sparse")
+        apart = materialize(join_hot(large.select("rep", "label", "texts"), sparse, "label", "rep").select("rep", "label", "texts"), "apart")
+        shared = join_hot(least.select("rep", "bucket"), buckets, "bucket", "rep").select("rep", "bucket.shingle", "size").join(apart, "rep")
+        met = _in_blocks(laid.join(apart.select("rep"), "rep", "left_anti"), sets, few).unionByName(_at_shared(shared, sets, block))
+    met = met.repartition("label", "shingle", "first", "second").sortWithinPartitions("label", "shingle", "first", "second")
     return met.mapInArrow(_count_links(threshold), "rep long, links long, root long")
 
 
@@ -363,8 +414,8 @@ def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str
     has one shingle of all its words; one without words (null, empty) has no links and is a class of its own. Rows that
     repeat an id count as documents of their own. An empty table gives an empty result; other columns aren't read.
 
-    Every text of each component of candidate links is compared with every other one in it that its size allows, so that a
-    link is lost only where its ends fall into different components. Sets are compared as 32-bit hashes: two of a
+    Every text of each component of candidate links is compared with every other one in it that its size allows and that
+    shares a shingle with it, so that a link is lost only where its ends fall into different components. Sets are compared as 32-bit hashes: two of a
     thousand shingles differ by one from the truth once in about four thousand pairs.
     """
     numbered = documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
