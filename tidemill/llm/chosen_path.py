@@ -397,9 +397,13 @@ def _counted_links(sets: DataFrame, members: DataFrame, threshold: float, block:
         in_blocks = large.groupBy("label").agg(F.sum(F.col("below") + F.col("same") + F.col("above")).alias("copies_in_blocks"), F.count("*").alias("size"))
         # Components whose sets share no least shingle have no links at all: they have no buckets and no copies.
         sparse = materialize(in_blocks.join(copies, "label", "left").filter("coalesce(copies, 0) < copies_in_blocks").select("label", "size"), "sparse")
-        apart = materialize(join_hot(large.select("rep", "label", "texts"), sparse, "label", "rep").select("rep", "label", "texts"), "apart")
-        shared = join_hot(least.select("rep", "bucket"), buckets, "bucket", "rep").select("rep", "bucket.shingle", "size").join(apart, "rep")
-        met = _in_blocks(laid.join(apart.select("rep"), "rep", "left_anti"), sets, few).unionByName(_at_shared(shared, sets, block))
+        if sparse.isEmpty():
+            met = _in_blocks(laid, sets, few)
+        else:
+            apart = materialize(join_hot(large.select("rep", "label", "texts"), sparse, "label", "rep").select("rep", "label", "texts"), "apart")
+            shared = join_hot(least.select("rep", "bucket"), buckets, "bucket", "rep").select("rep", "bucket.shingle", "size").join(apart, "rep")
+            theirs = sets.join(F.broadcast(apart.select("rep")) if few else apart.select("rep"), "rep")  # so that no others are shuffled
+            met = _in_blocks(laid.join(apart.select("rep"), "rep", "left_anti"), sets, few).unionByName(_at_shared(shared, theirs, block))
     met = met.repartition("label", "shingle", "first", "second").sortWithinPartitions("label", "shingle", "first", "second")
     return met.mapInArrow(_count_links(threshold), "rep long, links long, root long")
 
