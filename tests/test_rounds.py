@@ -92,6 +92,17 @@ def test_depths_of_deep_trees_circles_and_orphans(spark, seed):
     assert rounds.span_depths(df.limit(0)).collect() == []
 
 
+def test_deep_chains_cost_a_multiple_of_the_table(spark, tmp_path, monkeypatch):
+    """Spans that are taken out get what the others get, and all rounds together write a few times the table."""
+    up = {k: k - 1 if k else None for k in range(900)} | {2000 + k: 2000 + (k + 1) % 70 for k in range(70)} | {3000: 9999} | {3000 + k: 2999 + k for k in range(1, 50)} | {4000 + k: 2010 for k in range(20)}
+    paths = []
+    monkeypatch.setattr(rounds, "new_folder", lambda spark, name: paths.append(f"{tmp_path}/{len(paths)}") or paths[-1])
+    df = spark.createDataFrame(list(up.items()), "span_id long, parent_span_id int").coalesce(1)
+    got = {r["span_id"]: tuple(r)[2:] for r in rounds.span_depths(df, few=100).collect()}
+    assert got == {k: (0, k, "/".join(map(str, range(k + 1))), None) if k < 900 else (None, None, None, "no parent" if 3000 <= k < 4000 else "cycle") for k in up}
+    assert sum(spark.read.parquet(p).count() for p in paths) < 7 * len(up)
+
+
 def test_model_spans(spark):
     df = signals(spark, "MODEL_CALL_START", {"type": "MODEL_CALL_END", "input_tokens": 3, "output_tokens": 4, "model_name": "m"}, {"type": "MODEL_CALL_END"}, "AGENT_END")
     assert [(r["model_name"], r["input_tokens"], r["output_tokens"], r["duration_ms"]) for r in rounds.spans(df).collect()] == [("m", 3, 4, 100)]

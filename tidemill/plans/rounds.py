@@ -189,11 +189,14 @@ def span_tree(spans: DataFrame, max_depth: int = 32) -> DataFrame:
         found = found.unionByName(level)
 
 
-def span_depths(spans: DataFrame, with_path: bool = True) -> DataFrame:
+def span_depths(spans: DataFrame, with_path: bool = True, few: int = 1_000_000) -> DataFrame:
     """(span_id, parent_span_id, root, depth, path, problem) of every span, however deep the trees are.
 
-    Each round doubles the steps that a span has gone up, so that trees of depth d take about log2(d) rounds of one join; only
-    spans that haven't reached their root are joined. problem is `cycle` for spans in or below a circle, `no parent` for those whose line ends at
+    While more than `few` spans haven't reached their root, a round takes out about a quarter of them, chosen by a hash so that
+    of a span and the one above it at most one goes: those below lead past what is taken out, which waits for the span above it.
+    So the rounds shrink, and all of them together shuffle a multiple of the table, whatever the depth. Of what is left each
+    round doubles the steps that a span has gone up, log2(depth) rounds of one join; then the spans taken out follow, last ones
+    first. problem is `cycle` for spans in or below a circle, `no parent` for those whose line ends at
     a parent that isn't there; both have no root, depth and path. Span ids are unique. Without paths, which are as long as the tree is
     deep, a row has a fixed size.
     """
@@ -204,22 +207,37 @@ def span_depths(spans: DataFrame, with_path: bool = True) -> DataFrame:
         df.write.parquet(path)
         return spark.read.parquet(path)
 
+    def joined(low: DataFrame, high: DataFrame, how: str = "inner") -> DataFrame:
+        """low, led on from the spans of high that its lines have reached."""
+        above = high.select(F.col("span_id").alias("up"), F.col("up").alias("_up"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("path").alias("_path"), F.col("problem").alias("_problem"), F.lit(True).alias("_met"))
+        on = lambda new, old: F.when(F.col("_met"), new).otherwise(F.col(old)).alias(old)
+        return low.join(above, "up", how).select("span_id", "parent_span_id", on(F.col("_up"), "up"), on(F.col("_root"), "root"), on(F.col("depth") + F.col("_depth"), "depth"), on(F.concat("_path", F.lit("/"), "path"), "path"), on(F.col("_problem"), "problem"))
+
     known = spans.select(F.col("span_id").alias("up")).withColumn("_there", F.lit(True))
     start = spans.select("span_id", "parent_span_id", F.col("parent_span_id").alias("up"), F.coalesce("parent_span_id", "span_id").alias("root"), (F.col("parent_span_id").isNotNull()).cast("int").alias("depth"), (text if with_path else F.lit(None).cast("string")).alias("path"))
     start = written(start.join(known, "up", "left").withColumn("problem", F.when(F.col("up").isNotNull() & F.col("_there").isNull(), "no parent")).withColumn("up", F.when(F.col("problem").isNull(), F.col("up"))).select(*start.columns, "problem"))
     done, open_ = start.filter("up IS NULL"), start.filter("up IS NOT NULL")
+    taken, n, before = [], open_.count(), None
+    # Of circles the spans may all be gone but one, which leads to itself and stays; a round that takes out nothing is the last.
+    while n > few and n != before:
+        picked = lambda c, k=len(taken): F.pmod(F.xxhash64(F.col(c).cast("string"), F.lit(k)), F.lit(2)) == 1
+        out = picked("span_id") & ~picked("up")
+        taken.append(open_.filter(out))
+        open_ = written(joined(open_.filter(~out), taken[-1], "left"))
+        n, before = open_.count(), n
     while True:
         # What a span's line so far ends at: done, with its own root, or open, and so twice as far up.
-        above = done.unionByName(open_).select(F.col("span_id").alias("up"), F.col("up").alias("_up"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("path").alias("_path"), F.col("problem").alias("_problem"))
-        stepped = open_.join(above, "up").select("span_id", "parent_span_id", F.col("_up").alias("up"), F.col("_root").alias("root"), (F.col("depth") + F.col("_depth")).alias("depth"), F.concat("_path", F.lit("/"), "path").alias("path"), F.col("_problem").alias("problem"))
-        stepped = written(stepped)
+        stepped = written(joined(open_, done.unionByName(open_)))
         ended = stepped.filter("up IS NULL")
         if ended.isEmpty():
             # Of lines that end some would have ended now, so all that are left go round.
-            circles = open_.withColumn("problem", F.lit("cycle"))
-            known_depth = lambda c: F.when(F.col("problem").isNull(), F.col(c)).alias(c)
-            return done.unionByName(circles).select("span_id", "parent_span_id", known_depth("root"), known_depth("depth"), known_depth("path"), "problem")
+            found = done.unionByName(open_.withColumn("problem", F.lit("cycle")))
+            break
         done, open_ = done.unionByName(ended), stepped.filter("up IS NOT NULL")
+    for gone in reversed(taken):
+        found = found.unionByName(written(joined(gone, found)))
+    known_depth = lambda c: F.when(F.col("problem").isNull(), F.col(c)).alias(c)
+    return found.select("span_id", "parent_span_id", known_depth("root"), known_depth("depth"), known_depth("path"), "problem")
 
 
 #: (state, next state) that a session may take.
