@@ -66,3 +66,12 @@ def test_streams_over_empty_tables(spark, tmp_path):
     write = sinks.append_events(out + "2")
     files.run_through(sinks.replay_then_follow(log, live, 1, write), write, "none")
     assert [r["event_id"] for r in spark.read.schema(log.schema).parquet(out + "2").collect()] == [2]
+
+
+def test_a_batch_of_many_files_is_one_trigger(spark):
+    """Batches of unlike sizes, an empty one among them, keep their bounds, and no task handles a whole one."""
+    rows = spark.range(400).select(F.when(F.col("id") < 390, F.col("id")).otherwise(F.col("id") + 800).alias("id"))
+    seen = []
+    files.run_through(files.as_stream(rows, "id", 3, rows_a_file=20), lambda b, n: seen.append((sorted(r["id"] for r in b.collect()), b.select(F.input_file_name()).distinct().count())), "many")
+    assert [ids for ids, _ in seen] == [[*range(390)], [], [*range(1190, 1200)]]
+    assert seen[0][1] > 1

@@ -24,16 +24,25 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{(base or _own_folder()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def as_stream(df: DataFrame, order: str, batches: int = 3) -> DataFrame:
-    """A stream of the rows of a table in as many batches, each a range of the numbers in `order`."""
-    spark, path = df.sparkSession, new_folder(df.sparkSession, "arrivals")
-    low, high = df.agg(F.min(order), F.max(order)).first()
+def as_stream(df: DataFrame, order: str, batches: int = 3, rows_a_file: int = 250_000) -> DataFrame:
+    """A stream of the rows of a table in as many batches, each a range of the numbers in `order`.
+
+    The table is worked out once, by all tasks. Every batch is the same number of files, which no task but a file's own writes or
+    reads; a batch that needs fewer has empty ones, so that a trigger takes one batch exactly.
+    """
+    spark, path, whole = df.sparkSession, new_folder(df.sparkSession, "arrivals"), new_folder(df.sparkSession, "whole")
+    df.write.parquet(whole)
+    rows = spark.read.schema(df.schema).parquet(whole)
+    low, high, n = rows.agg(F.min(order), F.max(order), F.count("*")).first()
+    if low is None:
+        df.limit(0).write.parquet(f"{path}/0")
+    files = max(1, -(-n // (batches * rows_a_file)))
     for k in range(batches if low is not None else 0):
         lo, hi = (low + (high + 1 - low) * x // batches for x in (k, k + 1))
-        df.filter((F.col(order) >= lo) & (F.col(order) < hi)).coalesce(1 if batches > 1 else 8).write.mode("append").parquet(f"{path}/{k}")
-    if low is None:
-        df.write.parquet(f"{path}/0")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+        rows.filter((F.col(order) >= lo) & (F.col(order) < hi)).coalesce(files).write.parquet(f"{path}/{k}")
+        for _ in range(files - len(spark.read.schema(df.schema).parquet(f"{path}/{k}").inputFiles())):
+            rows.limit(0).coalesce(1).write.mode("append").parquet(f"{path}/{k}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(path)
 
 
 def run_through(stream: DataFrame, write: Callable[[DataFrame, int], None], name: str, mode: str = "append") -> None:
