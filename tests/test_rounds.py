@@ -3,6 +3,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 
 from tidemill.plans import envelope, rounds
 from tidemill.schemas import SIGNAL
@@ -218,3 +219,37 @@ def test_a_failing_subscriber_is_dropped(spark, tmp_path):
         write(spark.range(3), n)
     write(spark.range(3), 1)
     assert calls == [1] and spark.read.parquet(str(tmp_path / "o")).count() == 6
+
+
+class Held:
+    """A state in memory."""
+
+    def __init__(self):
+        self.value, self.entries = None, {}
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def getValue(self, key):
+        return self.entries.get(key)
+
+    def updateValue(self, key, value):
+        self.entries[key] = value
+
+    def removeKey(self, key):
+        self.entries.pop(key, None)
+
+
+def test_a_session_comes_and_goes_as_one_column():
+    """A batch of a session is texts in and one text out, not a frame of all columns."""
+    handle = type("Handle", (), {"getValueState": lambda *a: Held(), "getMapState": lambda *a: Held(), "registerTimer": lambda *a: None})()
+    timers = type("Timers", (), {"getCurrentProcessingTimeInMs": lambda self: 0})()
+    fold = streaming.RoundFold(keep=4)
+    fold.init(handle)
+    said = [{"round_id": "1", "seq": 2, "type": "TEXT_DELTA", "text": '"好\n'}, {"round_id": "1", "seq": 1, "type": "TEXT_DELTA", "text": "a"}, {"round_id": "1", "seq": 3, "type": "AGENT_END", "micros": 7}]
+    out = [json.loads(r["told"]) for r in fold.handleInputRows(("s",), (Row(session_id="s", signal=json.dumps(x)) for x in said), timers)]
+    assert len(out) == 1 and [x["kind"] for x in out[0]] == ["RUN_START", "TEXT_DELTA", "TEXT_DELTA", "RUN_END", "SESSION_STATUS", "COMPLETED"]
+    assert out[0][-1]["text"] == 'a"好\n' and [x.get("sequence_num") for x in out[0]] == [1, 2, 3, 4, 5, None]

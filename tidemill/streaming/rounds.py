@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections import namedtuple
 from collections.abc import Iterator
 from operator import attrgetter
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -20,7 +20,6 @@ FOLDED = (
     "session_id string, round_id string, record string, kind string, sequence_num long, block_id string, tool_call_id string, tool_name string, text string, tool_input string, "
     "truncated boolean, state string, stop_reason string, start_micros long, end_micros long, input_tokens int, output_tokens int, model_name string"
 )
-_COLUMNS = [c.split()[0] for c in FOLDED.split(", ")]
 _ENDS = {"AGENT_END": "DONE", "INTERRUPT": "INTERRUPTED", "DISCONNECT": "INTERRUPTED", "ERROR": "ERROR"}
 _FIELDS = ["round_id", "seq", "type", "text", "block_id", "tool_call_id", "tool_name", "tool_state", "result_text", "input_tokens", "output_tokens", "model_name", "micros"]
 _Signal = namedtuple("_Signal", _FIELDS)
@@ -106,17 +105,16 @@ class RoundFold(StatefulProcessor):
         self.calls = handle.getMapState("calls", "call string", "args int, head int, total long, tail string, started long, name string, closed boolean", self.idle_ms)
         self.texts = handle.getMapState("texts", "piece string", "text string", self.idle_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # There are many small keys, so nothing is done by pandas that lists do.
-        signals = [_Signal(*values) for df in rows for values in zip(*(df[c].tolist() for c in _FIELDS))]
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        signals = [_Signal(*map(json.loads(row[1]).get, _FIELDS)) for row in rows]
         fold = _Fold(self, key[0], timerValues.getCurrentProcessingTimeInMs())
         for r in sorted(signals, key=attrgetter("seq")):
             fold.signal(r)
         fold.write()
-        if fold.out:
-            yield pd.DataFrame(fold.out, columns=_COLUMNS)
+        for k in range(0, len(fold.out), 1000):
+            yield Row(told=json.dumps(fold.out[k : k + 1000], ensure_ascii=False))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentProcessingTimeInMs()
         gone = [k for k, v in self.rounds.iterator() if v[_ENDED] is not None and v[_ENDED] + self.kept_ms <= now]
         for k in gone:
@@ -127,11 +125,6 @@ class RoundFold(StatefulProcessor):
         pass
 
 
-def _whole(x: float | None) -> int | None:
-    """A number that pandas may hold as a float, null as NaN."""
-    return None if x is None or x != x else int(x)
-
-
 class _Fold:
     """One batch of a session's signals."""
 
@@ -142,14 +135,13 @@ class _Fold:
         self.texts = _Texts(of.texts)
         number = of.counter.get()
         self.number = self.first = number[0] if number else 0
-        self.out: list[tuple] = []
+        self.out: list[dict] = []
 
     def put(self, round_id: str, record: str, kind: str, **more: Any) -> None:
         if record == "event":
             self.number += 1
             more["sequence_num"] = self.number
-        row = {"session_id": self.session, "round_id": round_id, "record": record, "kind": kind} | more
-        self.out.append(tuple(row.get(c) for c in _COLUMNS))
+        self.out.append({"session_id": self.session, "round_id": round_id, "record": record, "kind": kind} | more)
 
     def signal(self, r) -> None:
         round_id, kind = r.round_id, r.type
@@ -172,7 +164,7 @@ class _Fold:
         elif kind == "MODEL_CALL_START":
             of[_MODEL] = r.micros
         elif kind == "MODEL_CALL_END" and of[_MODEL] is not None:
-            self.put(round_id, "span", "llm.call", start_micros=of[_MODEL], end_micros=r.micros, state="OK", input_tokens=_whole(r.input_tokens), output_tokens=_whole(r.output_tokens), model_name=r.model_name)
+            self.put(round_id, "span", "llm.call", start_micros=of[_MODEL], end_micros=r.micros, state="OK", input_tokens=r.input_tokens, output_tokens=r.output_tokens, model_name=r.model_name)
             of[_MODEL] = None
         elif kind in _ENDS:
             self.end(of, r)
@@ -245,9 +237,14 @@ class _Fold:
 
 
 def fold(signals: DataFrame, keep: int = KEPT_LENGTH, kept_ms: int = 600_000, idle_ms: int = 7 * 86_400_000) -> DataFrame:
-    """Events, spans and finished rounds (FOLDED) of a stream of signals. Needs the RocksDB state store (see configure())."""
-    timed = signals.withColumn("micros", F.unix_micros("ts")).select("session_id", *_FIELDS)
-    return timed.groupBy("session_id").transformWithStateInPandas(statefulProcessor=RoundFold(keep, kept_ms, idle_ms), outputStructType=FOLDED, outputMode="Append", timeMode="ProcessingTime")
+    """Events, spans and finished rounds (FOLDED) of a stream of signals. Needs the RocksDB state store (see configure()).
+
+    There are many small sessions, and each column costs a conversion a session and batch; so a signal goes in as one text and what a
+    session gives comes out as one, both JSON.
+    """
+    packed = signals.withColumn("micros", F.unix_micros("ts")).select("session_id", F.to_json(F.struct(*_FIELDS)).alias("signal"))
+    told = packed.groupBy("session_id").transformWithState(statefulProcessor=RoundFold(keep, kept_ms, idle_ms), outputStructType="told string", outputMode="Append", timeMode="ProcessingTime")
+    return told.select(F.explode(F.from_json("told", f"array<struct<{FOLDED}>>")).alias("x")).select("x.*")
 
 
 def events(folded: DataFrame) -> DataFrame:
