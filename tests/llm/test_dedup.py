@@ -159,6 +159,35 @@ def test_recall_around_a_hot_group(spark):
     assert all(got[k][1] <= n for k, (_, n) in enumerate(want))
 
 
+def test_what_goes_down_the_tree_is_split_once(spark, monkeypatch):
+    """The children of a level's buckets are made once, however often they are read."""
+    rng = random.Random(8)
+    line = prose(rng, 40, 4000)
+    made, wanted = spark.sparkContext.accumulator(0), []
+    split, write = chosen_path._next_level, chosen_path.materialize
+
+    def counted(share):
+        run = split(share)
+
+        def count(batches):
+            for batch in batches:
+                made.add(batch.num_rows)
+                yield batch
+
+        return lambda batches: run(count(batches))
+
+    def written(df, name):
+        out = write(df, name)
+        if name == "left":
+            wanted.append(out.filter(F.col("others") > 8 << min(len(wanted), 3)).count())
+        return out
+
+    monkeypatch.setattr(chosen_path, "_next_level", counted)
+    monkeypatch.setattr(chosen_path, "materialize", written)
+    chosen_path.jaccard_classes(documents(spark, [f"{line} {prose(rng, 40, 4000)}" for _ in range(120)]), bucket=8, levels=5).count()
+    assert made.value == sum(wanted[:4]) > 100
+
+
 def test_shuffled_rows_give_the_same_copies(spark):
     rng = random.Random(6)
     texts = odd_texts() + variants(rng, prose(rng, 100), 20, 5)

@@ -341,7 +341,8 @@ def candidate_components(sets: DataFrame, threshold: float = 0.8, recall: float
         if level == levels:
             links.append(on.filter("label <> major").select(F.col("label").alias("a"), F.col("major").alias("b")).distinct())
             break
-        paths = on.select("path", "rep").join(signatures, "rep").select("path", "rep", "signature").mapInArrow(_next_level(min(1.0, GROWTH * share)), "path long, rep long")
+        # Written, as it is read twice: for the shares of labels and for the rows themselves.
+        paths = materialize(on.select("path", "rep").join(signatures, "rep").select("path", "rep", "signature").mapInArrow(_next_level(min(1.0, GROWTH * share)), "path long, rep long"), "children")
     discard(sizes, pairs)
     joined = connected_components(functools.reduce(DataFrame.unionByName, links)).select("node", F.col("component").alias("_to"))
     joined = materialize(joined, "joined")
