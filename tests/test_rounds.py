@@ -253,3 +253,110 @@ def test_a_session_comes_and_goes_as_one_column():
     out = [json.loads(r["told"]) for r in fold.handleInputRows(("s",), (Row(session_id="s", signal=json.dumps(x)) for x in said), timers)]
     assert len(out) == 1 and [x["kind"] for x in out[0]] == ["RUN_START", "TEXT_DELTA", "TEXT_DELTA", "RUN_END", "SESSION_STATUS", "COMPLETED"]
     assert out[0][-1]["text"] == 'a"好\n' and [x.get("sequence_num") for x in out[0]] == [1, 2, 3, 4, 5, None]
+
+
+class Counted(Held):
+    """A state in memory that counts what is asked of it."""
+
+    def __init__(self, calls):
+        super().__init__()
+        self.calls = calls
+
+    def get(self):
+        self.calls.append("get")
+        return super().get()
+
+    def update(self, value):
+        self.calls.append("update")
+        super().update(value)
+
+    def clear(self):
+        self.value = None
+
+    def getValue(self, key):
+        self.calls.append("getValue")
+        return super().getValue(key)
+
+    def updateValue(self, key, value):
+        self.calls.append("updateValue")
+        super().updateValue(key, value)
+
+    def removeKey(self, key):
+        self.calls.append("removeKey")
+        super().removeKey(key)
+
+    def iterator(self):
+        return iter(list(self.entries.items()))
+
+
+def in_memory(**options):
+    """A fold with its states in memory, the calls made to them, its timers, and a run over one batch of (session, signal)."""
+    calls, timers = [], []
+    handle = type("Handle", (), {"getValueState": lambda *a: Counted(calls), "getMapState": lambda *a: Counted(calls), "registerTimer": lambda self, x: timers.append(x)})()
+    fold = streaming.RoundFold(**options)
+    fold.init(handle)
+
+    def run(rows, now=0):
+        clock = type("Timers", (), {"getCurrentProcessingTimeInMs": lambda self: now})()
+        out = [x for r in fold.handleInputRows((0,), (Row(session_id=s, signal=json.dumps(x)) for s, x in rows), clock) for x in json.loads(r["told"])]
+        for x in sorted(t for t in timers if t <= now):
+            timers.remove(x)
+            list(fold.handleExpiredTimer((0,), clock, None))
+        return sorted(out, key=lambda x: x["session_id"])  # of a session in order
+
+    return fold, calls, timers, run
+
+
+def test_a_session_is_read_once_and_written_once_a_batch():
+    """Calls to the state store are the stream's cost: two a session and batch, one where nothing changes, whatever its calls are."""
+    _, calls, _, run = in_memory(keep=4)
+    call = lambda k, t: {"round_id": "1", "seq": k, "type": t, "text": "abc", "tool_call_id": "c", "micros": k}
+    first = ["TOOL_CALL_START", "TOOL_CALL_DELTA", "TOOL_CALL_END", "TOOL_RESULT_TEXT_DELTA", "TEXT_DELTA"]
+    run([(s, call(k, t)) for s in "abcd" for k, t in enumerate(first)])
+    assert len(calls) <= 4 * 2 + 2  # the bucket's timer
+    calls.clear()
+    run([(s, call(k, t)) for s in "abcd" for k, t in enumerate(["TOOL_RESULT_TEXT_DELTA", "TOOL_RESULT_END", "AGENT_END"], 10)])
+    assert len(calls) <= 4 * 2 + 1
+    calls.clear()
+    assert run([(s, call(20, "TEXT_DELTA")) for s in "abcd"]) == [] and calls == ["getValue"] * 4
+
+
+@pytest.mark.parametrize("in_hand", [0, 600])
+def test_what_lies_apart_gives_the_same(in_hand):
+    """Rounds and texts over the limit lie in rows of their own; nothing of them is lost, and all of it goes."""
+    rng, batches = random.Random(3), []
+    kinds = ["TOOL_CALL_START", "TOOL_CALL_DELTA", "TOOL_CALL_DELTA", "TOOL_CALL_END", *["TOOL_RESULT_TEXT_DELTA"] * 4, "TOOL_RESULT_END", *["TEXT_DELTA"] * 4, "EXCEED_MAX_ITERS", "AGENT_RESULT", "MODEL_CALL_START", "MODEL_CALL_END"]
+    for n in range(12):
+        made = [{"type": rng.choice(kinds), "round_id": rng.choice(["a", "a/b", None]), "tool_call_id": rng.choice("cd"), "text": rng.choice(["数据" * 9, "x" * 30, None]), "result_text": f"r{n}", "micros": n} for _ in range(25)]
+        made += [{"type": "AGENT_END", "round_id": x} for x in ("a", "a/b", None)] if n == 11 else []
+        batches.append([(rng.choice("st") if n < 11 else s, x | {"seq": n * 100 + k}) for k, x in enumerate(made) for s in ("s" if n < 11 else "st")])
+    whole, held = in_memory(keep=40), in_memory(keep=40, in_hand=in_hand)
+    assert [held[3](b) for b in batches] == [whole[3](b) for b in batches]
+    fold, _, timers, run = held
+    run([], max(timers))  # what lies apart of rounds that ended
+    run([], max(timers, default=0))
+    assert not fold.apart.entries and not fold.texts.entries
+
+
+def test_marks_stay_while_late_signals_come_and_go_after():
+    fold, _, _, run = in_memory(kept_ms=10, idle_ms=1000)
+    said = lambda k, t, r="1": [("s", {"round_id": r, "seq": k, "type": t, "text": "x"})]
+    run(said(1, "TEXT_DELTA") + said(2, "AGENT_END"))
+    assert run(said(3, "TEXT_DELTA"), 50) == [] and run(said(4, "TEXT_DELTA"), 59) == []
+    run(said(5, "TEXT_DELTA", "2"), 70)
+    assert [x["kind"] for x in run(said(6, "TEXT_DELTA"), 71)] == ["RUN_START", "TEXT_DELTA"]
+
+
+def test_what_never_ends_expires_with_its_texts():
+    fold, _, timers, run = in_memory(kept_ms=10, idle_ms=1000, in_hand=16)
+    said = lambda k, r="1": [("s", {"round_id": r, "seq": k, "type": "TEXT_DELTA", "text": "long enough"})]
+    first = run(said(1) + said(2, "2"))
+    run(said(3, "2"), 900)
+    assert fold.texts.entries and timers
+    run([], min(timers))
+    assert len(fold.apart.entries) == 1
+    assert [x["kind"] for x in run(said(4), 1100)] == ["RUN_START", "TEXT_DELTA"] and first[0]["kind"] == "RUN_START"
+    for _ in range(20):
+        run([], max(timers, default=0))
+    assert not timers and not fold.apart.entries and not fold.texts.entries
+    assert run(said(5), 99999)[0]["sequence_num"] == 8

@@ -1,4 +1,4 @@
-"""The round fold on streams: one keyed state for each session, fed in the order of the source's sequence."""
+"""The round fold on streams: a state for each session, fed in the order of the source's sequence."""
 
 from __future__ import annotations
 
@@ -23,38 +23,15 @@ FOLDED = (
 _ENDS = {"AGENT_END": "DONE", "INTERRUPT": "INTERRUPTED", "DISCONNECT": "INTERRUPTED", "ERROR": "ERROR"}
 _FIELDS = ["round_id", "seq", "type", "text", "block_id", "tool_call_id", "tool_name", "tool_state", "result_text", "input_tokens", "output_tokens", "model_name", "micros"]
 _Signal = namedtuple("_Signal", _FIELDS)
+#: Keys of the fold's state. A stream keeps its checkpoint only with the same number.
+BUCKETS = 8192
 _SAID = ("TEXT_DELTA", "TEXT_END", "THINKING_DELTA", "THINKING_END")
 
 
-class _Kept:
-    """A map state as a dictionary for one batch: each entry is read once at most, and written once if it changed."""
-
-    def __init__(self, state, empty: tuple) -> None:
-        self.state, self.empty = state, empty
-        self.now: dict[str, list | None] = {}
-        self.held: set[str] = set()
-
-    def get(self, key: str) -> list:
-        if self.now.get(key) is None:
-            held = self.state.getValue((key,)) if key not in self.now else None
-            if held is not None:
-                self.held.add(key)
-            self.now[key] = list(self.empty if held is None else held)
-        return self.now[key]
-
-    def drop(self, key: str) -> None:
-        self.now[key] = None
-
-    def write(self) -> None:
-        for key, value in self.now.items():
-            if value is not None:
-                self.state.updateValue((key,), tuple(value))
-            elif key in self.held:
-                self.state.removeKey((key,))
-
-
 class _Texts:
-    """Texts that grow, as numbered pieces: a batch adds one piece to a text, whatever the text's length is."""
+    """Texts that grow, each [pieces, rest]. The rest lies with its round; a long one becomes a piece of its own, so that a batch writes
+    what it adds, whatever the text's length is.
+    """
 
     def __init__(self, state) -> None:
         self.state, self.added = state, {}
@@ -62,63 +39,103 @@ class _Texts:
     def add(self, key: str, text: str) -> None:
         self.added.setdefault(key, []).append(text)
 
-    def _held(self, key: str, pieces: int) -> list[tuple[str]]:
-        return [(f"{key}/{k}",) for k in range(pieces)]
-
-    def read(self, key: str, pieces: int) -> str:
-        return "".join(self.state.getValue(k)[0] for k in self._held(key, pieces)) + "".join(self.added.get(key, ()))
+    def read(self, key: str, of: list) -> str:
+        return "".join(self.state.getValue((f"{key}/{k}",))[0] for k in range(of[0])) + of[1] + "".join(self.added.get(key, ()))
 
-    def drop(self, key: str, pieces: int) -> None:
+    def drop(self, key: str, of: list) -> None:
         self.added.pop(key, None)
-        for k in self._held(key, pieces):
-            self.state.removeKey(k)
+        for k in range(of[0]):
+            self.state.removeKey((f"{key}/{k}",))
 
-    def write(self, key: str, pieces: int) -> int:
-        """Stores what the batch added; the number of pieces from now on."""
-        text = "".join(self.added.pop(key, ()))
-        if not text:
-            return pieces
-        self.state.updateValue((f"{key}/{pieces}",), (text,))
-        return pieces + 1
+    def settle(self, key: str, of: list, most: int) -> None:
+        of[1] += "".join(self.added.pop(key, ()))
+        if len(of[1]) > most:
+            self.state.updateValue((f"{key}/{of[0]}",), (of[1],))
+            of[:] = [of[0] + 1, ""]
 
 
-# Places in the entries of the states below.
-_LIMITED, _STATE, _ENDED, _MODEL, _OUTPUT, _FINAL, _CALLS = range(7)
+# Places in the entries of rounds, and in those of their open calls.
+_TOUCHED, _LIMITED, _STATE, _ENDED, _MODEL, _OUTPUT, _FINAL, _CALLS = range(8)
 _ARGS, _HEAD, _TOTAL, _TAIL, _STARTED, _NAME, _CLOSED = range(7)
 
 
 class RoundFold(StatefulProcessor):
     """Of a session: its sequence counter; of each open round: limit, output and open calls; of each open call: arguments,
-    head and tail of the result, start and name. Texts are kept as pieces, one a batch.
+    head and tail of the result, start and name.
 
-    A round that ends gives back all it held but for a mark by which later signals of it are known; a timer takes the mark away
-    after kept_ms. What hasn't changed for idle_ms expires, so that rounds that never end don't stay either.
+    There are many small sessions, and each key, and each call to the state store, costs more than the signals do. So the key is a
+    bucket of sessions, and all of a session is one text, which a batch reads once and writes once if it changed. What is over
+    `in_hand` characters of it lies apart: rounds that changed longest ago one by one, long texts as pieces.
+
+    A round that ends gives back all it held but for a mark by which later signals of it are known. The mark goes with the session's
+    next batch after kept_ms, unless that brings a signal of the round. What hasn't changed for idle_ms expires, so that rounds that
+    never end don't stay either: a timer looks through a bucket, for this at most eight times in idle_ms.
     """
 
-    def __init__(self, keep: int = KEPT_LENGTH, kept_ms: int = 600_000, idle_ms: int = 7 * 86_400_000) -> None:
-        self.keep, self.kept_ms, self.idle_ms = keep, kept_ms, idle_ms
+    def __init__(self, keep: int = KEPT_LENGTH, kept_ms: int = 600_000, idle_ms: int = 7 * 86_400_000, in_hand: int = 65_536) -> None:
+        self.keep, self.kept_ms, self.idle_ms, self.in_hand = keep, kept_ms, idle_ms, in_hand
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.counter = handle.getValueState("counter", "value long")
-        self.rounds = handle.getMapState("rounds", "round_id string", "limited boolean, state string, ended long, model_start long, output int, final string, calls array<string>", self.idle_ms)
-        self.calls = handle.getMapState("calls", "call string", "args int, head int, total long, tail string, started long, name string, closed boolean", self.idle_ms)
-        self.texts = handle.getMapState("texts", "piece string", "text string", self.idle_ms)
+        self.due = handle.getValueState("due", "value long")
+        self.sessions = handle.getMapState("sessions", "session_id string", "value string")
+        self.apart = handle.getMapState("apart", "session_id string, round_id string", "value string")
+        self.texts = handle.getMapState("texts", "piece string", "text string")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        signals = [_Signal(*map(json.loads(row[1]).get, _FIELDS)) for row in rows]
-        fold = _Fold(self, key[0], timerValues.getCurrentProcessingTimeInMs())
-        for r in sorted(signals, key=attrgetter("seq")):
-            fold.signal(r)
-        fold.write()
-        for k in range(0, len(fold.out), 1000):
-            yield Row(told=json.dumps(fold.out[k : k + 1000], ensure_ascii=False))
+        now, sessions = timerValues.getCurrentProcessingTimeInMs(), {}
+        for row in rows:
+            sessions.setdefault(row[-2], []).append(row[-1])
+        out, wake = [], None
+        while sessions:
+            session, texts = sessions.popitem()
+            fold = _Fold(self, session, now, self.sessions.getValue((session,)))
+            for r in sorted((_Signal(*map(json.loads(x).get, _FIELDS)) for x in texts), key=attrgetter("seq")):
+                fold.signal(r)
+            fold.write()
+            out += fold.out
+            wake = min((x for x in (wake, fold.wake) if x is not None), default=None)
+            for _ in range(len(out) // 1000):
+                yield Row(told=json.dumps(out[:1000], ensure_ascii=False))
+                del out[:1000]
+        if out:
+            yield Row(told=json.dumps(out, ensure_ascii=False))
+        if wake is not None:
+            held = self.due.get()
+            if held is None or wake < held[0]:
+                self._set(wake)
+
+    def _set(self, when: int) -> None:
+        self.due.update((when,))
+        self.handle.registerTimer(when)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = timerValues.getCurrentProcessingTimeInMs()
-        gone = [k for k, v in self.rounds.iterator() if v[_ENDED] is not None and v[_ENDED] + self.kept_ms <= now]
-        for k in gone:
-            self.rounds.removeKey(k)
+        """Drops what has passed; the timer is set again where something is left."""
+        now, folds, ends, gone, apart = timerValues.getCurrentProcessingTimeInMs(), {}, [], [], False
+        for (session,), value in self.sessions.iterator():
+            fold = _Fold(self, session, now, value)
+            if fold.apart or any(map(fold.passed, fold.rounds.values())):
+                folds[session] = fold
+            ends += [of[_TOUCHED] + self.idle_ms for of in fold.rounds.values() if not fold.passed(of)]
+        for (session, round_id), (text,) in self.apart.iterator() if any(fold.apart for fold in folds.values()) else ():
+            of = json.loads(text)
+            if folds[session].passed(of):
+                gone.append((session, round_id, of))
+            else:
+                ends.append(folds[session].ends(of))
+                apart = True
+        for session, round_id, of in gone:
+            folds[session].empty(round_id, of)
+            self.apart.removeKey((session, round_id))
+            folds[session].apart, folds[session].changed = folds[session].apart - 1, True
+        for fold in folds.values():
+            fold.write()
+        held = self.due.get()
+        if held is not None and held[0] <= now:
+            if ends:
+                self._set(max(min(ends), now + max(1, min(self.kept_ms, self.idle_ms // 8) if apart else self.idle_ms // 8)))
+            else:
+                self.due.clear()
         return iter(())
 
     def close(self) -> None:
@@ -128,15 +145,46 @@ class RoundFold(StatefulProcessor):
 class _Fold:
     """One batch of a session's signals."""
 
-    def __init__(self, of: RoundFold, session: str, now: int) -> None:
+    def __init__(self, of: RoundFold, session: str | None, now: int, held: tuple[str] | None) -> None:
         self.of, self.session, self.now = of, session, now
-        self.rounds = _Kept(of.rounds, (False, None, None, None, 0, None, []))
-        self.calls = _Kept(of.calls, (0, 0, 0, "", None, None, False))
+        self.number, self.apart, entries = json.loads(held[0]) if held is not None else (0, 0, [])
+        self.rounds = dict(entries)
         self.texts = _Texts(of.texts)
-        number = of.counter.get()
-        self.number = self.first = number[0] if number else 0
+        self.used: set[str | None] = set()
+        self.changed, self.wake = False, None
         self.out: list[dict] = []
 
+    def round(self, round_id: str | None) -> list:
+        self.used.add(round_id)
+        if round_id not in self.rounds and self.apart:
+            held = self.of.apart.getValue((self.session, round_id))
+            if held is not None:
+                self.rounds[round_id] = json.loads(held[0])
+                self.of.apart.removeKey((self.session, round_id))
+                self.apart, self.changed = self.apart - 1, True
+        if round_id in self.rounds and self.idle(self.rounds[round_id]):
+            self.empty(round_id, self.rounds.pop(round_id))
+        if round_id not in self.rounds:
+            self.rounds[round_id] = [self.now, False, None, None, None, [0, ""], None, {}]
+        return self.rounds[round_id]
+
+    def idle(self, of: list) -> bool:
+        return of[_TOUCHED] + self.of.idle_ms <= self.now
+
+    def passed(self, of: list) -> bool:
+        return self.idle(of) or of[_ENDED] is not None and of[_ENDED] + self.of.kept_ms <= self.now
+
+    def held(self, round_id: str | None, of: list) -> Iterator[tuple[str, list]]:
+        """The texts of a round with their names."""
+        yield json.dumps([self.session, round_id, "output"]), of[_OUTPUT]
+        for call, c in of[_CALLS].items():
+            for place in (_ARGS, _HEAD, _TAIL):
+                yield json.dumps([self.session, round_id, call, place]), c[place]
+
+    def empty(self, round_id: str | None, of: list) -> None:
+        for name, text in self.held(round_id, of):
+            self.texts.drop(name, text)
+
     def put(self, round_id: str, record: str, kind: str, **more: Any) -> None:
         if record == "event":
             self.number += 1
@@ -145,16 +193,17 @@ class _Fold:
 
     def signal(self, r) -> None:
         round_id, kind = r.round_id, r.type
-        of = self.rounds.get(round_id)
+        of = self.round(round_id)
         if of[_STATE] is None:
             of[_STATE] = "RUNNING"
             self.put(round_id, "event", "RUN_START")
         if of[_STATE] != "RUNNING":
             return
+        of[_TOUCHED], self.changed = self.now, True
         if kind in _SAID:
             self.put(round_id, "event", kind, text=r.text, block_id=r.block_id)
             if kind == "TEXT_DELTA" and r.text:
-                self.texts.add(f"{round_id}/output", r.text)
+                self.texts.add(json.dumps([self.session, round_id, "output"]), r.text)
         elif kind.startswith("TOOL_") and r.tool_call_id is not None:
             self.tool(of, r)
         elif kind == "AGENT_RESULT":
@@ -170,44 +219,40 @@ class _Fold:
             self.end(of, r)
 
     def tool(self, of: list, r) -> None:
-        call, kind, text = f"{r.round_id}/{r.tool_call_id}", r.type, r.text or ""
-        if r.tool_call_id not in of[_CALLS]:
-            of[_CALLS] = [*of[_CALLS], r.tool_call_id]
-        c = self.calls.get(call)
+        kind, text = r.type, r.text or ""
+        args, head_name, tail_name = (json.dumps([self.session, r.round_id, r.tool_call_id, place]) for place in (_ARGS, _HEAD, _TAIL))
+        c = of[_CALLS].setdefault(r.tool_call_id, [[0, ""], [0, ""], 0, [0, ""], None, None, False])
         told = {"tool_call_id": r.tool_call_id, "tool_name": r.tool_name}
         if kind == "TOOL_CALL_START":
             c[_STARTED], c[_NAME] = r.micros, r.tool_name if r.tool_name is not None else c[_NAME]
             self.put(r.round_id, "event", kind, **told)
         elif kind == "TOOL_CALL_DELTA":
             if text and not c[_CLOSED]:
-                self.texts.add(f"{call}/args", text)
+                self.texts.add(args, text)
         elif kind == "TOOL_CALL_END":
             c[_CLOSED] = True
-            self.put(r.round_id, "event", kind, tool_input=self.texts.read(f"{call}/args", c[_ARGS]), **told)
+            self.put(r.round_id, "event", kind, tool_input=self.texts.read(args, c[_ARGS]), **told)
         elif kind == "TOOL_RESULT_TEXT_DELTA":
             head = text[: max(0, self.of.keep - c[_TOTAL])]
             c[_TOTAL] += len(text)
-            c[_TAIL] = (c[_TAIL] + text[len(head) :])[-self.of.keep :]
+            tail = (self.texts.read(tail_name, c[_TAIL]) + text[len(head) :])[-self.of.keep :]
+            self.texts.drop(tail_name, c[_TAIL])
+            c[_TAIL] = [0, tail]
             if head:
-                self.texts.add(f"{call}/head", head)
+                self.texts.add(head_name, head)
                 self.put(r.round_id, "event", kind, text=head, truncated=False, **told)
         elif kind == "TOOL_RESULT_END":
-            total, tail = c[_TOTAL], c[_TAIL]
+            total, tail = c[_TOTAL], self.texts.read(tail_name, c[_TAIL])
             shown = f"\n...[中间省略 {total - self.of.keep - len(tail)} 字符]...\n{tail}\n...[输出已截断，共 {total} 字符，仅保留首尾各 {self.of.keep} 字符]...\n" if total > self.of.keep else ""
             self.put(r.round_id, "event", kind, text=shown, truncated=total > self.of.keep, **told)
             if c[_STARTED] is not None:
-                asked, got = (self.texts.read(f"{call}/{name}", c[k]) or None for name, k in (("args", _ARGS), ("head", _HEAD)))
+                asked, got = (self.texts.read(name, c[k]) or None for name, k in ((args, _ARGS), (head_name, _HEAD)))
                 state = "ERROR" if (r.tool_state or "").lower() == "error" else "OK"
                 named = c[_NAME] if c[_NAME] is not None else r.tool_name
                 self.put(r.round_id, "span", "tool.call", start_micros=c[_STARTED], end_micros=r.micros, state=state, tool_call_id=r.tool_call_id, tool_name=named, tool_input=asked, text=got)
-            self.forget(call)
-            of[_CALLS] = [x for x in of[_CALLS] if x != r.tool_call_id]
-
-    def forget(self, call: str) -> None:
-        c = self.calls.get(call)
-        self.texts.drop(f"{call}/args", c[_ARGS])
-        self.texts.drop(f"{call}/head", c[_HEAD])
-        self.calls.drop(call)
+            for name, place in ((args, _ARGS), (head_name, _HEAD), (tail_name, _TAIL)):
+                self.texts.drop(name, c[place])
+            del of[_CALLS][r.tool_call_id]
 
     def end(self, of: list, r) -> None:
         of[_STATE], of[_ENDED] = _ENDS[r.type], self.now
@@ -215,35 +260,64 @@ class _Fold:
         told = {"text": r.text, "state": of[_STATE], "stop_reason": reason}
         for kind in ("RUN_END", "SESSION_STATUS") if of[_STATE] == "DONE" else ("RUN_ERROR", "ERROR", "SESSION_STATUS"):
             self.put(r.round_id, "event", kind, **told)
-        output = f"{r.round_id}/output"
-        said = self.texts.read(output, of[_OUTPUT]) or of[_FINAL] or ""
+        said = self.texts.read(json.dumps([self.session, r.round_id, "output"]), of[_OUTPUT]) or of[_FINAL] or ""
         self.put(r.round_id, "round", "COMPLETED" if of[_STATE] == "DONE" else "FAILED", **told | {"text": said if of[_STATE] == "DONE" else ""})
-        self.texts.drop(output, of[_OUTPUT])
-        for call in of[_CALLS]:
-            self.forget(f"{r.round_id}/{call}")
-        of[_OUTPUT], of[_FINAL], of[_CALLS], of[_MODEL] = 0, None, [], None
-        self.of.handle.registerTimer(self.now + self.of.kept_ms)
+        self.empty(r.round_id, of)
+        of[_OUTPUT], of[_FINAL], of[_CALLS], of[_MODEL] = [0, ""], None, {}, None
 
     def write(self) -> None:
-        for round_id, of in self.rounds.now.items():
-            of[_OUTPUT] = self.texts.write(f"{round_id}/output", of[_OUTPUT])
-        for call, c in self.calls.now.items():
-            if c is not None:
-                c[_ARGS], c[_HEAD] = self.texts.write(f"{call}/args", c[_ARGS]), self.texts.write(f"{call}/head", c[_HEAD])
-        self.rounds.write()
-        self.calls.write()
-        if self.number != self.first:
-            self.of.counter.update((self.number,))
-
-
-def fold(signals: DataFrame, keep: int = KEPT_LENGTH, kept_ms: int = 600_000, idle_ms: int = 7 * 86_400_000) -> DataFrame:
+        for round_id, of in list(self.rounds.items()):
+            if round_id not in self.used and self.passed(of):
+                self.empty(round_id, self.rounds.pop(round_id))
+                self.changed = True
+            elif of[_ENDED] is not None and self.passed(of):
+                of[_TOUCHED], of[_ENDED], self.changed = self.now, self.now, True
+        if not self.changed:
+            return
+        for round_id in self.used:
+            of = self.rounds[round_id]
+            for most in (self.of.in_hand // 16, 0):
+                for name, text in self.held(round_id, of):
+                    self.texts.settle(name, text, most)
+                if not of[_CALLS] or len(json.dumps(of, ensure_ascii=False)) <= self.of.in_hand:
+                    break
+        if self.rounds:
+            self.wake = self.now + self.of.idle_ms
+        text = self._text()
+        if len(text) > self.of.in_hand:
+            self._put_apart()
+            text = self._text()
+        self.of.sessions.updateValue((self.session,), (text,))
+
+    def _text(self) -> str:
+        return json.dumps([self.number, self.apart, list(self.rounds.items())], ensure_ascii=False, separators=(",", ":"))
+
+    def _put_apart(self) -> None:
+        """Leaves the rounds that changed last, up to half of what is held at once, so that this isn't done by each batch."""
+        room = self.of.in_hand // 2
+        for round_id in sorted(self.rounds, key=lambda k: self.rounds[k][_TOUCHED], reverse=True):
+            text = json.dumps(self.rounds[round_id], ensure_ascii=False)
+            room -= len(text)
+            if room < 0:
+                self.of.apart.updateValue((self.session, round_id), (text,))
+                self.apart += 1
+                self.wake = min(self.wake, self.ends(self.rounds.pop(round_id)))
+
+    def ends(self, of: list) -> int:
+        """When a round apart is to go, as no batch looks at it."""
+        idle = of[_TOUCHED] + self.of.idle_ms
+        return idle if of[_ENDED] is None else min(idle, of[_ENDED] + self.of.kept_ms)
+
+
+def fold(signals: DataFrame, keep: int = KEPT_LENGTH, kept_ms: int = 600_000, idle_ms: int = 7 * 86_400_000, in_hand: int = 65_536) -> DataFrame:
     """Events, spans and finished rounds (FOLDED) of a stream of signals. Needs the RocksDB state store (see configure()).
 
-    There are many small sessions, and each column costs a conversion a session and batch; so a signal goes in as one text and what a
-    session gives comes out as one, both JSON.
+    A signal goes in as one text, and what a bucket of sessions gives comes out as texts of many records, both JSON: each column costs
+    a conversion.
     """
-    packed = signals.withColumn("micros", F.unix_micros("ts")).select("session_id", F.to_json(F.struct(*_FIELDS)).alias("signal"))
-    told = packed.groupBy("session_id").transformWithState(statefulProcessor=RoundFold(keep, kept_ms, idle_ms), outputStructType="told string", outputMode="Append", timeMode="ProcessingTime")
+    bucket = F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).alias("bucket")
+    packed = signals.withColumn("micros", F.unix_micros("ts")).select(bucket, "session_id", F.to_json(F.struct(*_FIELDS)).alias("signal"))
+    told = packed.groupBy("bucket").transformWithState(statefulProcessor=RoundFold(keep, kept_ms, idle_ms, in_hand), outputStructType="told string", outputMode="Append", timeMode="ProcessingTime")
     return told.select(F.explode(F.from_json("told", f"array<struct<{FOLDED}>>")).alias("x")).select("x.*")
 
 
