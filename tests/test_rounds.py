@@ -360,3 +360,15 @@ def test_what_never_ends_expires_with_its_texts():
         run([], max(timers, default=0))
     assert not timers and not fold.apart.entries and not fold.texts.entries
     assert run(said(5), 99999)[0]["sequence_num"] == 8
+
+
+def test_rounds_of_many_sessions_come_as_one_text():
+    """A bucket's sessions share the texts that go back, of 1,000 records at most; each session's records stay in order."""
+    fold, _, _, _ = in_memory()
+    clock = type("Timers", (), {"getCurrentProcessingTimeInMs": lambda self: 0})()
+    rows = [Row(session_id=f"s{n}", signal=json.dumps({"round_id": "1", "seq": k, "type": t, "text": f"{n}"})) for k, t in enumerate(["TEXT_DELTA", "AGENT_END"]) for n in range(300)]
+    told = [json.loads(r["told"]) for r in fold.handleInputRows((0,), iter(rows), clock)]
+    assert [len(x) for x in told] == [1000, 500]
+    flat = [x for texts in told for x in texts]
+    assert {x["session_id"]: x["text"] for x in flat if x["record"] == "round"} == {f"s{n}": f"{n}" for n in range(300)}
+    assert all([x.get("sequence_num") for x in flat if x["session_id"] == s] == [1, 2, 3, 4, None] for s in ("s0", "s299"))
