@@ -2,6 +2,7 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 
@@ -372,3 +373,50 @@ def test_rounds_of_many_sessions_come_as_one_text():
     flat = [x for texts in told for x in texts]
     assert {x["session_id"]: x["text"] for x in flat if x["record"] == "round"} == {f"s{n}": f"{n}" for n in range(300)}
     assert all([x.get("sequence_num") for x in flat if x["session_id"] == s] == [1, 2, 3, 4, None] for s in ("s0", "s299"))
+
+
+def told_by(fold, rows):
+    clock = type("Timers", (), {"getCurrentProcessingTimeInMs": lambda self: 0})()
+    return sorted((x for r in fold.handleInputRows((0,), iter(rows), clock) for x in json.loads(r["told"])), key=lambda x: str(x["session_id"]))
+
+
+def test_signals_of_many_sessions_go_in_as_one_text():
+    """What a task holds is one row a bucket, whatever the batches are, and says the same as a row for each signal."""
+    said = [{"session_id": s, "round_id": "1", "seq": k, "type": t, "text": f"{s}\n,好"} for k, t in enumerate(["TEXT_DELTA", "AGENT_END"]) for s in ("s", "t\n", None)]
+    lines = [json.dumps({k: v for k, v in x.items() if v is not None}, ensure_ascii=False) for x in said]
+    batches = [pa.record_batch({"bucket": [7, 7, 9], "signal": [*lines[k : k + 2], "{}"]}) for k in (0, 2, 4)]
+    packed = [x for b in streaming.pack(iter(batches)) for x in b.to_pylist()]
+    assert sorted((x["bucket"], x["session_id"], x["signals"].split("\n")) for x in packed) == [(7, None, lines), (9, None, ["{}"] * 3)]
+    assert [b.num_rows for b in streaming.pack(iter(batches), most=6)] == [2, 2]
+    assert list(streaming.pack(iter(()))) == []
+    together, apart = (told_by(in_memory()[0], rows) for rows in ([Row(**packed[0])], [Row(session_id=x["session_id"], signal=line) for x, line in zip(said, lines)]))
+    assert together == apart and {x["session_id"]: x["text"] for x in together if x["record"] == "round"} == {s: f"{s}\n,好" for s in ("s", "t\n", None)}
+
+
+def test_calls_to_the_state_store_are_a_few_a_bucket():
+    """However many sessions a batch brings: a page is read once and written once."""
+    _, calls, _, run = in_memory()
+    for n, kind in enumerate(["TEXT_DELTA", "TEXT_DELTA", "AGENT_END"]):
+        calls.clear()
+        out = run([(f"s{s}", {"round_id": "1", "seq": n, "type": kind, "text": f"{n}"}) for s in range(300)])
+        assert len(calls) <= 2 * streaming.PAGES + 2
+    assert {x["text"] for x in out if x["record"] == "round"} == {"01"} and len(out) == 900
+
+
+@pytest.mark.parametrize("in_hand", [0, 900])
+def test_pages_that_get_too_long_give_the_same(in_hand):
+    """Sessions that a page has no room for have rows of their own: numbers go on, the rounds are whole, and marks still go."""
+    rng, batches = random.Random(5), []
+    for n in range(10):
+        batches.append([(f"s{rng.randrange(60)}" if rng.random() < 0.9 else "", {"round_id": f"{n // 4}", "seq": n * 1000 + k, "type": rng.choice(["TEXT_DELTA"] * 5 + ["AGENT_END"]), "text": f"{k}好" * 3}) for k in range(150)])
+    whole, held = in_memory(kept_ms=10, idle_ms=1000), in_memory(kept_ms=10, idle_ms=1000, in_hand=in_hand)
+    assert [held[3](b, n) for n, b in enumerate(batches)] == [whole[3](b, n) for n, b in enumerate(batches)]
+    fold, _, timers, run = held
+    assert len(fold.sessions.entries) > 10 and not whole[0].sessions.entries
+    assert in_hand == 0 or all(len(text) <= in_hand for (text,) in fold.pages.entries.values())
+    for _ in range(20):
+        run([], max(timers, default=0))
+    assert not timers and all(json.loads(text)[2] == [] for (text,) in fold.sessions.entries.values())
+    late = [(f"s{k}", {"round_id": "9", "seq": 1, "type": "START"}) for k in range(60)]
+    numbers = [x["sequence_num"] for x in run(late, 99999)]
+    assert numbers == [x["sequence_num"] for x in whole[3](late, 99999)] and max(numbers) > 5

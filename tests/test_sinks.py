@@ -75,3 +75,11 @@ def test_a_batch_of_many_files_is_one_trigger(spark):
     files.run_through(files.as_stream(rows, "id", 3, rows_a_file=20), lambda b, n: seen.append((sorted(r["id"] for r in b.collect()), b.select(F.input_file_name()).distinct().count())), "many")
     assert [ids for ids, _ in seen] == [[*range(390)], [], [*range(1190, 1200)]]
     assert seen[0][1] > 1
+
+
+def test_a_batch_is_spread_over_its_files(spark):
+    """Numbers that lie in order in the table don't leave a batch to the tasks that hold its range."""
+    seen = []
+    files.run_through(files.as_stream(spark.range(0, 3000, 1, 3), "id", 3, rows_a_file=100), lambda b, n: seen.append(sorted(r["n"] for r in b.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect())), "spread")
+    assert [sum(x) for x in seen] == [1000] * 3
+    assert all(len(x) == 10 and max(x) < 300 for x in seen)

@@ -27,8 +27,9 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def as_stream(df: DataFrame, order: str, batches: int = 3, rows_a_file: int = 250_000) -> DataFrame:
     """A stream of the rows of a table in as many batches, each a range of the numbers in `order`.
 
-    The table is worked out once, by all tasks. Every batch is the same number of files, which no task but a file's own writes or
-    reads; a batch that needs fewer has empty ones, so that a trigger takes one batch exactly.
+    The table is worked out once, by all tasks. Every batch is the same number of files, over which its rows are spread by a hash of
+    their numbers, as a range of them may lie in few files of the table; a batch that needs fewer has empty ones, so that a trigger
+    takes one batch exactly.
     """
     spark, path, whole = df.sparkSession, new_folder(df.sparkSession, "arrivals"), new_folder(df.sparkSession, "whole")
     df.write.parquet(whole)
@@ -39,7 +40,7 @@ def as_stream(df: DataFrame, order: str, batches: int = 3, rows_a_file: int = 25
     files = max(1, -(-n // (batches * rows_a_file)))
     for k in range(batches if low is not None else 0):
         lo, hi = (low + (high + 1 - low) * x // batches for x in (k, k + 1))
-        rows.filter((F.col(order) >= lo) & (F.col(order) < hi)).coalesce(files).write.parquet(f"{path}/{k}")
+        rows.filter((F.col(order) >= lo) & (F.col(order) < hi)).repartition(files, order).write.parquet(f"{path}/{k}")
         for _ in range(files - len(spark.read.schema(df.schema).parquet(f"{path}/{k}").inputFiles())):
             rows.limit(0).coalesce(1).write.mode("append").parquet(f"{path}/{k}")
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(path)

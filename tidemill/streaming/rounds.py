@@ -5,9 +5,13 @@ from __future__ import annotations
 import json
 from collections import namedtuple
 from collections.abc import Iterator
+from itertools import chain
 from operator import attrgetter
 from typing import Any
+from zlib import crc32
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -23,8 +27,8 @@ FOLDED = (
 _ENDS = {"AGENT_END": "DONE", "INTERRUPT": "INTERRUPTED", "DISCONNECT": "INTERRUPTED", "ERROR": "ERROR"}
 _FIELDS = ["round_id", "seq", "type", "text", "block_id", "tool_call_id", "tool_name", "tool_state", "result_text", "input_tokens", "output_tokens", "model_name", "micros"]
 _Signal = namedtuple("_Signal", _FIELDS)
-#: Keys of the fold's state. A stream keeps its checkpoint only with the same number.
-BUCKETS = 8192
+#: Keys of the fold's state, and the parts in which each holds its sessions. A stream keeps its checkpoint only with the same numbers.
+BUCKETS, PAGES = 1024, 8
 _SAID = ("TEXT_DELTA", "TEXT_END", "THINKING_DELTA", "THINKING_END")
 
 
@@ -54,6 +58,52 @@ class _Texts:
             of[:] = [of[0] + 1, ""]
 
 
+class _Page:
+    """The texts of many sessions, which lie in one. Where that gets too long, the longest go to rows of their own and stay there."""
+
+    def __init__(self, of: RoundFold, number: int, held: tuple[str] | None) -> None:
+        self.of, self.number = of, number
+        self.beyond, entries = json.loads(held[0]) if held is not None else (0, [])
+        self.texts = dict(entries)
+        self.own: set[str | None] = set()
+        self.changed = False
+
+    def get(self, session: str | None) -> str | None:
+        if session in self.texts or not self.beyond:
+            return self.texts.get(session)
+        held = self.of.sessions.getValue((session,))
+        if held is not None:
+            self.own.add(session)
+        return held[0] if held is not None else None
+
+    def put(self, session: str | None, text: str) -> None:
+        if session in self.own:
+            self.of.sessions.updateValue((session,), (text,))
+        else:
+            self.texts[session], self.changed = text, True
+
+    def write(self) -> None:
+        if not self.changed:
+            return
+        text = self._text()
+        if len(text) > self.of.in_hand:
+            room = self.of.in_hand // 2
+            for session in sorted(self.texts, key=lambda k: len(self.texts[k])):
+                room -= len(self.texts[session]) + len(session or "")
+                if room < 0:
+                    self.of.sessions.updateValue((session,), (self.texts.pop(session),))
+                    self.beyond += 1
+            text = self._text()
+        self.of.pages.updateValue((self.number,), (text,))
+
+    def _text(self) -> str:
+        return json.dumps([self.beyond, list(self.texts.items())], ensure_ascii=False, separators=(",", ":"))
+
+
+def _page(session: str | None) -> int:
+    return crc32((session or "").encode()) % PAGES
+
+
 # Places in the entries of rounds, and in those of their open calls.
 _TOUCHED, _LIMITED, _STATE, _ENDED, _MODEL, _OUTPUT, _FINAL, _CALLS = range(8)
 _ARGS, _HEAD, _TOTAL, _TAIL, _STARTED, _NAME, _CLOSED = range(7)
@@ -64,8 +114,9 @@ class RoundFold(StatefulProcessor):
     head and tail of the result, start and name.
 
     There are many small sessions, and each key, and each call to the state store, costs more than the signals do. So the key is a
-    bucket of sessions, and all of a session is one text, which a batch reads once and writes once if it changed. What is over
-    `in_hand` characters of it lies apart: rounds that changed longest ago one by one, long texts as pieces.
+    bucket of sessions, all of a session is one text, and sessions share a page, which a batch reads once and writes once if it
+    changed. What is over `in_hand` characters lies apart: of a page the longest sessions, of a session the rounds that changed
+    longest ago one by one, long texts as pieces.
 
     A round that ends gives back all it held but for a mark by which later signals of it are known. The mark goes with the session's
     next batch after kept_ms, unless that brings a signal of the round. What hasn't changed for idle_ms expires, so that rounds that
@@ -78,19 +129,26 @@ class RoundFold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.due = handle.getValueState("due", "value long")
+        self.pages = handle.getMapState("pages", "number int", "value string")
         self.sessions = handle.getMapState("sessions", "session_id string", "value string")
         self.apart = handle.getMapState("apart", "session_id string, round_id string", "value string")
         self.texts = handle.getMapState("texts", "piece string", "text string")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        now, sessions = timerValues.getCurrentProcessingTimeInMs(), {}
+        """Of a row the last field is a text with a signal on each line, and the field before the session of those that don't name theirs."""
+        now, sessions, pages = timerValues.getCurrentProcessingTimeInMs(), {}, {}
         for row in rows:
-            sessions.setdefault(row[-2], []).append(row[-1])
+            unnamed = row[-2]
+            for x in json.loads("[" + row[-1].replace("\n", ",") + "]"):
+                sessions.setdefault(x.get("session_id", unnamed), []).append(_Signal(*map(x.get, _FIELDS)))
         out, wake = [], None
         while sessions:
-            session, texts = sessions.popitem()
-            fold = _Fold(self, session, now, self.sessions.getValue((session,)))
-            for r in sorted((_Signal(*map(json.loads(x).get, _FIELDS)) for x in texts), key=attrgetter("seq")):
+            session, signals = sessions.popitem()
+            number = _page(session)
+            if number not in pages:
+                pages[number] = _Page(self, number, self.pages.getValue((number,)))
+            fold = _Fold(self, session, now, pages[number], pages[number].get(session))
+            for r in sorted(signals, key=attrgetter("seq")):
                 fold.signal(r)
             fold.write()
             out += fold.out
@@ -98,6 +156,8 @@ class RoundFold(StatefulProcessor):
             for _ in range(len(out) // 1000):
                 yield Row(told=json.dumps(out[:1000], ensure_ascii=False))
                 del out[:1000]
+        for page in pages.values():
+            page.write()
         if out:
             yield Row(told=json.dumps(out, ensure_ascii=False))
         if wake is not None:
@@ -112,8 +172,11 @@ class RoundFold(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """Drops what has passed; the timer is set again where something is left."""
         now, folds, ends, gone, apart = timerValues.getCurrentProcessingTimeInMs(), {}, [], [], False
-        for (session,), value in self.sessions.iterator():
-            fold = _Fold(self, session, now, value)
+        pages = {number: _Page(self, number, value) for (number,), value in self.pages.iterator()}
+        for session, text in chain(*(page.texts.items() for page in pages.values()), ((x, value[0]) for (x,), value in self.sessions.iterator())):
+            fold = _Fold(self, session, now, pages[_page(session)], text)
+            if session not in fold.page.texts:
+                fold.page.own.add(session)
             if fold.apart or any(map(fold.passed, fold.rounds.values())):
                 folds[session] = fold
             ends += [of[_TOUCHED] + self.idle_ms for of in fold.rounds.values() if not fold.passed(of)]
@@ -128,8 +191,8 @@ class RoundFold(StatefulProcessor):
             folds[session].empty(round_id, of)
             self.apart.removeKey((session, round_id))
             folds[session].apart, folds[session].changed = folds[session].apart - 1, True
-        for fold in folds.values():
-            fold.write()
+        for x in (*folds.values(), *pages.values()):
+            x.write()
         held = self.due.get()
         if held is not None and held[0] <= now:
             if ends:
@@ -145,9 +208,9 @@ class RoundFold(StatefulProcessor):
 class _Fold:
     """One batch of a session's signals."""
 
-    def __init__(self, of: RoundFold, session: str | None, now: int, held: tuple[str] | None) -> None:
-        self.of, self.session, self.now = of, session, now
-        self.number, self.apart, entries = json.loads(held[0]) if held is not None else (0, 0, [])
+    def __init__(self, of: RoundFold, session: str | None, now: int, page: _Page, text: str | None) -> None:
+        self.of, self.session, self.now, self.page = of, session, now, page
+        self.number, self.apart, entries = json.loads(text) if text is not None else (0, 0, [])
         self.rounds = dict(entries)
         self.texts = _Texts(of.texts)
         self.used: set[str | None] = set()
@@ -287,7 +350,7 @@ class _Fold:
         if len(text) > self.of.in_hand:
             self._put_apart()
             text = self._text()
-        self.of.sessions.updateValue((self.session,), (text,))
+        self.page.put(self.session, text)
 
     def _text(self) -> str:
         return json.dumps([self.number, self.apart, list(self.rounds.items())], ensure_ascii=False, separators=(",", ":"))
@@ -309,14 +372,33 @@ class _Fold:
         return idle if of[_ENDED] is None else min(idle, of[_ENDED] + self.of.kept_ms)
 
 
+def pack(batches: Iterator[pa.RecordBatch], most: int = 262_144, size: int = 1 << 26) -> Iterator[pa.RecordBatch]:
+    """(bucket, signal) as one row a bucket of what a task holds at once, with the signals on lines of one text."""
+    held: list[pa.RecordBatch] = []
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        groups = pa.Table.from_batches(held).group_by("bucket", use_threads=False).aggregate([("signal", "list")]).combine_chunks()
+        held.clear()
+        names = pa.nulls(len(groups), groups["signal_list"].type.value_type)
+        yield from pa.table({"bucket": groups["bucket"], "session_id": names, "signals": pc.binary_join(groups["signal_list"], "\n")}).to_batches()
+
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= most or sum(x.nbytes for x in held) >= size:
+            yield from rows()
+    if held:
+        yield from rows()
+
+
 def fold(signals: DataFrame, keep: int = KEPT_LENGTH, kept_ms: int = 600_000, idle_ms: int = 7 * 86_400_000, in_hand: int = 65_536) -> DataFrame:
     """Events, spans and finished rounds (FOLDED) of a stream of signals. Needs the RocksDB state store (see configure()).
 
-    A signal goes in as one text, and what a bucket of sessions gives comes out as texts of many records, both JSON: each column costs
-    a conversion.
+    Signals go in as texts of many, and what a bucket of sessions gives comes out as texts of many records, both JSON: each row and
+    each column costs a conversion.
     """
     bucket = F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).alias("bucket")
-    packed = signals.withColumn("micros", F.unix_micros("ts")).select(bucket, "session_id", F.to_json(F.struct(*_FIELDS)).alias("signal"))
+    texts = signals.withColumn("micros", F.unix_micros("ts")).select(bucket, F.to_json(F.struct("session_id", *_FIELDS)).alias("signal"))
+    packed = texts.mapInArrow(pack, "bucket long, session_id string, signals string")
     told = packed.groupBy("bucket").transformWithState(statefulProcessor=RoundFold(keep, kept_ms, idle_ms, in_hand), outputStructType="told string", outputMode="Append", timeMode="ProcessingTime")
     return told.select(F.explode(F.from_json("told", f"array<struct<{FOLDED}>>")).alias("x")).select("x.*")
 
